@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chartloom.runtime import cut_lineage
+
 # Known units: (kind, name, factor to the kind's base, offset), with their spellings. International pound,
 # ounce, inch. base: mm, mL, g, K-free degree Celsius, mmol/L (substance), mg/L (mass), s.
 _KNOWN = """
@@ -270,7 +272,7 @@ def resolve_spellings(numbers: DataFrame, known: DataFrame, rounds: int = 3) ->
 def convert(df: DataFrame, reference: DataFrame, id_col: str = "meas_id") -> DataFrame:
     """``id_col, dim_no, number, unit, as_unit, origin, value`` (in the common unit) of each number that can be converted."""
     known = conversions(reference).distinct()
-    numbers = read_table(df, reference, id_col)
+    numbers = cut_lineage(read_table(df, reference, id_col))
     table = resolve_spellings(numbers.select("measured", "unit", "number"), known)
     done = numbers.join(table, ["measured", "unit"])
     return done.select(F.col("id").alias(id_col), "dim_no", "number", "unit", "as_unit", "origin", (F.col("number") * F.col("scale") + F.col("offset")).alias("value"))

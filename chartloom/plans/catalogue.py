@@ -1,4 +1,4 @@
-"""All queries of the core, by name."""
+"""All queries of the core, by name: one per operator, each over whole tables of a data folder."""
 
 from __future__ import annotations
 
@@ -7,30 +7,399 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.operators import units
-from chartloom.runtime import table
+from chartloom.functions import models, text
+from chartloom.operators import entities, graph, notes, ontology, radiology, relations, units
+from chartloom.plans import fixtures as fx
+from chartloom.plans import oracles
+from chartloom.runtime import cut_lineage, table
+from chartloom.sources import readers
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def _notes(s, d):
+    return fx.view(s, d, fx.NOTES)
+
+
+def _ent(s, d):
+    return fx.view(s, d, fx.ENT)
+
+
+def _sent(s, d):
+    return fx.view(s, d, fx.SENT)
+
+
+def _rel(s, d):
+    return fx.view(s, d, fx.REL)
+
+
+def _edges(s, d):
+    return graph.longitudinal_edges(_rel(s, d))
+
+
+def pipeline(raw: DataFrame, kb: DataFrame) -> DataFrame:
+    """Raw notes to relations: clean, segment, split, recognise, merge, polish, pair, classify, link. Sentences, entities
+    and relations are each used several times below, so each is written once."""
+    cleaned = raw.withColumn("text", text.clean_text(F.col("text")))
+    sections = notes.segment_sections(cleaned).join(raw.select("note_id", "hadm_id"), "note_id")
+    sents = cut_lineage(notes.split_sentences(sections, ["note_id", "hadm_id", "section_ord", "section_name"], "section_text"))
+    found = cut_lineage(entities.polish_entities(entities.merge_entities(models.lexicon_entities(sents))))
+    return ontology.link_relations(cut_lineage(relations.relaxed_fallback(found, sents)), kb)
+
+
+def flagship(s: SparkSession, d: str) -> DataFrame:
+    """Raw notes to linked relations."""
+    out = pipeline(_notes(s, d), fx.view(s, d, fx.KB))
+    return out.select("note_id", "hadm_id", "section_name", "word_1", "word_2", "relation_type", "model_confidence", "cui_1", "cui_2", "target_semantic_valid")
+
+
+@query
+def note_pipeline(s, d):
+    return flagship(s, d)
+
+
+@query
+def longitudinal_pipeline(s, d):
+    """Raw notes to scored longitudinal edges; either side of a relation may be the drug, so both directions count as valid."""
+    rel = pipeline(_notes(s, d), fx.view(s, d, fx.KB)).withColumn("target_semantic_valid", F.lit(True))
+    e = graph.alignment_score(graph.longitudinal_edges(rel))
+    return e.select("hadm_id", "source_cui", "source_name", "target_cui", "target_name", "relation", F.array_join("note_occurrences", "|").alias("note_occurrences"), "mention_count", F.round("base_confidence", 6).alias("base_confidence"), F.round("alignment_score", 6).alias("alignment_score"))
+
+
+@query
+def scan_multi_note(s, d):
+    return notes.scan_multi_note(_notes(s, d))
+
+
+@query
+def scan_diagnoses(s, d):
+    return notes.scan_diagnoses(fx.view(s, d, fx.DIAG))
+
+
+@query
+def single_note(s, d):
+    return notes.single_note(_notes(s, d))
+
+
+@query
+def distinct_prescriptions(s, d):
+    return notes.distinct_prescriptions(fx.view(s, d, fx.RX))
+
+
+@query
+def constant_query(s, d):
+    return readers.read(s, "sql")
+
+
+@query
+def clean_text(s, d):
+    return _notes(s, d).select("note_id", text.clean_text(F.col("text")).alias("clean_text"))
+
+
+@query
+def legacy_clean(s, d):
+    return table(s, d, "documents").select("doc_id", text.legacy_clean(F.col("text")).alias("cleaned_text"))
+
+
+@query
+def legacy_abbrev(s, d):
+    return _notes(s, d).select("note_id", text.expand(F.col("text"), text.LEGACY_ABBREVIATIONS).alias("expanded"))
+
+
+@query
+def strip_dosage(s, d):
+    return _notes(s, d).select("note_id", text.strip_dosage(F.concat("text", F.lit(" 50 mg 2ml 3 units"))).alias("stripped"))
+
+
+@query
+def normalize_drug(s, d):
+    return fx.view(s, d, fx.RX).groupBy("drug", text.normalize_drug(F.col("drug")).alias("normalized")).agg(F.count("*").alias("n"))
+
+
+@query
+def drug_noise(s, d):
+    return _ent(s, d).groupBy("word", text.is_drug_noise(F.col("word")).alias("noise")).agg(F.count("*").alias("n"))
+
+
+@query
+def ocr_normalize(s, d):
+    return text.ocr_normalize(_notes(s, d).select("note_id", "text"), "text")
+
+
+@query
+def note_track(s, d):
+    return _notes(s, d).groupBy("note_type", text.note_track(F.col("note_type")).alias("track")).agg(F.count("*").alias("n"))
+
+
+@query
+def severity(s, d):
+    return _notes(s, d).select("note_id", text.severity(F.col("text"), F.lit("")).alias("severity"))
+
+
+@query
+def keyword_relation(s, d):
+    r, score = text.keyword_relation(F.col("text"))
+    return _notes(s, d).select("note_id", r.alias("relation"), score.alias("score"))
+
+
+@query
+def finding_cue(s, d):
+    return _notes(s, d).select("note_id", text.finding_relation(F.col("text")).alias("relation_type"))
+
+
+@query
+def measurements(s, d):
+    return text.measurements(_notes(s, d), "note_id", "text")
+
+
+@query
+def negations(s, d):
+    return text.negations(_notes(s, d), "note_id", "text")
+
+
+@query
+def segment_sections(s, d):
+    return notes.segment_sections(_notes(s, d))
+
+
+@query
+def split_sentences(s, d):
+    one = table(s, d, "sections").select("section_id", "section_text").distinct()
+    return notes.split_sentences(one, ["section_id"], "section_text")
+
+
+@query
+def melt_sections(s, d):
+    return notes.melt_sections(_notes(s, d).select("note_id", F.col("note_type").alias("Indication"), F.col("text").alias("Findings")), ["note_id"])
+
+
+@query
+def track_split(s, d):
+    return notes.track_split(_sent(s, d)).groupBy("section_name", "track").agg(F.count("*").alias("n"))
+
+
+@query
+def icd_map(s, d):
+    return notes.icd_map(fx.view(s, d, fx.DIAG), fx.view(s, d, fx.GEM))
+
+
+@query
+def span_iou(s, d):
+    e = _ent(s, d).select("note_id", "sentence_index", "start", "end_")
+    a = e.select("note_id", "sentence_index", F.col("start").alias("start_1"), F.col("end_").alias("end_1"))
+    b = e.select("note_id", "sentence_index", F.col("start").alias("start_2"), F.col("end_").alias("end_2"))
+    j = a.join(b, ["note_id", "sentence_index"]).where(F.struct("start_1", "end_1") < F.struct("start_2", "end_2"))
+    return j.withColumn("iou", F.round(entities.span_iou(*[F.col(c) for c in ("start_1", "end_1", "start_2", "end_2")]), 6))
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    done = units.convert(table(spark, d, "measurements"), table(spark, d, "quantity_ref"))
-    return done.select("meas_id", "dim_no", F.floor(F.col("value") * 1000 + 0.5).cast("long").alias("milli_value"))
 
+@query
+def entity_priority(s, d):
+    return _ent(s, d).groupBy("source_model", "entity_group", entities.priority().alias("priority"), entities.is_medication().alias("medication")).agg(F.count("*").alias("n"))
 
-def p3_converted(spark: SparkSession, d: str) -> DataFrame:
-    return units.convert(table(spark, d, "measurements"), table(spark, d, "quantity_ref"))
+
+@query
+def merge_entities(s, d):
+    return entities.merge_entities(_ent(s, d))
+
+
+@query
+def drop_unlinked_units(s, d):
+    return entities.drop_unlinked_units(_ent(s, d))
+
+
+@query
+def polish_entities(s, d):
+    return entities.polish_entities(_ent(s, d))
+
+
+@query
+def dedupe_entities(s, d):
+    return entities.dedupe_entities(_ent(s, d), ["note_id"])
+
+
+@query
+def verify_drugs(s, d):
+    return entities.verify_drugs(_ent(s, d), fx.view(s, d, fx.RX), "DRUG")
+
+
+@query
+def cooccurrence_pairs(s, d):
+    return relations.cooccurrence_pairs(_ent(s, d), _sent(s, d), ["DRUG", "problem", "treatment", "test"], 1, relations.BATCH_SECTIONS)
+
+
+@query
+def extract_relations(s, d):
+    return relations.extract_relations(_ent(s, d), _sent(s, d), relations.BATCH)
+
+
+@query
+def relaxed_fallback(s, d):
+    return relations.relaxed_fallback(_ent(s, d), _sent(s, d))
+
+
+def _mentions(s, d):
+    kinds = F.array(*[F.lit(k) for k in ("TREATS", "CAUSES", "NONE")])
+    return _ent(s, d).select("word", "entity_group").distinct().withColumn("relation_type", F.explode(kinds))
+
+
+@query
+def link_concepts(s, d):
+    return ontology.link_concepts(_mentions(s, d), fx.view(s, d, fx.KB), "target")
+
+
+@query
+def link_relations(s, d):
+    linked = ontology.link_relations(cut_lineage(relations.relaxed_fallback(_ent(s, d), _sent(s, d))), fx.view(s, d, fx.KB))
+    return linked.select("note_id", "start_1", "start_2", "relation_type", "cui_1", "canonical_name_1", "cui_2", "canonical_name_2", "target_semantic_valid")
+
+
+@query
+def target_valid(s, d):
+    kb = fx.view(s, d, fx.KB)
+    return ontology.target_valid(ontology.link_concepts(_mentions(s, d), kb, "target"), kb, "cui")
+
+
+@query
+def ade_track(s, d):
+    return graph.ade_track(_rel(s, d))
+
+
+@query
+def treatment_track(s, d):
+    return graph.treatment_track(_rel(s, d))
+
+
+@query
+def mapping_coverage(s, d):
+    return ontology.mapping_coverage(_rel(s, d))
+
+
+@query
+def longitudinal_edges(s, d):
+    e = _edges(s, d)
+    return e.withColumns({"note_occurrences": F.array_join("note_occurrences", "|"), "sections_found": F.array_join("sections_found", "|"), "base_confidence": F.round("base_confidence", 6)})
+
+
+@query
+def alignment_score(s, d):
+    return graph.alignment_score(_edges(s, d)).select("hadm_id", "source_cui", "target_cui", "relation", F.round("alignment_score", 6).alias("alignment_score"))
+
+
+@query
+def node_centrality(s, d):
+    return graph.node_centrality(_edges(s, d))
+
+
+@query
+def graph_visuals(s, d):
+    return graph.graph_visuals(graph.node_centrality(_edges(s, d))).select("hadm_id", "cui", "node_size")
+
+
+@query
+def graph_summary(s, d):
+    return graph.knowledge_graph(graph.alignment_score(_edges(s, d))).select("hadm_id", "summary.*")
+
+
+@query
+def knowledge_graph(s, d):
+    return graph.to_json_graph(graph.knowledge_graph(graph.alignment_score(_edges(s, d))))
+
+
+@query
+def finding_pairs(s, d):
+    return radiology.finding_pairs(_ent(s, d), _sent(s, d))
+
+
+@query
+def finding_relations(s, d):
+    return radiology.finding_relations(_ent(s, d), _sent(s, d))
+
+
+@query
+def severity_map(s, d):
+    return radiology.severity_map(_ent(s, d), _sent(s, d))
+
+
+@query
+def severity_counts(s, d):
+    return radiology.severity_counts(radiology.severity_map(_ent(s, d), _sent(s, d)))
+
+
+@query
+def section_summary(s, d):
+    return radiology.section_summary(_ent(s, d)).withColumn("words", F.array_join("words", "|"))
+
+
+@query
+def radiology_edges(s, d):
+    e, t = _ent(s, d), _sent(s, d)
+    return radiology.radiology_edges(radiology.finding_pairs(e, t), radiology.severity_map(e, t))
+
+
+@query
+def radiology_graph(s, d):
+    e, t = _ent(s, d), _sent(s, d)
+    g = radiology.radiology_graph(e, radiology.radiology_edges(radiology.finding_pairs(e, t), radiology.severity_map(e, t)))
+    return g.select("hadm_id", F.to_json(F.struct("nodes", "edges")).alias("graph_json"))
+
+
+@query
+def radiology_bundle(s, d):
+    out = radiology.enhance(_notes(s, d), _ent(s, d), _sent(s, d))
+    return out.select("note_id", F.to_json(F.struct(*[c for c in out.columns if c != "note_id"])).alias("bundle_json"))
+
+
+@query
+def entity_type_counts(s, d):
+    return _ent(s, d).groupBy("entity_group").agg(F.count("*").alias("n"))
+
+
+@query
+def entities_by_sentence(s, d):
+    return _ent(s, d).groupBy("note_id", "sentence_index").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("word")), "|").alias("words"))
+
+
+@query
+def lexicon_entities(s, d):
+    n = _notes(s, d).select("note_id", "hadm_id", F.lit(0).cast("bigint").alias("sentence_index"), F.col("text").alias("sentence_text"))
+    return models.lexicon_entities(n)
+
+
+@query
+def cosine_similarity(s, d):
+    e = table(s, d, "embeddings")
+    vec = next(f.name for f in e.schema.fields if f.dataType.typeName() == "array")
+    key = e.columns[0]
+    mean = e.select(F.posexplode(vec).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x"))
+    centre = mean.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias("centre"))  # one value per dimension
+    return e.join(F.broadcast(centre)).select(key, F.round(text.cosine(F.col(vec), F.col("centre")), 6).alias("cosine"))
+
+
+@query
+def p3_found(s, d):
+    done = units.convert(table(s, d, "measurements"), table(s, d, "quantity_ref"))
+    return done.select("meas_id", "dim_no", F.floor(F.col("value") * 1000 + 0.5).cast("long").alias("milli_value"))
 
 
-def p3_unconverted(spark: SparkSession, d: str) -> DataFrame:
-    return units.unconverted(table(spark, d, "measurements"), table(spark, d, "quantity_ref"))
+@query
+def p3_converted(s, d):
+    return units.convert(table(s, d, "measurements"), table(s, d, "quantity_ref"))
 
 
-def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return p3_found(spark, d)
+@query
+def p3_unconverted(s, d):
+    return units.unconverted(table(s, d, "measurements"), table(s, d, "quantity_ref"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_converted, p3_unconverted)}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
