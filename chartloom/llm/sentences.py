@@ -219,7 +219,7 @@ def _is_final(text: str, start: int, at: int, end: int, closers: bool) -> bool:
     if key in NEVER_FINAL or key in ARABIC_TITLES or key in HINDI_TITLES:
         return False
     if len(key) == 1 and key.isalpha():
-        return key not in "iéàa" and False
+        return False  # an initial
     if key.isdigit() and len(key) <= 3 and follower.isupper() and _ORDINAL_LEAD.search(text, max(start, at - 12), at):
         return False
     if key.isdigit() and text[start:at].strip() == key:
