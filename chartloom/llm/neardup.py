@@ -36,12 +36,15 @@ WORD = re.compile(r"[^\W_]+")
 MOST_HEAVY = 1 << 20
 #: Sets of one n-gram's group at most before it is split into block pairs.
 BLOCK = 8192
-#: Bits of a set's parity bitmap.
-BITS = 512
+#: Bits of a set's parity bitmap: the first for sets of up to TIER n-grams, the next for twice as many, and so on.
+BITS = (256, 512, 1024)
+TIER = 150
+#: N-grams that two similar sets must share among their leading ones (fewer where their whole overlap is smaller).
+SHARED = 4
 #: Counted n-grams held by a task before they are handed on.
 HELD = 2_000_000
 #: Partners per prefix tree of one probe, and shares into which a probe's partners are spread.
-TREE, SPREAD = 4096, 4
+TREE, SPREAD = 400, 4
 _ODD = [np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B185EBCA87), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)]
 
 
@@ -110,23 +113,26 @@ def _counts(sets: DataFrame) -> DataFrame:
 
 
 class Order:
-    """The global order of n-grams: those not among the heavy ones first, by hash; then the heavy ones by count and hash."""
+    """The global order of n-grams: those not among the heavy ones first, by hash; then the heavy ones by count and hash.
+    A heavy n-gram is written as its rank (1 and up), any other as its hash with the top bit set."""
 
     def __init__(self, h: np.ndarray, c: np.ndarray, complete: bool):
         by = np.argsort(h)
-        self.h, self.c = h[by], c[by]
-        self.rank = np.empty(len(h), np.int64)
-        self.rank[np.lexsort((self.h, self.c))] = np.arange(1, len(h) + 1)
+        self.h = h[by]
+        up = np.lexsort((self.h, c[by]))
+        self.rank = np.empty(len(h), np.uint32)
+        self.rank[up] = np.arange(1, len(h) + 1)
+        self.count = np.concatenate([[1], c[by][up]])  # by rank
         self.complete = complete  # every n-gram of two sets is among the heavy ones: the others cannot be shared
 
-    def look(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rank, count) of each n-gram; 0 and 1 for those not among the heavy ones."""
+    def split(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(other hashes, ranks) of a set, both in order."""
         if not len(self.h):
-            return np.zeros(len(g), np.int64), np.ones(len(g), np.int64)
+            return g, np.empty(0, np.uint32)
         at = np.searchsorted(self.h, g)
         at[at == len(self.h)] = 0
         hit = self.h[at] == g
-        return np.where(hit, self.rank[at], 0), np.where(hit, self.c[at], 1)
+        return g[~hit], np.sort(self.rank[at[hit]])
 
 
 def global_order(sets: DataFrame) -> Order:
@@ -144,44 +150,87 @@ def global_order(sets: DataFrame) -> Order:
     return Order(heavy.column("h").to_numpy().view(np.uint64), heavy.column("c").to_numpy(), cut <= lowest)
 
 
-def _postings(sets: DataFrame, order, share: float, parts: int) -> DataFrame:
-    """``part, docs, posts``: for each part of the leading n-grams, the sets of a block (sig, n, bitmap) once and their
-    postings (group key, set, position, flags), packed."""
+def _thin(x: np.ndarray) -> bytes:
+    """Rising numbers as their differences, byte planes apart, so that the storage's compression finds the zeros."""
+    d = np.diff(x, prepend=x[:1] * 0)
+    return np.ascontiguousarray(d.view(np.uint8).reshape(-1, d.itemsize).T).tobytes()
+
+
+def _thick(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(raw, np.uint8).reshape(size, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(kind), dtype=kind)
+
+
+def coded_sets(sets: DataFrame, order, kind: str) -> DataFrame:
+    """``id, sig, n, ranks, rest``: each set in the global order; ``rest`` (n-grams that are not heavy) is left out where
+    those cannot be shared. ``n`` counts all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = order.value
+        for b in batches:
+            parts = [by.split(np.frombuffer(x.as_buffer(), np.uint64)) for x in b.column(3)]
+            ranks = pa.array([_thin(r) for _, r in parts], pa.binary())
+            rest = pa.array([None if by.complete else _thin(np.sort(h | _TOP)) for h, _ in parts], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], ranks, rest], names=["id", "sig", "n", "ranks", "rest"])
+
+    return sets.mapInArrow(run, f"id {kind}, sig bigint, n int, ranks binary, rest binary")
+
+
+_TOP = np.uint64(1 << 63)
+
+
+def _tokens(ranks: bytes, rest: bytes | None) -> np.ndarray:
+    r = _thick(ranks, np.uint32).astype(np.uint64)
+    return r if not rest else np.concatenate([_thick(rest, np.uint64), r])
+
+
+def _fold(bitmap: np.ndarray) -> np.ndarray:
+    """A parity bitmap of half the bits."""
+    half = bitmap.shape[1] // 2
+    return bitmap[:, :half] ^ bitmap[:, half:]
+
+
+def _tier(n: np.ndarray) -> np.ndarray:
+    return np.clip(np.ceil(np.log2(np.maximum(n, 1) / TIER)), 0, len(BITS) - 1).astype(np.int64)
+
+
+def _postings(coded: DataFrame, order, share: float, parts: int) -> DataFrame:
+    """``part, docs, posts``: for each part of the leading n-grams, the sets of a block (sig, sizes, bitmap) once and their
+    postings (group, set, position), packed."""
+    top = BITS[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank_of = order.value
+        by_rank = order.value
         for b in batches:
             sig = b.column(0).to_numpy(zero_copy_only=False)
             _, first = np.unique(sig, return_index=True)  # equal sets of the block are sent once
             sig = sig[first].view(np.uint64)
-            raw = b.column(2)
-            gs = [np.frombuffer(raw[i].as_buffer(), np.uint64) for i in first.tolist()]
-            n = np.array([len(g) for g in gs], np.int64)
-            g = np.concatenate(gs)
-            doc = np.repeat(np.arange(len(gs)), n)
-            bits = np.bincount(doc * BITS + (g >> np.uint64(13)).astype(np.int64) % BITS, minlength=len(gs) * BITS).astype(np.uint8) & 1
-            bitmap = np.packbits(bits.reshape(len(gs), BITS), axis=1)
-            rank, count = rank_of.look(g)
-            by = np.lexsort((rank, doc))  # ties: hash order, as g is sorted within a set
-            g, doc, rank, count = g[by], doc[by], rank[by], count[by]
-            pos = np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n)
-            probe = n - np.ceil(share * n - 1e-9).astype(np.int64) + 1
-            index = n - np.ceil(2 * share / (1 + share) * n - 1e-9).astype(np.int64) + 1
+            n = b.column(1).to_numpy(zero_copy_only=False)[first].astype(np.int64)
+            ranks, rest = b.column(2), b.column(3)
+            gs = [_tokens(ranks[i].as_py(), rest[i].as_py()) for i in first.tolist()]
+            m = np.array([len(g) for g in gs], np.int64)
+            g = np.concatenate(gs) if gs else np.empty(0, np.uint64)
+            doc = np.repeat(np.arange(len(gs)), m)
+            bits = np.bincount(doc * top + (mix(g) >> np.uint64(13)).astype(np.int64) % top, minlength=len(gs) * top).astype(np.uint8) & 1
+            bitmap = np.packbits(bits.reshape(len(gs), top), axis=1)
+            pos = np.arange(len(g)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(n - m, m)
+            probe = n - np.ceil(share * n - 1e-9).astype(np.int64) + SHARED
             keep = pos < probe[doc]
-            if rank_of.complete:
-                keep &= rank > 0
-            g, doc, pos, count = g[keep], doc[keep], pos[keep], count[keep]
-            early = pos < index[doc]
+            g, doc, pos = g[keep], doc[keep], pos[keep]
+            heavy = g < _TOP
+            count = np.ones(len(g), np.int64)
+            count[heavy] = by_rank.count[g[heavy].astype(np.int64)]
             # a hot n-gram: its sets fall into blocks, and every pair of blocks is a group of its own
             blocks = -(-count // BLOCK)
             own = (mix(sig)[doc] % np.maximum(blocks, 1).astype(np.uint64)).astype(np.int64)
-            reps = blocks
-            other = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-            g, doc, pos, early, own, reps = (np.repeat(x, reps) for x in (g, doc, pos, early, own, reps))
-            key = np.where(reps > 1, mix(g + mix((np.minimum(own, other) * 1_000_003 + np.maximum(own, other) + 1).astype(np.uint64))), g)
-            flags = early.astype(np.uint8) + 2 * (own != other).astype(np.uint8) * (reps > 1) + 4 * (own > other).astype(np.uint8)
+            other = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            g, doc, pos, own, blocks = (np.repeat(x, blocks) for x in (g, doc, pos, own, blocks))
+            split = blocks > 1
+            key = np.where(split, mix(g + mix((np.minimum(own, other) * 1_000_003 + np.maximum(own, other) + 1).astype(np.uint64))) | _TOP, g)
+            flags = (split & (own != other)).astype(np.uint8) + 2 * (split & (own > other)).astype(np.uint8)
             part = (mix(key) % np.uint64(parts)).astype(np.int64)
-            by = np.argsort(part, kind="stable")
+            by = np.lexsort((key, part))
             edges = np.searchsorted(part[by], np.arange(parts + 1))
             rows: tuple[list, list, list] = ([], [], [])
             for p in range(parts):
@@ -189,39 +238,88 @@ def _postings(sets: DataFrame, order, share: float, parts: int) -> DataFrame:
                 if len(sel):
                     used, local = np.unique(doc[sel], return_inverse=True)
                     rows[0].append(p)
-                    rows[1].append(_pack(sig[used], n[used].astype(np.int32), bitmap[used]))
-                    rows[2].append(_pack(key[sel], local.astype(np.int32), pos[sel].astype(np.int32), flags[sel].astype(np.uint8)))
+                    rows[1].append(_pack_docs(sig[used], n[used], m[used], bitmap[used]))
+                    rows[2].append(_pack_posts(key[sel], local, pos[sel], flags[sel]))
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], names=["part", "docs", "posts"])
 
-    return sets.select("sig", "n", "grams").mapInArrow(run, "part int, docs binary, posts binary")
+    return coded.select("sig", "n", "ranks", "rest").mapInArrow(run, "part int, docs binary, posts binary")
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    return len(columns[0]).to_bytes(8, "little") + b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+def _pack(*columns: bytes) -> bytes:
+    body = [pa.compress(c, "zstd", asbytes=True) for c in columns]
+    head = np.array([x for c, z in zip(columns, body) for x in (len(c), len(z))], np.int64)
+    return len(columns).to_bytes(8, "little") + head.tobytes() + b"".join(body)
 
 
-def _unpack(raw: bytes, *kinds: tuple) -> list[np.ndarray]:
-    n, at, out = int.from_bytes(raw[:8], "little"), 8, []
-    for kind, width in kinds:
-        size = n * width * np.dtype(kind).itemsize
-        x = np.frombuffer(raw, kind, n * width, at)
-        out.append(x.reshape(n, width) if width > 1 else x)
-        at += size
+def _unpack(raw: bytes) -> list[bytes]:
+    k = int.from_bytes(raw[:8], "little")
+    head = np.frombuffer(raw, np.int64, 2 * k, 8)
+    at, out = 8 + 16 * k, []
+    for size, packed in head.reshape(k, 2).tolist():
+        out.append(pa.decompress(raw[at : at + packed], size, "zstd", asbytes=True))
+        at += packed
     return out
 
 
-def pruned_pairs(sig, n, bitmap, key, doc, pos, flags, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets that meet in a group and survive the bounds by length, position and bitmap."""
-    s, m = sig[doc], n[doc].astype(np.int64)
+def _planes(x: np.ndarray, kind: type) -> bytes:
+    x = x.astype(kind)
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def _unplanes(raw: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def _pack_docs(sig, n, m, bitmap) -> bytes:
+    tier, maps, b = _tier(n), [], bitmap
+    for t in range(len(BITS) - 1, -1, -1):
+        maps.append(b[tier == t].tobytes())
+        b = _fold(b)
+    return _pack(sig.tobytes(), _planes(n, np.uint32), _planes(m, np.uint32), *maps)
+
+
+def _unpack_docs(raw: bytes) -> list[np.ndarray]:
+    """sig, n, m and the bitmaps of every tier (zeros above a set's own)."""
+    sig, n, m, *maps = _unpack(raw)
+    sig, n, m = np.frombuffer(sig, np.uint64), _unplanes(n, np.uint32).astype(np.int64), _unplanes(m, np.uint32).astype(np.int64)
+    tier, out = _tier(n), []
+    above = None
+    for t, body in zip(range(len(BITS) - 1, -1, -1), maps):
+        b = np.zeros((len(n), BITS[t] // 8), np.uint8)
+        b[tier == t] = np.frombuffer(body, np.uint8).reshape(-1, BITS[t] // 8)
+        if above is not None:
+            b[tier > t] = _fold(above)[tier > t]
+        out.append(b)
+        above = b
+    return [sig, n, m, *out[::-1]]
+
+
+def _pack_posts(key, doc, pos, flags) -> bytes:
+    return _pack(_thin(key), _planes(doc, np.uint32), _planes(pos, np.uint32), flags.tobytes())
+
+
+def _unpack_posts(raw: bytes) -> list[np.ndarray]:
+    key, doc, pos, flags = _unpack(raw)
+    return [_thick(key, np.uint64), _unplanes(doc, np.uint32).astype(np.int64), _unplanes(pos, np.uint32).astype(np.int64), np.frombuffer(flags, np.uint8)]
+
+
+def pruned_pairs(docs: list[np.ndarray], posts: list[np.ndarray], share: float) -> tuple[np.ndarray, ...]:
+    """(a, b, groups, need) of pairs of sets that meet in a group and survive the bounds by length, position and bitmap:
+    in how many groups they meet, and the overlap that they need."""
+    sig, n, size, *maps = docs
+    key, doc, pos, flags = posts
+    s, m, k = sig[doc], n[doc], size[doc]
     by = np.lexsort((s, m, key))
-    key, doc, pos, flags, s, m = key[by], doc[by], pos[by].astype(np.int64), flags[by], s[by], m[by]
-    words = np.ascontiguousarray(bitmap).view(np.uint64).reshape(len(bitmap), BITS // 64)
+    key, doc, pos, flags, s, m, k = (x[by] for x in (key, doc, pos, flags, s, m, k))
     own = np.ones(len(key), bool)  # one posting per set and group; equal sets come from several blocks of rows
     own[1:] = (key[1:] != key[:-1]) | (s[1:] != s[:-1])
-    key, doc, pos, flags, s, m = key[own], doc[own], pos[own], flags[own], s[own], m[own]
+    key, doc, pos, flags, s, m, k = (x[own] for x in (key, doc, pos, flags, s, m, k))
+    words = [np.ascontiguousarray(b).view(np.uint64) for b in maps]
+    tier = _tier(n)[doc]
+    early = pos < m - np.ceil(2 * share / (1 + share) * m - 1e-9).astype(np.int64) + SHARED
     last = np.searchsorted(key, key, side="right")
-    act = np.flatnonzero((flags & 1 > 0) & (np.arange(len(key)) + 1 < last))  # the smaller set leads with the n-gram early
-    left, right = [], []
+    act = np.flatnonzero(early & (np.arange(len(key)) + 1 < last))  # the smaller set leads with the n-gram early
+    left, right, wanted = [], [], []
     d = 1
     while len(act):
         j = act + d
@@ -230,46 +328,52 @@ def pruned_pairs(sig, n, bitmap, key, doc, pos, flags, share: float) -> tuple[np
         ok = m[act] >= share * m[j] - 1e-9  # sorted by size: the later ones are larger still
         act, j = act[ok], j[ok]
         if len(act):
-            total = m[act] + m[j]
-            need = np.ceil(share / (1 + share) * total - 1e-9)
-            fit = np.minimum(m[act] - pos[act], m[j] - pos[j]) >= need
-            cross = flags[act] & 2 > 0
-            fit &= ~cross | ((flags[act] ^ flags[j]) & 4 > 0)
-            a, c = act[fit], j[fit]
-            diff = np.bitwise_count(words[doc[a]] ^ words[doc[c]]).sum(1)
-            good = diff <= total[fit] - 2 * need[fit]
+            need = np.ceil(share / (1 + share) * (m[act] + m[j]) - 1e-9).astype(np.int64)
+            fit = np.minimum(pos[act], pos[j]) + np.minimum(m[act] - pos[act], m[j] - pos[j]) >= need
+            fit &= (flags[act] & 1 == 0) | ((flags[act] ^ flags[j]) & 2 > 0)
+            a, c, need = act[fit], j[fit], need[fit]
+            most = k[a] + k[c] - 2 * need
+            level = np.minimum(tier[a], tier[c])
+            good = np.zeros(len(a), bool)
+            for t, w in enumerate(words):
+                at = np.flatnonzero(level == t)
+                if len(at):
+                    good[at] = np.bitwise_count(w[doc[a[at]]] ^ w[doc[c[at]]]).sum(1) <= most[at]
             left.append(s[a[good]])
             right.append(s[c[good]])
+            wanted.append(need[good])
         d += 1
-    if not left:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    a, c = np.concatenate(left), np.concatenate(right)
-    if not len(a):
-        return a, c
+    if not left or not sum(map(len, left)):
+        none = np.empty(0, np.uint64)
+        return none, none, np.empty(0, np.int64), np.empty(0, np.int64)
+    a, c, need = np.concatenate(left), np.concatenate(right), np.concatenate(wanted)
     low, high = np.minimum(a, c), np.maximum(a, c)
-    pair = np.unique(np.stack([low, high], 1), axis=0)
-    return pair[:, 0], pair[:, 1]
+    by = np.lexsort((high, low))
+    low, high, need = low[by], high[by], need[by]
+    new = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+    return low[new], high[new], np.diff(np.append(new, len(low))), need[new]
 
 
 def _candidates(postings: DataFrame, share: float, parts: int) -> DataFrame:
-    """``a, b`` (a < b as unsigned hashes) of one part of the groups at a time; a pair may come from several parts."""
+    """``a, b`` (a < b as unsigned hashes): pairs that meet in enough groups of all parts together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, posts, base = [], [], 0
         for batch in batches:
-            for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                d = _unpack(x, (np.uint64, 1), (np.int32, 1), (np.uint8, BITS // 8))
-                p = _unpack(y, (np.uint64, 1), (np.int32, 1), (np.int32, 1), (np.uint8, 1))
+            for x, y in zip(batch.column(1), batch.column(2)):
+                d, p = _unpack_docs(x.as_py()), _unpack_posts(y.as_py())
                 p[1] = p[1] + base
                 base += len(d[0])
                 docs.append(d)
                 posts.append(p)
         if docs:
-            a, b = pruned_pairs(*(np.concatenate(c) for c in zip(*docs)), *(np.concatenate(c) for c in zip(*posts)), share)
-            for i in range(0, len(a), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 200_000].view(np.int64)), pa.array(b[i : i + 200_000].view(np.int64))], names=["a", "b"])
+            found = pruned_pairs([np.concatenate(c) for c in zip(*docs)], [np.concatenate(c) for c in zip(*posts)], share)
+            for i in range(0, len(found[0]), 200_000):
+                a, b, groups, need = (c[i : i + 200_000] for c in found)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(groups.astype(np.int32)), pa.array(need.astype(np.int32))], names=["a", "b", "met", "need"])
 
-    return postings.repartitionById(parts, F.col("part")).mapInArrow(run, "a bigint, b bigint")
+    met = postings.repartitionById(parts, F.col("part")).mapInArrow(run, "a bigint, b bigint, met int, need int")
+    return met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("need").alias("need")).where(F.col("met") >= F.least(F.col("need"), F.lit(SHARED))).select("a", "b")
 
 
 class PrefixTree:
@@ -277,9 +381,9 @@ class PrefixTree:
 
     __slots__ = ("edge", "ends", "kids", "least", "most")
 
-    def __init__(self, rows: list[tuple[tuple, int]], at: int = 0):
-        """rows: (sequence, name) sorted by sequence; all share their first ``at`` tokens."""
-        self.least = min(len(r[0]) for r in rows)
+    def __init__(self, rows: list[tuple[tuple, int, int]], at: int = 0):
+        """rows: (sequence, size of the set, name) sorted by sequence; all share their first ``at`` tokens."""
+        self.least = min(r[1] for r in rows)
         self.most = max(len(r[0]) for r in rows)
         first, last = rows[0][0], rows[-1][0]
         to = at
@@ -287,7 +391,7 @@ class PrefixTree:
         while to < stop and first[to] == last[to]:
             to += 1
         self.edge = first[at:to]
-        self.ends = [r[1] for r in rows if len(r[0]) == to]
+        self.ends = [r[1:] for r in rows if len(r[0]) == to]
         self.kids = []
         i = len(self.ends)
         while i < len(rows):
@@ -302,54 +406,44 @@ class PrefixTree:
             if t in probe:
                 met += 1
         depth += len(self.edge)
-        if met + min(self.most - depth, size - met) < share / (1 + share) * (size + self.least) - 1e-9:
+        if met + min(self.most - depth, len(probe) - met) < share / (1 + share) * (size + self.least) - 1e-9:
             return
-        for name in self.ends:
-            if met >= share / (1 + share) * (size + depth) - 1e-9:
-                out.append((name, met))
+        for n, name in self.ends:
+            if met >= share / (1 + share) * (size + n) - 1e-9:
+                out.append((name, met, n))
         for kid in self.kids:
             kid.walk(probe, size, share, met, depth, out)
 
 
-def _verify(rows: DataFrame, order, share: float) -> DataFrame:
-    """``a, b, met, n_a, n_b`` for rows ``a, b, kind, grams`` sorted by (a, kind): kind 0 is the probe's own set."""
-
-    def ordered(raw: bytes, by) -> tuple:
-        g = np.frombuffer(raw, np.uint64)
-        rank, _ = by.look(g)
-        return tuple(g[np.argsort(rank, kind="stable")].tolist())
+def _verify(rows: DataFrame, share: float) -> DataFrame:
+    """``a, b, met, n_a, n_b`` for rows ``a, b, kind, n, ranks, rest`` sorted by (a, kind): kind 0 is the probe's own set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = order.value
         probe, size, at, partners = frozenset(), 0, None, []
         out: list[tuple] = []
 
         def flush() -> None:
             if partners:
                 found: list = []
-                sizes = {b: len(s) for s, b in partners}
                 partners.sort()
                 PrefixTree(partners).walk(probe, size, share, 0, 0, found)
-                out.extend((at, b, met, size, sizes[b]) for b, met in found)
+                out.extend((at, b, met, size, n) for b, met, n in found)
                 partners.clear()
 
-        def emit() -> pa.RecordBatch:
-            cols = list(zip(*out)) or [[]] * 5
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["a", "b", "met", "n_a", "n_b"])
-
         for batch in batches:
-            for a, b, kind, raw in zip(*(batch.column(k).to_pylist() for k in ("a", "b", "kind", "grams"))):
+            for a, b, kind, n, ranks, rest in zip(*(batch.column(k).to_pylist() for k in ("a", "b", "kind", "n", "ranks", "rest"))):
+                tokens = _tokens(ranks, rest).tolist()
                 if kind == 0:
                     flush()
-                    at, probe = a, frozenset(np.frombuffer(raw, np.uint64).tolist())
-                    size = len(probe)
+                    at, probe, size = a, frozenset(tokens), n
                 else:
-                    partners.append((ordered(raw, by), b))
+                    partners.append((tuple(tokens), n, b))
                     if len(partners) >= TREE:
                         flush()
             flush()
-            yield emit()
+            cols = list(zip(*out)) or [[]] * 5
+            out.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["a", "b", "met", "n_a", "n_b"])
 
     return rows.mapInArrow(run, "a bigint, b bigint, met int, n_a int, n_b int")
 
@@ -358,20 +452,21 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, words: int = 5, s
     """(members, links). members: ``id, sig`` for each text that takes part; links: ``a, b, met, n_a, n_b, similarity``
     between the classes (sig) of different sets whose similarity is ``share`` or more, each pair once."""
     spark = df.sparkSession
-    sets = cut_lineage(gram_sets(df, id_col, text_col, words, least_words))
+    sets = gram_sets(df, id_col, text_col, words, least_words)  # made twice: to be counted, and to be written in order
     order = spark.sparkContext.broadcast(global_order(sets))
+    coded = cut_lineage(coded_sets(sets, order, df.schema[id_col].dataType.simpleString()))
     parts = shuffle_parts(spark)
-    pairs = cut_lineage(_candidates(_postings(sets, order, share, parts), share, parts).distinct())
+    pairs = cut_lineage(_candidates(_postings(coded, order, share, parts), share, parts))
     used = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-    full = sets.join(used, "sig", "left_semi").groupBy("sig").agg(F.first("grams").alias("grams"))
-    full = cut_lineage(full)
+    columns = ["n", "ranks", "rest"]
+    full = cut_lineage(coded.join(used, "sig", "left_semi").groupBy("sig").agg(*[F.first(c).alias(c) for c in columns]))
     salt = F.pmod(F.xxhash64("b"), F.lit(SPREAD)).cast("int")
-    partner = pairs.join(full.withColumnRenamed("sig", "b"), "b").select("a", "b", F.lit(1).alias("kind"), salt.alias("s"), "grams")
+    partner = pairs.join(full.withColumnRenamed("sig", "b"), "b").select("a", "b", F.lit(1).alias("kind"), salt.alias("s"), *columns)
     heads = pairs.select("a", salt.alias("s")).distinct()
-    probe = heads.join(full.withColumnRenamed("sig", "a"), "a").select("a", F.lit(None).cast("bigint").alias("b"), F.lit(0).alias("kind"), "s", "grams")
-    rows = partner.unionByName(probe).repartition(parts, "a", "s").sortWithinPartitions("a", "s", "kind").select("a", "b", "kind", "grams")
-    links = _verify(rows, order, share).withColumn("similarity", F.col("met") / (F.col("n_a") + F.col("n_b") - F.col("met")))
-    return sets.select("id", "sig").distinct(), links
+    probe = heads.join(full.withColumnRenamed("sig", "a"), "a").select("a", F.lit(None).cast("bigint").alias("b"), F.lit(0).alias("kind"), "s", *columns)
+    rows = partner.unionByName(probe).repartition(parts, "a", "s").sortWithinPartitions("a", "s", "kind").select("a", "b", "kind", *columns)
+    links = _verify(rows, share).withColumn("similarity", F.col("met") / (F.col("n_a") + F.col("n_b") - F.col("met")))
+    return coded.select("id", "sig").distinct(), links
 
 
 def similar_pairs(df: DataFrame, id_col: str, text_col: str, words: int = 5, share: float = 0.8, least_words: int = 1) -> DataFrame:
