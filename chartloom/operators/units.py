@@ -56,9 +56,9 @@ massconc mg/dL 10 0: mg/dl mg% mgdl mg/100ml mgs/dl
 massconc g/L 1000 0: g/l gm/l
 massconc g/dL 10000 0: g/dl g%
 massconc mg/L 1 0: mg/l ug/ml mcg/ml
-duration s 1 0: s sec second
+duration s 1 0: s sec secs second
 duration min 60 0: min minute
-duration h 3600 0: h hr hour
+duration h 3600 0: h hr hrs hour
 duration d 86400 0: d day
 """
 #: Kinds of unit that each quantity of the reference table takes.
@@ -97,6 +97,8 @@ _NUMBER = re.compile(
 _UNIT = re.compile(r"\s*(?:(?:deg(?:rees?|\.)?|°|º)\s*)?(?P<unit>\"|''|”|[^\W\d_]+(?:/(?:\d+)?[^\W\d_]+|%)?|°|º)", re.I)
 # A multiplication sign between two dimensions, however it is set.
 _TIMES = re.compile(rf"(?i)(?<!\bsi)(?<=[\w.\"¼½¾⅓⅔⅛])\s*[x×*]\s*(?=\.?\d|[¼½¾⅓⅔⅛]|(?:{_WORDS})(?:[x×*\s]|$))")
+# A number word set against its unit.
+_JOINED = re.compile(rf"(?i)\b({_WORDS})(?=(?:mm|cm|milli|centi|micro|kilo|mg|ml|min|inch|hour|gram|liter|litre|pound|second|degree)[a-z]*\b)")
 _SEPARATOR = re.compile(r"x|by|to|and|or|und|bis|a", re.I)
 
 
@@ -145,7 +147,7 @@ def read_quantities(quantity: str, text: str | None, column: str | None) -> list
     """(number, unit spelling or name) of each quantity of a measurement text; spelling '' where none is to be had."""
     if not text:
         return []
-    text = _TIMES.sub(" x ", text)
+    text = _TIMES.sub(" x ", _JOINED.sub(r"\1 ", text))
     found: list[list] = []  # number, unit text, end
     for m in _NUMBER.finditer(text):
         u = _UNIT.match(text, m.end())

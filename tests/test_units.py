@@ -22,6 +22,8 @@ SCHEMA = "meas_id bigint, measured string, measurement string, unit string"
         ("length", "10xtwox80 MM", "", [("10", "mm"), ("2", "mm"), ("80", "mm")]),
         ("length", "4.7 cmx23 mmx10.1 cm", None, [("4.7", "cm"), ("23", "mm"), ("10.1", "cm")]),
         ("length", "six mm", None, [("6", "mm")]),
+        ("length", "fourmm x tenmillimeters", None, [("4", "mm"), ("10", "mm")]),
+        ("duration", "0.5 hrs", None, [("0.5", "h")]),
         ("volume", "1,040 ML", "L", [("1040", "mL")]),
         ("volume", ".6–1.9 L", None, [("0.6", "L"), ("1.9", "L")]),
         ("duration", "5 h 10 min", "h", [(Fraction(31, 6), "h")]),
