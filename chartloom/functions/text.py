@@ -61,13 +61,23 @@ def expand(c: Column, rules: dict[str, str]) -> Column:
     return reduce(lambda x, r: F.regexp_replace(x, rf"(?iU)\b{_literal(r[0])}\b", r[1]), rules.items(), c)
 
 
+def expand_once(c: Column, rules: dict[str, str]) -> Column:
+    """``expand`` in one pass, for rules of which none makes another one apply: the text is cut at all abbreviations at
+    once and put together again with their expansions."""
+    low = {k.lower(): v for k, v in rules.items()}
+    pattern = rf"(?iU)(?=[{''.join(sorted({k[0] for k in low}))}])\b(?:" + "|".join(_literal(k) for k in sorted(low, key=len, reverse=True)) + r")\b"
+    table = F.create_map(*[F.lit(x) for kv in low.items() for x in kv])
+    full = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), lambda m: table[F.lower(m)])
+    return F.array_join(F.flatten(F.zip_with(F.split(c, pattern, -1), full, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+
+
 def clean_text(c: Column) -> Column:
     """De-identification marks out, abbreviations expanded, laboratory values tagged, blanks collapsed."""
     x = F.coalesce(c, F.lit(""))
     x = F.regexp_replace(x, "_{3,}", " ")
     x = F.regexp_replace(x, r"(?d)\[\*\*.*?\*\*\]", " ")
-    x = expand(x, ABBREVIATIONS)
-    x = F.regexp_replace(x, r"(?U)([A-Za-z]+)\:\s*(\d+\.?\d*)\s*([a-zA-Z/%]+)", "LABTEST $1: $2 $3")
+    x = expand_once(x, ABBREVIATIONS)
+    x = F.regexp_replace(x, r"(?U)(?<![A-Za-z])([A-Za-z]++)\:\s*(\d+\.?\d*)\s*([a-zA-Z/%]+)", "LABTEST $1: $2 $3")
     x = F.regexp_replace(x, r"\[DEID\]", " ")
     return strip_ws(F.regexp_replace(x, "[ \t]+", " "))
 
@@ -147,11 +157,10 @@ def note_track(c: Column) -> Column:
 
 def matches(text: Column, pattern: str, groups: int) -> Column:
     """array<struct<start, end, full, g1..gn>> of all matches, with character offsets, without a Python UDF: the pieces
-    between matches and the matches themselves are summed up."""
+    between matches and the matches themselves are summed up, and the groups are read from the short matches."""
     gaps = F.split(text, pattern, -1)
     full = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in range(1, groups + 1)]
-    whole = F.struct(gaps.alias("gaps"), full.alias("full"), *[p.alias(f"p{k}") for k, p in enumerate(parts, 1)])
+    whole = F.struct(gaps.alias("gaps"), full.alias("full"))
 
     def one(s: Column) -> Column:
         def at(i: Column) -> Column:
@@ -162,7 +171,7 @@ def matches(text: Column, pattern: str, groups: int) -> Column:
         return F.transform(
             index,
             lambda i: F.struct(
-                at(i).alias("start"), (at(i) + F.length(F.get(s["full"], i))).alias("end_"), F.get(s["full"], i).alias("full"), *[F.nullif(F.get(s[f"p{k}"], i), F.lit("")).alias(f"g{k}") for k in range(1, groups + 1)]
+                at(i).alias("start"), (at(i) + F.length(F.get(s["full"], i))).alias("end_"), F.get(s["full"], i).alias("full"), *[F.nullif(F.regexp_extract(F.get(s["full"], i), pattern, k), F.lit("")).alias(f"g{k}") for k in range(1, groups + 1)]
             ),
         )
 
