@@ -131,6 +131,7 @@ class BKTree:
         """entries: (name, id); equal names keep all their ids."""
         self.ids: dict[str, list[str]] = {}
         self.mask: dict[str, int] = {}
+        self.known: dict[str, list[tuple[int, str]]] = {}
         self.root: tuple[str, dict] | None = None
         for name, key in entries:
             if name in self.ids:
@@ -150,6 +151,20 @@ class BKTree:
                     break
                 at = at[1][d]
 
+    def nearest(self, word: str, most: int) -> list[tuple[int, str]]:
+        """All entries at the least distance that is at most ``most``; a small radius visits few nodes, so it is tried
+        first. Many values share a reading, so the answers of a block are kept."""
+        if word not in self.known:
+            if len(self.known) > 500_000:
+                self.known.clear()
+            found: list[tuple[int, str]] = []
+            for k in range(1, most + 1):
+                found = self.within(word, k)
+                if found:
+                    break
+            self.known[word] = found
+        return [f for f in self.known[word] if f[0] <= most]
+
     def within(self, word: str, radius: int) -> list[tuple[int, str]]:
         if word in self.ids:
             return [(0, word)]
@@ -187,7 +202,9 @@ def best(tree: BKTree, value: str) -> tuple[float, str, str] | None:
             room = min(room, int(top[0] - cost) if top[0] > cost else -1)
         if room < 1:
             continue
-        for d, name in tree.within(word, room):
+        for d, name in tree.nearest(word, radius(word)):
+            if d > room:
+                continue
             got = (d + cost, name, min(tree.ids[name]))
             if top is None or got < top:
                 top = got
