@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chartloom.runtime import shuffle_parts
+
 UNMAPPED = "UNMAPPED"
 #: Reference names of one shard; a worker holds one shard at a time.
 SHARD = 50_000
@@ -231,6 +233,7 @@ def map_values(values: DataFrame, value_col: str, reference: DataFrame, key_col:
     names = reference.select(key_col, F.explode(F.array(*name_cols)).alias("name")).where(F.col("name").isNotNull() & (F.trim("name") != "")).distinct()
     shards = max(1, -(-names.count() // SHARD))
     distinct = values.select(F.col(value_col).alias("value")).where(F.col("value").isNotNull()).distinct()
+    width = shuffle_parts(spark)
     merged = None
     for s in range(shards):
         rows = names.where(F.pmod(F.xxhash64("name"), F.lit(shards)) == s).collect()
@@ -247,7 +250,8 @@ def map_values(values: DataFrame, value_col: str, reference: DataFrame, key_col:
                     pa.schema([("value", pa.string()), ("cost", pa.float64()), ("name", pa.string()), ("id", pa.string())]),
                 )
 
-        found = distinct.repartition(shuffle_width(spark), "value").mapInArrow(run, "value string, cost double, name string, id string")
+        dealt = distinct.repartitionById(width, F.pmod(F.xxhash64("value"), F.lit(width)).cast("int"))  # never merged to few tasks
+        found = dealt.mapInArrow(run, "value string, cost double, name string, id string")
         merged = found if merged is None else merged.unionByName(found)
     win = merged.groupBy("value").agg(F.min(F.struct("cost", "name", "id")).alias("w"))
     return (
@@ -255,8 +259,3 @@ def map_values(values: DataFrame, value_col: str, reference: DataFrame, key_col:
         .select(F.col("value").alias(value_col), F.coalesce("w.id", F.lit(UNMAPPED)).alias("matched_id"), F.coalesce("w.name", F.lit(UNMAPPED)).alias("matched_name"), F.col("w.cost").alias("cost"))
     )
 
-
-def shuffle_width(spark) -> int:
-    from chartloom.runtime import shuffle_parts
-
-    return shuffle_parts(spark)
