@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chartloom.functions.text import keyword_relation
 from chartloom.operators.entities import TOTAL, norm
+from chartloom.runtime import cut_lineage
 
 # Sections, labels, windows and thresholds of the batch and the interactive configuration.
 BATCH_SECTIONS = ["HPI", "Hospital Course", "Assessment/Plan", "Findings", "Impression"]
@@ -35,10 +36,11 @@ def pair_dedup(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
-def cooccurrence_pairs(entities: DataFrame, sentences: DataFrame, types: list[str], window: int, sections: list[str] | None = None) -> DataFrame:
+def candidate_pairs(entities: DataFrame, sentences: DataFrame, types: list[str], window: int) -> DataFrame:
     """Pairs of one note with start_1 < start_2, at most ``window`` sentences apart, one side an act (drug, treatment) and
-    the other an observation (problem, test). The type filter runs before the self-join; the other conditions are part
-    of it, so the join never materialises a note's full square. A hot note's partition is split by AQE."""
+    the other an observation (problem, test), with the section of the first. The type filter runs before the self-join;
+    the other conditions are part of it, so the join never materialises a note's full square. A hot note's partition is
+    split by AQE."""
     e = entities.where(F.col("entity_group").isin(types)).select("note_id", "hadm_id", *_ENTITY)
     a = e.select("note_id", "hadm_id", *[F.col(c).alias(f"{c}_1") for c in _ENTITY])
     b = e.select(F.col("note_id").alias("note_b"), F.col("hadm_id").alias("hadm_b"), *[F.col(c).alias(f"{c}_2") for c in _ENTITY])
@@ -46,21 +48,26 @@ def cooccurrence_pairs(entities: DataFrame, sentences: DataFrame, types: list[st
     on = (F.col("note_id") == F.col("note_b")) & F.col("hadm_id").eqNullSafe(F.col("hadm_b")) & (F.col("start_1") < F.col("start_2")) & near & _plausible("entity_group_1", "entity_group_2")
     pairs = a.join(b, on).drop("note_b", "hadm_b").withColumn("sentence_diff", F.abs(F.col("sentence_index_1") - F.col("sentence_index_2")))
     names = sentence_lookup(sentences, "section_name").withColumnRenamed("sentence_index", "sentence_index_1")
-    pairs = pairs.join(names, ["note_id", "sentence_index_1"], "left").withColumn("section_name", F.coalesce("section_name", F.lit("unknown")))
-    if sections:
-        pairs = pairs.where(F.col("section_name").isin(sections))
-    return pair_dedup(pairs)
+    return pairs.join(names, ["note_id", "sentence_index_1"], "left").withColumn("section_name", F.coalesce("section_name", F.lit("unknown")))
+
+
+def narrowed(pairs: DataFrame, window: int, sections: list[str] | None) -> DataFrame:
+    """Candidate pairs of a window and of sections, each (note, start_1, start_2) once."""
+    kept = pairs.where(F.col("sentence_diff") <= window)
+    return pair_dedup(kept.where(F.col("section_name").isin(sections)) if sections else kept)
+
+
+def cooccurrence_pairs(entities: DataFrame, sentences: DataFrame, types: list[str], window: int, sections: list[str] | None = None) -> DataFrame:
+    return narrowed(candidate_pairs(entities, sentences, types, window), window, sections)
 
 
 def section_threshold(section: Column) -> Column:
     return F.when(section.isin(STRICT_SECTIONS), F.lit(STRICT_THRESHOLD)).otherwise(F.lit(OTHER_THRESHOLD))
 
 
-def extract_relations(entities: DataFrame, sentences: DataFrame, config: dict, threshold: Column | float | None = None, classify=keyword_relation) -> DataFrame:
-    """TREATS and CAUSES relations of drug-problem pairs whose score reaches the threshold (a column, a number, or the
-    section's own). Contexts repeat from pair to pair, so ``classify`` is applied to different contexts once."""
+def with_relation(pairs: DataFrame, sentences: DataFrame, config: dict, classify=keyword_relation) -> DataFrame:
+    """Drug-problem pairs with the relation and score of their context: the sentence of both, or the two joined."""
     drugs, problems = config["drugs"], config["problems"]
-    pairs = cooccurrence_pairs(entities, sentences, drugs + problems, config["window"], config["sections"])
     exact = (F.col("entity_group_1").isin(drugs) & F.col("entity_group_2").isin(problems)) | (F.col("entity_group_1").isin(problems) & F.col("entity_group_2").isin(drugs))
     text = sentence_lookup(sentences, "sentence_text")
     one = text.select("note_id", F.col("sentence_index").alias("sentence_index_1"), F.col("sentence_text").alias("t1"))
@@ -69,15 +76,32 @@ def extract_relations(entities: DataFrame, sentences: DataFrame, config: dict, t
     t1, t2 = F.coalesce("t1", F.lit("")), F.coalesce("t2", F.lit(""))
     rows = rows.withColumn("context", F.when(F.col("sentence_diff") == 0, t1).otherwise(F.concat(t1, F.lit(" "), t2))).drop("t1", "t2")
     relation, score = classify(F.col("context"))
-    rows = rows.withColumn("relation_type", relation).withColumn("model_confidence", score)
-    least = section_threshold(F.col("section_name")) if threshold is None else threshold if isinstance(threshold, Column) else F.lit(threshold)
+    return rows.withColumn("relation_type", relation).withColumn("model_confidence", score).drop("context")
+
+
+def accepted(rows: DataFrame, least: Column) -> DataFrame:
+    """TREATS and CAUSES relations whose score reaches ``least``, with the default evidence."""
     kept = rows.where(F.col("relation_type").isin("TREATS", "CAUSES") & (F.col("model_confidence") >= least))
-    return kept.withColumn("evidence_type", F.lit("direct implication")).withColumn("evidence_confidence", F.lit(0.55)).drop("context")
+    return kept.withColumn("evidence_type", F.lit("direct implication")).withColumn("evidence_confidence", F.lit(0.55))
+
+
+def extract_relations(entities: DataFrame, sentences: DataFrame, config: dict, threshold: Column | float | None = None, classify=keyword_relation) -> DataFrame:
+    """TREATS and CAUSES relations of drug-problem pairs whose score reaches the threshold (a column, a number, or the
+    section's own)."""
+    pairs = cooccurrence_pairs(entities, sentences, config["drugs"] + config["problems"], config["window"], config["sections"])
+    least = section_threshold(F.col("section_name")) if threshold is None else threshold if isinstance(threshold, Column) else F.lit(threshold)
+    return accepted(with_relation(pairs, sentences, config, classify), least)
+
 
+def relaxed_fallback(entities: DataFrame, sentences: DataFrame, classify=keyword_relation) -> DataFrame:
+    """The interactive configuration; notes without any result are tried again with a wider window and all sections.
 
-def relaxed_fallback(entities: DataFrame, sentences: DataFrame) -> DataFrame:
-    """The interactive configuration; notes without any result are tried again with a wider window and all sections."""
-    strict = extract_relations(entities, sentences, API, API_THRESHOLD)
-    wide = extract_relations(entities, sentences, API | {"window": RELAXED_WINDOW, "sections": None}, API_THRESHOLD)
+    The wider candidates hold the strict ones: they are joined and classified once and written once; both passes are
+    windows over them.
+    """
+    found = candidate_pairs(entities, sentences, API["drugs"] + API["problems"], RELAXED_WINDOW)
+    found = cut_lineage(with_relation(found, sentences, API, classify))
+    strict = accepted(narrowed(found, API["window"], API["sections"]), F.lit(API_THRESHOLD))
+    wide = accepted(narrowed(found, RELAXED_WINDOW, None), F.lit(API_THRESHOLD))
     rest = wide.join(strict.select("note_id").distinct(), "note_id", "left_anti")
     return strict.withColumn("pass", F.lit("strict")).unionByName(rest.withColumn("pass", F.lit("relaxed"))).where(F.col("model_confidence") >= API_FILTER)
