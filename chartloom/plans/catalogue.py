@@ -112,6 +112,17 @@ def legacy_abbrev(s, d):
     return _notes(s, d).select("note_id", text.expand(F.col("text"), text.LEGACY_ABBREVIATIONS).alias("expanded"))
 
 
+@query
+def expand_second(s, d):
+    return _notes(s, d).select("note_id", text.expand_once(F.concat("text", F.lit(" ivf and CT")), text.ABBREVIATIONS_2).alias("expanded"))
+
+
+@query
+def linked_or_unmapped(s, d):
+    """The least score that a first candidate needs, on the small ontology's aliases."""
+    return models.linked_or_unmapped(fx.view(s, d, fx.KB).withColumnRenamed("alias", "text"), 0.95)
+
+
 @query
 def strip_dosage(s, d):
     return _notes(s, d).select("note_id", text.strip_dosage(F.concat("text", F.lit(" 50 mg 2ml 3 units"))).alias("stripped"))

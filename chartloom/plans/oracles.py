@@ -187,6 +187,7 @@ def oracle_sql() -> dict[str, str]:
         "clean_text": cte(n=NOTES) + f"SELECT note_id, {_clean('text')} AS clean_text FROM n",
         "legacy_clean": f"SELECT doc_id, {_legacy('text')} AS cleaned_text FROM documents",
         "legacy_abbrev": cte(n=NOTES) + "SELECT note_id, " + _sub("text", *[(rf"\b{a}\b", b) for a, b in [("htn", "hypertension"), ("dm", "diabetes mellitus"), ("t2dm", "type 2 diabetes mellitus"), ("id-t2dm", "insulin-dependent type 2 diabetes mellitus"), ("bph", "benign prostatic hyperplasia"), ("lfts", "liver function tests"), ("rcc", "renal cell carcinoma"), ("n/v", "nausea vomiting"), ("abd", "abdominal")]], flags="gi") + " AS expanded FROM n",
+        "expand_second": cte(n=NOTES) + "SELECT note_id, " + _sub("text || ' ivf and CT'", *[(rf"\b{a}\b", b) for a, b in [("HTN", "hypertension"), ("DM2", "type 2 diabetes mellitus"), ("CHF", "congestive heart failure"), ("pt", "patient"), ("dx", "diagnosis"), ("hx", "history"), ("s/p", "status post"), ("c/o", "complains of"), ("prn", "as needed"), ("BID", "twice a day"), ("TID", "three times a day"), ("QID", "four times a day"), ("sob", "shortness of breath"), ("ivf", "intravenous fluids"), ("ct", "computed tomography")]], flags="gi") + " AS expanded FROM n",
         "strip_dosage": cte(n=NOTES) + "SELECT note_id, " + _STRIP.format(_sub(_sub("text || ' 50 mg 2ml 3 units'", (r"\b\d+(\.\d+)?\s?(mg|ml|mcg|g|units?)\b", ""), flags="gi"), (r"\s+", " "))) + " AS stripped FROM n",
         "normalize_drug": cte(x=RX) + "SELECT drug, CASE lower(trim(drug)) WHEN 'ativan' THEN 'lorazepam' WHEN 'tylenol' THEN 'acetaminophen' WHEN 'paracetamol' THEN 'acetaminophen' ELSE lower(trim(drug)) END AS normalized, count(*) AS n FROM x GROUP BY ALL",
         "drug_noise": cte(e=ENT) + "SELECT word, lower(trim(word)) IN ('pt','nad','ctab','q8h','qhs','u-100','greasy','fen','hsq','pcp','sodium') OR length(trim(word)) < 4 OR contains(word, '/') AS noise, count(*) AS n FROM e GROUP BY ALL",
@@ -225,6 +226,7 @@ q AS (SELECT section_id, i, x[i + 1] AS t FROM (SELECT section_id, x, unnest(ran
  SELECT f.note_id, f.start_1, f.start_2, f.relation_type, l1.cui AS cui_1, l1.canonical_name AS canonical_name_1, l2.cui AS cui_2, l2.canonical_name AS canonical_name_2, {_IS_VALID.replace('relation_type', 'f.relation_type')} AS target_semantic_valid
  FROM fr f LEFT JOIN l1 ON l1.word = f.word_1 AND l1.entity_group = f.entity_group_1 AND l1.relation_type = f.relation_type LEFT JOIN l2 ON l2.word = f.word_2 AND l2.entity_group = f.entity_group_2 AND l2.relation_type = f.relation_type LEFT JOIN {_VALID} v ON v.vc = l2.cui""",
         "target_valid": cte(e=ENT, kb=KB)[:-1] + ", mm AS (SELECT word, entity_group, t AS relation_type FROM e CROSS JOIN (VALUES ('TREATS'), ('CAUSES'), ('NONE')) AS v(t)), " + _link("lk", "mm", "target") + f" SELECT word, entity_group, relation_type, cui, canonical_name, {_IS_VALID} AS target_semantic_valid FROM lk LEFT JOIN {_VALID} v ON v.vc = lk.cui",
+        "linked_or_unmapped": cte(kb=KB) + "SELECT text, CASE WHEN s >= 0.95 THEN c ELSE 'UNMAPPED' END AS cui, CASE WHEN s >= 0.95 THEN n ELSE 'UNMAPPED' END AS canonical_name FROM (SELECT alias AS text, max(score) AS s, arg_max(cui, score) AS c, arg_max(canonical_name, score) AS n FROM kb GROUP BY alias)",
         "ade_track": cte(r=REL) + "SELECT * FROM r WHERE relation_type = 'CAUSES' AND model_confidence >= 0.75",
         "treatment_track": cte(r=REL) + "SELECT * FROM r WHERE relation_type = 'TREATS' AND model_confidence >= 0.65",
         "mapping_coverage": cte(r=REL) + "SELECT count(*) AS rows, round((sum(CASE WHEN cui_1 <> 'UNMAPPED' THEN 1 ELSE 0 END) + sum(CASE WHEN cui_2 <> 'UNMAPPED' THEN 1 ELSE 0 END)) / (2.0 * count(*)), 6) AS coverage FROM r",
