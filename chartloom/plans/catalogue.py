@@ -387,9 +387,9 @@ def cosine_similarity(s, d):
     e = table(s, d, "embeddings")
     vec = next(f.name for f in e.schema.fields if f.dataType.typeName() == "array")
     key = e.columns[0]
-    mean = e.select(F.posexplode(vec).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x"))
-    centre = mean.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias("centre"))  # one value per dimension
-    return e.join(F.broadcast(centre)).select(key, F.round(text.cosine(F.col(vec), F.col("centre")), 6).alias("cosine"))
+    mean = e.select(F.posexplode(vec).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x")).orderBy("i").collect()  # one row per dimension
+    centre = F.array(*[F.lit(r["x"]) for r in mean]).cast("array<double>")
+    return e.select(key, F.round(text.cosine(F.col(vec), centre), 6).alias("cosine"))
 
 
 @query
