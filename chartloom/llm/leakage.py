@@ -1,10 +1,11 @@
 """Evaluation passages that leak into training documents.
 
 A positional inverted index is built over the training tokens, one shard per block of documents: for every term of the
-test items the sorted list of its positions in the block. Each item's terms are taken from the rarest on: their lists
-are shifted by the term's offset in the item and intersected with those of their neighbours, which leaves the places
-where a phrase of the item stands. Phrases whose shifted places agree (proximity, a few words of drift) are joined to
-stretches, and the words of the item that the stretches cover decide.
+test items the sorted list of its positions in the block. Each item's lists are shifted by the term's offset in the item
+and intersected with those of their neighbours, which leaves the places where a phrase of the item stands. A document is
+looked at for an item if all such phrases together, rare or not and at whatever shift, cover as many words of the item as
+must stand unaltered. Phrases whose shifted places agree (proximity, a few words of drift) are joined to stretches, and
+the words of the item that the stretches cover, and those met in them, decide.
 
 The index is sharded by documents, so postings are used where they are made and never cross the network; only the test
 items (a fixed, small table whose size is checked) are sent to the executors.
@@ -30,12 +31,14 @@ HAN = re.compile(r"([぀-ヿ㐀-鿿])")
 PHRASE = 3
 #: Share of an item's words that must stand in the document, and of those that must stand unaltered.
 LEAST_COVER, LEAST_EXACT = 0.47, 0.4
+#: Share of the words inside the stretches, gaps included, that may be altered ("about a tenth").
+MOST_ALTERED = 0.15
 #: Words by which neighbouring phrases may drift apart, and words that may be altered between two of them.
 DRIFT, GAP = 6, 4
 #: Phrases of one stretch at least, its words at least, and stretches that count.
 LEAST_RUN, LEAST_STRETCH, MOST_STRETCHES = 4, 9, 5
-#: A phrase is an item's own if it has at most so many places in all items; share of an item's words that must begin one.
-RARE, LEAST_RARE = 2, 0.1
+#: Places of phrases in items that are held at a time (more if a single document has more).
+MOST_SPREAD = 2_000_000
 #: Test items are held by every worker: more characters than this are refused.
 MOST_ITEM_CHARS = 200_000_000
 
@@ -63,6 +66,7 @@ class ItemIndex:
                 self.ids.append(item_id)
                 seqs.append(np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], np.int64))
         self.base = len(self.vocab) + 1
+        self.seqs = seqs
         self.length = np.array([len(s) for s in seqs], np.int64)
         keys = [self.keys(s) for s in seqs]
         flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
@@ -98,7 +102,8 @@ def block_matches(index: ItemIndex, doc_ids: list, texts: list) -> list[tuple[in
         ends.append(len(flat))
     if not len(index.key) or not flat:
         return []
-    places = index.keys(np.array(flat, np.int64))
+    words = np.array(flat, np.int64)
+    places = index.keys(words)
     at = np.flatnonzero(places)
     slot = np.searchsorted(index.key, places[at])
     slot[slot == len(index.key)] = 0
@@ -106,44 +111,70 @@ def block_matches(index: ItemIndex, doc_ids: list, texts: list) -> list[tuple[in
     at, slot = at[hit], slot[hit]
     doc = np.searchsorted(np.array(ends), at, side="right")
 
-    def spread(sel: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Each selected place with every (item, offset) of its phrase, ordered by document, item and shift."""
-        a, k, d = at[sel], slot[sel], doc[sel]
+    def spread(x: int, y: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The places x to y with every (item, offset) of their phrases, ordered by document, item and shift."""
+        k = slot[x:y]
         reps = index.count[k]
         from_ = np.repeat(index.first[k], reps) + (np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps))
-        item, off, a = index.item[from_], index.off[from_], np.repeat(a, reps)
-        pair = np.repeat(d, reps).astype(np.int64) * len(index.ids) + item
+        item, off, a = index.item[from_], index.off[from_], np.repeat(at[x:y], reps)
+        pair = np.repeat(doc[x:y], reps).astype(np.int64) * len(index.ids) + item
         order = np.lexsort((a, a - off, pair))
         pair, off, a = pair[order], off[order], a[order]
         run = np.ones(len(pair), bool)
         run[1:] = (pair[1:] != pair[:-1]) | (np.diff(a - off) > DRIFT)
         return pair, off, a, np.cumsum(run) - 1
 
-    # rarest first: only a document that holds enough of an item's own phrases, at one shift, is looked at for that item
-    pair, off, a, run = spread(index.count[slot] <= RARE)
-    if not len(pair):
-        return []
-    size = np.bincount(run)
-    head = np.concatenate([[0], np.cumsum(size)[:-1]])
-    enough = size >= np.maximum(LEAST_RUN, LEAST_RARE * index.length[pair[head] % len(index.ids)])
-    wanted = np.unique(pair[head][enough])
-    pair, off, a, run = spread(np.isin(doc, wanted // len(index.ids)))
-    keep = np.isin(pair, wanted)
-    pair, off, a, run = pair[keep], off[keep], a[keep], run[keep]
     out: list[tuple[int, int, float]] = []
-    cut = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1], [True]])) if len(pair) else np.zeros(1, int)
-    for x, y in zip(cut[:-1], cut[1:]):
-        d, i = divmod(int(pair[x]), len(index.ids))
-        n = int(index.length[i])
-        covered, exact = stretches(off[x:y], a[x:y], run[x:y], n)
-        if covered >= LEAST_COVER * n and exact >= LEAST_EXACT * n:
-            out.append((doc_ids[d], index.ids[i], covered / n))
+    for x, y in parts(doc, index.count[slot]):
+        pair, off, a, run = spread(x, y)
+        keep = (np.bincount(run) >= LEAST_RUN)[run]  # shorter runs count in no stretch
+        pair, off, a, run = pair[keep], off[keep], a[keep], run[keep]
+        wanted = may_hold(index, pair, off)
+        keep = np.isin(pair, wanted)
+        pair, off, a, run = pair[keep], off[keep], a[keep], run[keep]
+        cut = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1], [True]])) if len(pair) else np.zeros(1, int)
+        for u, v in zip(cut[:-1], cut[1:]):
+            d, i = divmod(int(pair[u]), len(index.ids))
+            n = int(index.length[i])
+            covered, exact, met = stretches(off[u:v], a[u:v], run[u:v], index.seqs[i], words)
+            if covered >= LEAST_COVER * n and exact >= LEAST_EXACT * n and met >= (1 - MOST_ALTERED) * covered:
+                out.append((doc_ids[d], index.ids[i], covered / n))
     return out
 
 
-def stretches(off: np.ndarray, at: np.ndarray, run: np.ndarray, n: int) -> tuple[int, int]:
-    """Words of the item that lie in its few longest stretches (small altered gaps included), and those met exactly."""
-    found: list[tuple[int, int, np.ndarray]] = []
+def parts(doc: np.ndarray, count: np.ndarray) -> list[tuple[int, int]]:
+    """Neighbouring places of whole documents, with about MOST_SPREAD (item, offset) places in all their phrases."""
+    if not len(doc):
+        return []
+    heads = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    group = (np.cumsum(np.add.reduceat(count, heads)) - 1) // MOST_SPREAD
+    cuts = heads[np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))].tolist()
+    return list(zip(cuts, [*cuts[1:], len(doc)]))
+
+
+def may_hold(index: ItemIndex, pair: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The (document, item) pairs whose phrases, over all runs together, cover LEAST_EXACT of the item's words.
+
+    The words that ``stretches`` counts as met are covered by some of these phrases, so no pair that it accepts is lost.
+    """
+    if not len(pair):
+        return pair
+    wide = int(index.length.max()) + PHRASE
+    key = np.unique(pair * wide + off)
+    pair, off = key // wide, key % wide
+    first = np.ones(len(pair), bool)
+    first[1:] = pair[1:] != pair[:-1]
+    words = np.full(len(pair), PHRASE, np.int64)
+    words[1:] = np.where(first[1:], PHRASE, np.minimum(PHRASE, np.diff(off)))
+    heads = np.flatnonzero(first)
+    return pair[heads][np.add.reduceat(words, heads) >= LEAST_EXACT * index.length[pair[heads] % len(index.ids)]]
+
+
+def stretches(off: np.ndarray, at: np.ndarray, run: np.ndarray, item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
+    """Words of the item that lie in its few longest stretches (small altered gaps included), those met in whole phrases,
+    and those met at all, where a word in a gap may stand at the shift of either neighbouring phrase."""
+    n = len(item)
+    found: list[tuple[int, int, np.ndarray, np.ndarray]] = []
     for r in np.unique(run):
         sel = run == r
         if sel.sum() < LEAST_RUN:
@@ -154,13 +185,16 @@ def stretches(off: np.ndarray, at: np.ndarray, run: np.ndarray, n: int) -> tuple
         new = (np.diff(o) > PHRASE + GAP) | (np.diff(o) <= 0) | (np.diff(p) > PHRASE + GAP + DRIFT)
         for s in np.split(np.arange(len(o)), np.flatnonzero(new) + 1):
             if len(s) >= LEAST_RUN and o[s[-1]] + PHRASE - o[s[0]] >= LEAST_STRETCH:
-                found.append((int(o[s[0]]), int(o[s[-1]]) + PHRASE, o[s]))
-    exact = np.zeros(n, bool)
-    inside = np.zeros(n, bool)
-    for a, b, o in sorted(found, key=lambda f: f[0] - f[1])[:MOST_STRETCHES]:
+                found.append((int(o[s[0]]), int(o[s[-1]]) + PHRASE, o[s], p[s]))
+    exact, inside, met = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
+    for a, b, o, p in sorted(found, key=lambda f: f[0] - f[1])[:MOST_STRETCHES]:
         inside[a:b] = True
         exact[(o[:, None] + np.arange(PHRASE)).ravel()] = True
-    return int(inside.sum()), int(exact.sum())
+        place = np.arange(a, b)
+        k = np.searchsorted(o, place, side="right") - 1
+        for shift in (p - o)[k], (p - o)[np.minimum(k + 1, len(o) - 1)]:
+            met[a:b] |= words[np.clip(place + shift, 0, len(words) - 1)] == item[a:b]
+    return int(inside.sum()), int(exact.sum()), int((met | exact).sum())
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage") -> DataFrame:

@@ -51,3 +51,31 @@ def test_item_table_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(k, "MOST_ITEM_CHARS", 10)
     with pytest.raises(ValueError):
         leaked_items(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), spark.createDataFrame(ITEMS, "item_id bigint, passage string"))
+
+
+@pytest.mark.parametrize("count", [3, 4, 5])
+def test_several_stretches_of_a_passage_with_few_rare_phrases(spark, count):
+    shared = [f"stock{k}" for k in range(200)]  # in every item, so that no phrase is rare
+    items = [(i, " ".join(shared[i : i + 100])) for i in (0, 100)] + [(10 + k, " ".join(shared[:100])) for k in range(3)]
+    words, size = items[0][1].split(), -(-54 // count)
+    cut = [" ".join(words[k * 100 // count : k * 100 // count + size]) for k in range(count)]
+    docs = [(1, " ".join(f"{filler(20, 70 + k)} {c}" for k, c in enumerate(cut))), (2, filler(40, 90) + " " + cut[0])]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in leaked_items(df, spark.createDataFrame(items, "item_id bigint, passage string")).collect()}
+    assert got == {(1, 0), (1, 10), (1, 11), (1, 12)}
+
+
+def test_several_stretches_below_the_share_of_one(spark):
+    long = " ".join(f"own{k}" for k in range(130))
+    words = long.split()
+    doc = " ".join(f"{filler(20, 60 + k)} " + " ".join(words[26 * k : 26 * k + 14]) for k in range(5))
+    df = spark.createDataFrame([(1, doc)], "doc_id bigint, text string")
+    assert [(r.doc_id, r.item_id) for r in leaked_items(df, spark.createDataFrame([(1, long)], "item_id bigint, passage string")).collect()] == [(1, 1)]
+
+
+def test_stock_phrases_with_a_fifth_of_other_words_are_no_leak(spark):
+    words = [f"own{k}" for k in range(100)]
+    doc = " ".join(filler(3, k) if k % 10 == 9 else w for k, w in enumerate(words))
+    far = " ".join("other" if k % 5 == 4 else w for k, w in enumerate(words))
+    df = spark.createDataFrame([(1, doc), (2, far)], "doc_id bigint, text string")
+    assert [r.doc_id for r in leaked_items(df, spark.createDataFrame([(1, " ".join(words))], "item_id bigint, passage string")).collect()] == [1]
