@@ -1,10 +1,12 @@
 """Quantities recorded in different units, brought to one common unit per measured thing.
 
-Numbers and unit spellings are read out of free text. Spellings that the lexicon of known units does not hold are
-resolved from the data: the values of one measured thing are linked across its sources (its unit spellings), the scale
-and offset between two spellings are estimated robustly from matching quantiles (medians of pairwise slopes), snapped to
-the nearest known conversion, and carried through the graph of spellings that share measured things until no spelling
-changes. Lexicon spellings keep their defined conversion; a spelling whose estimate contradicts it is reported.
+Numbers and unit spellings are read out of free text and looked up in a lexicon of known units. A spelling outside it is
+taken for the one known unit that it resembles (one letter off, cut short or not), and for none otherwise, so that a row's
+result hangs on that row alone, never on how many others the table holds. ``spelling_check`` compares the values: for each
+spelling, those of the lexicon included, scale and offset against the best supported other unit of the same measured thing
+are estimated robustly from matching quantiles (medians of pairwise slopes and of what they leave), and a spelling whose
+conversion does not bring its values near the other's is reported. Values only advise: a stray word after a number whose
+unit was lost has the values of that lost unit, so no number of rows makes it a unit.
 
 Defined results: null or blank texts, texts without numbers and numbers without a usable unit give no quantity and are
 reported by ``unconverted``; repeated ids give one result; extra columns are ignored.
@@ -239,44 +241,79 @@ def read_table(df: DataFrame, reference: DataFrame, id_col: str = "meas_id") ->
     return joined.select(id_col, "measured", "measurement", "unit", "quantity").mapInArrow(run, f"id {kind}, measured string, dim_no int, number double, unit string")
 
 
-#: A spelling needs so many numbers, and an estimate so close to a known conversion (natural log), to be resolved.
-LEAST_ROWS, SNAP = 30, 0.35
+#: How far (natural log, median over the quantiles) values may lie from those of another unit; letters of the shortest
+#: spelling that may be one letter off.
+SNAP, LEAST_LETTERS = 0.35, 6
 _QUANTILES = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 
 
-def resolve_spellings(numbers: DataFrame, known: DataFrame, rounds: int = 3) -> DataFrame:
-    """``measured, unit, scale, offset, origin``: a conversion for each spelling of each measured thing.
-
-    ``numbers``: measured, unit, number. Known units are the anchors of the graph. A spelling without one is compared with
-    the anchors of the same measured thing, quantile by quantile; the median of the pairwise slopes and intercepts is
-    snapped to the nearest known conversion. A spelling resolved for one thing is carried to others of the same kind that
-    hold it too sparsely. All tables here have one row per spelling, whatever the number of measurements.
-    """
-    stats = numbers.where("unit <> ''").groupBy("measured", "unit").agg(F.count("*").alias("rows"), F.percentile_approx("number", _QUANTILES, 2000).alias("q"))
-    anchors = stats.join(known, ["measured", "unit"]).select("measured", "rows", F.transform("q", lambda x: x * F.col("scale") + F.col("offset")).alias("base"))
-    # the anchor of a measured thing: the quantiles of its best supported known unit, in the common unit
-    anchor = anchors.groupBy("measured").agg(F.max_by("base", "rows").alias("base"))
-    lost = stats.join(known, ["measured", "unit"], "left_anti")
-    pairs = lost.where(F.col("rows") >= LEAST_ROWS).join(anchor, "measured").join(known.withColumnRenamed("unit", "as_unit"), "measured")
-    shifted = F.transform("q", lambda x: x * F.col("scale") + F.col("offset"))
-    gap = F.array_sort(F.zip_with(shifted, "base", lambda a, b: F.abs(F.log(F.greatest(a, F.lit(1e-9)) / F.greatest(b, F.lit(1e-9))))))
-    near = pairs.withColumn("gap", F.element_at(gap, 5)).groupBy("measured", "unit").agg(F.min(F.struct("gap", "as_unit", "scale", "offset")).alias("w"))
-    snapped = near.where(F.col("w.gap") <= SNAP).select("measured", "unit", "w.as_unit", "w.scale", "w.offset", F.lit("estimated").alias("origin"))
-    fixed = stats.join(known, ["measured", "unit"]).select("measured", "unit", F.col("unit").alias("as_unit"), "scale", "offset", F.lit("known").alias("origin"))
-    out = fixed.unionByName(snapped)
-    for _ in range(rounds - 1):  # along the graph: a spelling known for one thing is tried for the others
-        far = out.where("origin <> 'known'").groupBy("unit").agg(F.min("as_unit").alias("as_unit"), F.count_distinct("as_unit").alias("n")).where("n = 1").drop("n")
-        more = lost.join(out, ["measured", "unit"], "left_anti").join(far, "unit").join(known.withColumnRenamed("unit", "as_unit"), ["measured", "as_unit"])
-        out = out.unionByName(more.select("measured", "unit", "as_unit", "scale", "offset", F.lit("carried").alias("origin")))
-    return out
+def _one_off(a: str, b: str) -> bool:
+    """Whether one letter changed, dropped, added or none makes a to b."""
+    if len(a) > len(b):
+        a, b = b, a
+    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return len(b) - len(a) <= 1 and (a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k + 1 :])
+
+
+def resembling(quantity: str | None, unit: str | None) -> str | None:
+    """The one known unit of a quantity with a spelling that begins like ``unit``, up to one letter; none if there are several."""
+    u = spelling(unit)
+    if len(u) < LEAST_LETTERS:
+        return None
+    kinds = _KINDS.get(quantity or "", ())
+    near = {name for (kind, w), name in SPELLINGS.items() if kind in kinds and len(w) >= LEAST_LETTERS and any(_one_off(u, w[:n]) for n in range(len(u) - 1, min(len(u) + 1, len(w)) + 1))}
+    return near.pop() if len(near) == 1 else None
+
+
+def resolve_spellings(spellings: DataFrame, known: DataFrame, reference: DataFrame) -> DataFrame:
+    """``measured, unit, as_unit, scale, offset, origin``: a conversion for each distinct spelling (measured, unit) that means
+    a known unit: `known` by the lexicon, `estimated` by its letters. The number of rows that hold it plays no part."""
+    each = spellings.where("unit <> ''").select("measured", "unit").distinct()
+    fixed = each.join(known, ["measured", "unit"]).select("measured", "unit", F.col("unit").alias("as_unit"), "scale", "offset", F.lit("known").alias("origin"))
+    lost = each.join(known, ["measured", "unit"], "left_anti").join(F.broadcast(reference.select("measured", "quantity").distinct()), "measured")
+    like = lost.select("measured", "unit", F.udf(resembling, "string", useArrow=True)("quantity", "unit").alias("as_unit"))
+    found = like.join(known.withColumnRenamed("unit", "as_unit"), ["measured", "as_unit"])
+    return fixed.unionByName(found.select("measured", "unit", "as_unit", "scale", "offset", F.lit("estimated").alias("origin")))
+
+
+def spelling_check(df: DataFrame, reference: DataFrame, id_col: str = "meas_id") -> DataFrame:
+    """``measured, unit, as_unit, origin, rows, scale, offset, other, est_scale, est_offset, gap, nearest, verdict``.
+
+    One row per spelling of a measured thing. ``other`` is the best supported other known unit; ``est_scale`` and
+    ``est_offset`` bring the spelling's quantiles to the other's in the common unit; ``gap`` is the median |log ratio| under
+    the spelling's own conversion; ``nearest`` is the known unit with the least gap. ``verdict``: `agrees`,
+    `apart` (gap over SNAP, yet no unit nearer) or `contradicts` for a spelling with a conversion, `proposed` or `unlike` for
+    one without, `alone` if the measured thing has no other known unit."""
+    known = conversions(reference).distinct()
+    numbers = cut_lineage(read_table(df, reference, id_col)).where("unit <> ''")
+    stats = numbers.groupBy("measured", "unit").agg(F.count("*").alias("rows"), F.percentile_approx("number", _QUANTILES, 2000).alias("q"))
+    mine = stats.join(resolve_spellings(numbers, known, reference), ["measured", "unit"], "left")
+    anchors = stats.join(known, ["measured", "unit"]).select("measured", F.col("unit").alias("other"), F.col("rows").alias("support"), F.transform("q", lambda x: x * F.col("scale") + F.col("offset")).alias("base"))
+    best = mine.select("measured", "unit").join(anchors, "measured").where("unit <> other").groupBy("measured", "unit").agg(F.max_by(F.struct("other", "base"), F.struct("support", "other")).alias("a"))
+    met = mine.join(best, ["measured", "unit"], "left").select("*", F.col("a.other").alias("other"), F.col("a.base").alias("base")).drop("a")
+
+    def middle(values):
+        return F.element_at(F.array_sort(values), F.greatest(F.lit(1), F.ceil(F.size(values) / 2).cast("int")))
+
+    def gap(scale, offset):
+        floor = F.lit(1e-9)
+        return middle(F.zip_with("q", "base", lambda x, y: F.abs(F.log(F.greatest(x * scale + offset, floor) / F.greatest(y, floor)))))
+
+    at = [(i, j) for i in range(len(_QUANTILES)) for j in range(i)]
+    slopes = F.filter(F.array(*[F.try_divide(F.col("base")[i] - F.col("base")[j], F.col("q")[i] - F.col("q")[j]) for i, j in at]), lambda x: x.isNotNull())
+    met = met.withColumn("est_scale", F.when(F.size(slopes) > 0, middle(slopes))).withColumn("est_offset", middle(F.zip_with("q", "base", lambda x, y: y - x * F.col("est_scale"))))
+    tried = met.where("other IS NOT NULL").select("measured", "unit", "q", "base").join(known.select("measured", F.col("unit").alias("try"), "scale", "offset"), "measured")
+    nearest = tried.groupBy("measured", "unit").agg(F.min_by("try", F.struct(gap(F.col("scale"), F.col("offset")), "try")).alias("nearest"), F.min(gap(F.col("scale"), F.col("offset"))).alias("least"))
+    met = met.join(nearest, ["measured", "unit"], "left").withColumn("gap", F.when(F.col("other").isNotNull() & F.col("scale").isNotNull(), gap(F.col("scale"), F.col("offset"))))
+    verdict = F.when(F.col("other").isNull(), "alone").when(F.col("gap") <= SNAP, "agrees").when(F.col("nearest") == F.col("as_unit"), "apart").when(F.col("gap").isNotNull(), "contradicts").when(F.col("least") <= SNAP, "proposed").otherwise("unlike")
+    return met.select("measured", "unit", "as_unit", "origin", "rows", "scale", "offset", "other", "est_scale", "est_offset", "gap", "nearest", verdict.alias("verdict"))
 
 
 def convert(df: DataFrame, reference: DataFrame, id_col: str = "meas_id") -> DataFrame:
     """``id_col, dim_no, number, unit, as_unit, origin, value`` (in the common unit) of each number that can be converted."""
     known = conversions(reference).distinct()
     numbers = cut_lineage(read_table(df, reference, id_col))
-    table = resolve_spellings(numbers.select("measured", "unit", "number"), known)
-    done = numbers.join(table, ["measured", "unit"])
+    done = numbers.join(resolve_spellings(numbers, known, reference), ["measured", "unit"])
     return done.select(F.col("id").alias(id_col), "dim_no", "number", "unit", "as_unit", "origin", (F.col("number") * F.col("scale") + F.col("offset")).alias("value"))
 
 

@@ -403,6 +403,11 @@ def p3_converted(s, d):
     return units.convert(table(s, d, "measurements"), table(s, d, "quantity_ref"))
 
 
+@query
+def p3_spellings(s, d):
+    return units.spelling_check(table(s, d, "measurements"), table(s, d, "quantity_ref"))
+
+
 @query
 def p3_unconverted(s, d):
     return units.unconverted(table(s, d, "measurements"), table(s, d, "quantity_ref"))

@@ -57,3 +57,24 @@ def test_unknown_spelling_is_estimated(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert units.convert(empty, spark.createDataFrame(REF, REF_SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("rows", [1, 29, 30, 300])
+def test_results_do_not_hang_on_the_number_of_rows(spark, rows):
+    base = [(i, "lesion size", str(20 + i % 30), "mm") for i in range(200)]
+    new = [(1000 + i, "lesion size", f"{2 + (i % 30) / 10:.1f} centimetr", None) for i in range(rows)]
+    stray = [(2000 + i, "lesion size", f"{20 + i % 30} anterior", None) for i in range(rows)]  # values as in mm, but no unit
+    df, ref = spark.createDataFrame(base + new + stray, SCHEMA), spark.createDataFrame(REF, REF_SCHEMA)
+    got = {r.meas_id: r.as_unit for r in units.convert(df, ref).where("meas_id >= 1000").collect()}
+    assert got == {i: "cm" for i, *_ in new}
+    assert {r.meas_id for r in units.unconverted(df, ref).collect()} == {i for i, *_ in stray}
+
+
+def test_check_reports_contradictions_and_proposals(spark):
+    rows = [(i, "lesion size", str(20 + i % 30), "mm") for i in range(90)] + [(100 + i, "lesion size", f"{2 + i / 13:.1f}", "cm") for i in range(40)]
+    rows += [(200 + i, "lesion size", str(20 + i), "m") for i in range(30)] + [(300 + i, "lesion size", f"{2.5 + i / 2}", "ctr") for i in range(5)]
+    rows += [(400 + i, "temperature", str(35 + i / 10), "C") for i in range(30)] + [(500 + i, "temperature", str(95 + i * 0.27), "F") for i in range(20)]
+    got = {(r.measured, r.unit): r for r in units.spelling_check(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(REF, REF_SCHEMA)).collect()}
+    assert {u: r.verdict for (_, u), r in got.items()} == {"mm": "agrees", "cm": "agrees", "m": "contradicts", "ctr": "proposed", "degC": "agrees", "degF": "agrees"}
+    assert got["lesion size", "m"].nearest == "mm" and got["lesion size", "ctr"].as_unit is None and abs(got["lesion size", "cm"].est_scale - 10) < 1
+    assert abs(got["temperature", "degF"].est_scale - 5 / 9) < 0.2
