@@ -3,7 +3,9 @@
 Detection finds email addresses, phone numbers, identity numbers, postal addresses and names of persons by their written
 form and by the words around them, in nine languages. ``redact`` puts typed placeholders in their place. ``surrogates``
 puts keyed, type-consistent stand-ins there: digits and letters of numbers go through a keyed permutation that keeps the
-format, names get names of the same gender, script and case, and one entity gets the same stand-in everywhere.
+format; names get names of the same gender (by title, else by the given name's last letter), script and case; addresses
+keep all but their proper words and numbers. Surnames, given names and words of addresses have stand-ins of their own, so
+that one person or place keeps its stand-in however it is written and in whichever table.
 
 Defined results: null or empty text gives no span and stays as it is; repeated ids give one result; texts are processed
 whole; extra columns are ignored.
@@ -14,12 +16,15 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartloom.runtime import cut_lineage
+
 TYPES = ("EMAIL", "PHONE", "ID", "ADDRESS", "NAME")
 
 _EMAIL = re.compile(
@@ -260,14 +265,40 @@ def permute(value: str, key: bytes) -> str:
     return "".join(out)
 
 
+# Per script, syllables that open and close a surname, and given names (women's, men's).
+SCRIPTS = {
+    "CYRILLIC": ("Бар Вел Гор Дан Зар Кор Лад Мар Нов Рад Сав Тар".split(), "анов енко ецкий ин ич ов овский ук".split(), "Анна Вера Дарья Нина".split(), "Борис Виктор Глеб Олег".split()),
+    "GREEK": ("Αλ Βαρ Γερ Δημ Καρ Λαμ Μαρ Νικ Παν Ροδ Σαμ Θεο".split(), "άκης ίδης όπουλος άτος έας ινός".split(), "Άννα Ελένη Μαρία Σοφία".split(), "Άρης Ηλίας Νίκος Πέτρος".split()),
+    "ARABIC": ("بد جم حس رش سل شر طه عم فر كم مر نص".split(), "ان اوي ين ور يل ام ير اد".split(), "أمل سلمى ليلى هدى".split(), "أحمد خالد سامي عمر".split()),
+    "HEBREW": ("אל בר גל דר הר כר לב מר נב סל רם תל".split(), "וני מן סקי ברג יאל ון".split(), "דנה מיכל נועה רות".split(), "אורי דוד יואב רון".split()),
+    "DEVANAGARI": ("अग बन चन दे गु जो कु मे ना पा रा शा".split(), "र्मा वाल कर नी रिया ठी ल्ला न्दन".split(), "अनीता गीता रेखा सीमा".split(), "अजय राजेश विजय सुरेश".split()),
+    "THAI": ("บุญ ชัย ดวง แก้ว มณี พงษ์ รัตน์ ศรี ทอง วงศ์".split(), "กุล ชัย เดช ธรรม พันธ์ วัฒน์ สุข".split(), "กานดา นารี มาลี สุดา".split(), "ชาติ ประสิทธิ์ วิชัย สมชาย".split()),
+    "HANGUL": ("김 이 박 최 정 강 조 윤 장 임".split(), "가람 나루 다온 새봄 한결 해솔".split(), "미영 서연 수진 지은".split(), "민수 성호 준영 현우".split()),
+    "CJK": ("王 李 张 刘 陈 杨 赵 黄 周 吴 徐 孙".split(), "安 博 诚 德 光 海 建 乐 明 宁 平 文".split(), "丽 芳 静 梅".split(), "刚 军 强 伟".split()),
+    "KATAKANA": ("アオ イシ ウエ オカ カワ キム サト タカ ナカ ハヤ マツ ヤマ".split(), "ダ ベ ノ ムラ モト タニ サワ シマ".split(), "アヤ ナナ ハナ ユミ".split(), "ケン タロウ ヒロ リョウ".split()),
+    "HIRAGANA": ("あお いし うえ おか かわ きむ さと たか なか はや まつ やま".split(), "だ べ の むら もと たに さわ しま".split(), "あや なな はな ゆみ".split(), "けん たろう ひろ りょう".split()),
+}
+# Titles by gender, words that an address keeps, and endings of German streets.
+_FEMALE_TITLE = re.compile(r"(?<!\w)(?:mrs|ms|frau|mme|mlle|sra|srta|dra)(?:\.\s?|\s)$", re.I)
+_MALE_TITLE = re.compile(r"(?<!\w)(?:mr|herrn?|sr)(?:\.\s?|\s)$", re.I)
+_FORMAT = frozenset(
+    """flat apt apartment unit suite room street st road rd lane ln avenue ave drive close way court ct boulevard blvd place terrace square crescent row p o po box n s e w
+    am an der im zum zur auf dem bis ter quater rue av bd chemin allée impasse quai route de la le les du des d l calle c avda avenida plaza pza paseo camino el los las del
+    str straße strasse weg gasse platz allee ring ufer damm""".split()
+)
+_GERMAN_END = re.compile(r"(?<=\w\w\w)(?:straße|strasse|str(?=\Z)|weg|gasse|platz|allee|ring|ufer|damm)\Z", re.I)
+_ADDRESS_PART = re.compile(r"\w*\d\w*|[^\W\d_]+")
+
+
+def script(value: str) -> str:
+    """The script of the first letter, LATIN if it has no names here."""
+    name = next((unicodedata.name(c, "") for c in value if c.isalpha()), "")
+    return next((k for k in SCRIPTS if name.startswith(k)), "LATIN")
+
+
 def canonical(kind: str, value: str) -> str:
     """What two spellings of one entity have in common."""
     v = re.sub(r"\s+", " ", value).strip().lower()
-    if kind == "NAME":
-        if "," in v:
-            last, first = (x.strip() for x in v.split(",", 1))
-            v = f"{first} {last}"
-        return re.sub(r"\s(?:\w\.\s?)+", " ", v)
     if kind == "EMAIL":
         return re.sub(r"\s?[\[(]dot[\])]\s?|\sdot\s", ".", re.sub(r"\s?@\s?|\s?[\[(]\s?at\s?[\])]\s?|\sat\s", "@", v))
     if kind in ("PHONE", "ID"):
@@ -275,66 +306,152 @@ def canonical(kind: str, value: str) -> str:
     return v
 
 
+def name_parts(value: str) -> tuple[str, list[str]]:
+    """The surname and the given names and initials (without full stop), in lower case."""
+    v = re.sub(r"\s+", " ", value).strip().lower()
+    last, comma, first = v.partition(",")
+    if not comma:
+        first, _, last = re.sub(r"\.(?=\w)", ". ", v).rpartition(" ")
+    return last.strip(), [w.strip(".") for w in first.split() if w.strip(".")]
+
+
+def address_parts(value: str) -> list[tuple[int, int, str]]:
+    """(start, end, entity) of the parts of an address that are replaced: numbers, and words that are no format words."""
+    out = []
+    for m in _ADDRESS_PART.finditer(value):
+        a, b = m.span()
+        w = m.group()
+        if any(c.isdigit() for c in w):
+            out.append((a, b, ""))
+        elif len(w) > 1 and w.lower() not in _FORMAT:
+            if (e := _GERMAN_END.search(w)) and re.match(r"\.?\s\d", value[b:]):
+                b = a + e.start()
+            out.append((a, b, value[a:b].lower()))
+    return out
+
+
+def pieces(kind: str, original: str, before: str) -> list[dict]:
+    """The entities whose stand-ins make up that of one span, and what is said of their gender (1 a woman's, -1 a man's)."""
+    if kind == "NAME":
+        last, given = name_parts(original)
+        said = 1 if _FEMALE_TITLE.search(before) else -1 if _MALE_TITLE.search(before) else 0
+        return [{"pii_type": "NAME", "entity": last, "gender": 0}] + [{"pii_type": "GIVEN", "entity": f"{last}|{g}", "gender": said} for g in given if len(g) > 1]
+    if kind == "ADDRESS":
+        return [{"pii_type": "PLACE", "entity": e, "gender": 0} for *_, e in address_parts(original) if e]
+    return [{"pii_type": kind, "entity": canonical(kind, original), "gender": 0}]
+
+
+def _initial(last: str, letter: str, key: bytes) -> int:
+    """The place in the lists of given names of a surname's initial letter; different letters differ as far as they can."""
+    order = sorted("abcdefghijklmnopqrstuvwxyz", key=lambda c: _mac(key, "initial", last, c))
+    return order.index(letter) if letter in order else _mac(key, "initial", last, letter)
+
+
 def stand_in(kind: str, value: str, key: bytes, attempt: int) -> str:
-    """The surrogate of a canonical value; a later attempt draws another one."""
+    """The surrogate of a canonical value; a later attempt draws another one. A given name is ``surname|name|gender``."""
     n = _mac(key, kind, value, attempt)
-    tail = "".join(ONSETS[(n >> (40 + 6 * i)) % len(ONSETS)].lower() for i in range(min(attempt, 6)))
-    if kind == "NAME":
-        first, _, last = value.rpartition(" ")
-        given = FEMALE if first[-1:] in ("a", "e", "i", "y") else MALE
-        made = ONSETS[n % len(ONSETS)] + CODAS[(n >> 8) % len(CODAS)] + tail
-        if "-" in last:
-            made += "-" + ONSETS[(n >> 16) % len(ONSETS)] + CODAS[(n >> 24) % len(CODAS)]
-        return f"{given[(n >> 32) % len(given)]} {made}" if first else made
+    onsets, codas, female, male = SCRIPTS.get(script(value), (ONSETS, CODAS, FEMALE, MALE))
+    tail = "".join(onsets[(n >> (40 + 6 * i)) % len(onsets)].lower() for i in range(min(attempt, 6)))
+    if kind == "GIVEN":
+        last, first, gender = value.split("|")
+        onsets, codas, female, male = SCRIPTS.get(script(first), (ONSETS, CODAS, FEMALE, MALE))
+        tail = "".join(onsets[(n >> (40 + 6 * i)) % len(onsets)].lower() for i in range(min(attempt, 6)))
+        names = female if gender == "f" or not gender and first[-1] in "aeiyаяηα" else male
+        return names[_initial(last, first[0], key) % len(names)] + tail
+    if kind in ("NAME", "PLACE"):
+        made = onsets[n % len(onsets)] + codas[(n >> 8) % len(codas)] + tail
+        if "-" in value and kind == "NAME":
+            made += "-" + onsets[(n >> 16) % len(onsets)] + codas[(n >> 24) % len(codas)]
+        return made
     if kind == "EMAIL":
         return f"{(ONSETS[n % len(ONSETS)] + CODAS[(n >> 8) % len(CODAS)] + tail).lower()}{(n >> 16) % 9000 + 1000}@mail.example"
-    if kind == "ADDRESS":
-        return f"{(n >> 16) % 900 + 1} {ONSETS[n % len(ONSETS)]}{CODAS[(n >> 8) % len(CODAS)]}{tail} Street, {ONSETS[(n >> 24) % len(ONSETS)]}{CODAS[(n >> 30) % len(CODAS)]} {(n >> 36) % 90000 + 10000}"
     return permute(value, key)
 
 
-def dress(kind: str, original: str, made: str) -> str:
-    """The surrogate in the written form of the original: order, initials, case and separators."""
+def _cased(original: str, made: str) -> str:
+    return made.upper() if original.isupper() and len(original) > 1 else made.lower() if original.islower() else made
+
+
+def dress(kind: str, original: str, made: list[str], key: bytes) -> str:
+    """The surrogate in the written form of the original: order, initials, case, separators and format of an address.
+    ``made`` has the stand-ins of ``pieces``."""
     if kind in ("PHONE", "ID"):
-        chars = iter(made)
+        chars = iter(made[0])
         return "".join((c2.upper() if c.isupper() else c2) if c.isalnum() and c.isascii() and (c2 := next(chars, c)) else c for c in original)
     if kind == "NAME":
-        first, _, last = made.rpartition(" ")
-        if "," in original:
-            made = f"{last}, {first or 'A.'}"
-        elif (m := re.match(rf"((?:{_INI}\s?)+)", original)) and first:
-            made = " ".join([first[0] + "."] * len(re.findall(_INI, m.group(1)))) + " " + last
-        elif (m := re.search(rf"\s({_INI})\s", original)) and first:
-            made = f"{first} {m.group(1)} {last}"
-        elif " " not in original.strip():
-            made = last
-    return made.upper() if original.isupper() else made.lower() if original.islower() else made
+        last, given = name_parts(original)
+        left = iter(made[1:])
+        firsts = [next(left) if len(g) > 1 else FEMALE[_initial(last, g, key) % len(FEMALE)][0] + "." for g in given]
+        text = f"{made[0]}, {' '.join(firsts)}" if "," in original else " ".join([*firsts, made[0]])
+        return _cased(original, text)
+    if kind == "ADDRESS":
+        out, at, left = [], 0, iter(made)
+        for a, b, entity in address_parts(original):
+            part = original[a:b]
+            out += [original[at:a], _cased(part, next(left)) if entity else permute(part, key)]
+            at = b
+        return "".join(out) + original[at:]
+    return _cased(original, made[0])
 
 
 def surrogate_map(spans: DataFrame, key: str, rounds: int = 3) -> DataFrame:
-    """``pii_type``, ``entity``, ``made`` for all distinct entities of ``spans`` (pii_type, entity). Entities that draw the
-    same stand-in are told apart: all but the first draw again, with a longer form, in up to ``rounds`` further draws; a
-    last draw appends the rank, so that distinct entities always stay distinct."""
+    """``pii_type``, ``entity``, ``made`` for all distinct entities of ``spans`` (pii_type, entity, and gender if known).
+    Entities that draw the same stand-in are told apart (given names within their surname): all but the first draw again,
+    with a longer form, in up to ``rounds`` further draws; a last draw appends the rank, so that distinct entities always
+    stay distinct."""
     secret = key.encode()
+    said = F.sum("gender") if "gender" in spans.columns else F.sum(F.lit(0))
+    todo = spans.groupBy("pii_type", "entity").agg(said.alias("said"))
+    sex = F.when(F.col("said") > 0, "|f").when(F.col("said") < 0, "|m").otherwise("|")
+    todo = todo.withColumn("drawn", F.when(F.col("pii_type") == "GIVEN", F.concat("entity", sex)).otherwise(F.col("entity")))
+    todo = todo.withColumn("scope", F.when(F.col("pii_type") == "GIVEN", F.substring_index("entity", "|", 1)).otherwise(""))
     draw = F.udf(lambda k, v, a: stand_in(k, v, secret, a), "string", useArrow=True)
-    todo = spans.select("pii_type", "entity").distinct().withColumn("attempt", F.lit(0)).withColumn("made", draw("pii_type", "entity", "attempt"))
-    rank = Window.partitionBy("pii_type", "made").orderBy("attempt", "entity")
+    todo = todo.withColumn("attempt", F.lit(0)).withColumn("made", draw("pii_type", "drawn", "attempt"))
+    rank = Window.partitionBy("pii_type", "scope", "made").orderBy("attempt", "entity")
     for _ in range(rounds):
         todo = todo.withColumn("n", F.row_number().over(rank)).withColumn("attempt", F.when(F.col("n") > 1, F.col("attempt") + 1).otherwise(F.col("attempt")))
-        todo = todo.withColumn("made", F.when(F.col("n") > 1, draw("pii_type", "entity", "attempt")).otherwise(F.col("made")))
+        todo = todo.withColumn("made", F.when(F.col("n") > 1, draw("pii_type", "drawn", "attempt")).otherwise(F.col("made")))
     todo = todo.withColumn("n", F.row_number().over(rank))
     return todo.select("pii_type", "entity", F.when(F.col("n") > 1, F.concat("made", F.lit("-"), F.col("n").cast("string"))).otherwise(F.col("made")).alias("made"))
 
 
-def surrogates(df: DataFrame, id_col: str, text_col: str, key: str = "chartloom") -> DataFrame:
-    """``id_col`` and ``surrogate_text``: each item replaced by its keyed stand-in."""
+_ITEMS = "array<struct<pii_type:string,start_pos:int,end_pos:int,original:string,pieces:array<struct<pii_type:string,entity:string,gender:int>>>>"
+_PIECES_ARROW = pa.list_(pa.struct([("pii_type", pa.string()), ("entity", pa.string()), ("gender", pa.int32())]))
+_ITEMS_ARROW = pa.list_(pa.struct([("pii_type", pa.string()), ("start_pos", pa.int32()), ("end_pos", pa.int32()), ("original", pa.string()), ("pieces", _PIECES_ARROW)]))
+
+
+def _entities(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The spans of each distinct row (row_id), with their text and ``pieces``; found once and written, as they are used twice."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def items(t: str) -> list[dict]:
+        return [{"pii_type": k, "start_pos": a, "end_pos": b, "original": t[a:b], "pieces": pieces(k, t[a:b], t[max(0, a - 8) : a])} for k, a, b in find_pii(t)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [items(t) if t else None for t in b.column(1).to_pylist()]
+            keep = [i for i, x in enumerate(found) if x]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([found[i] for i in keep], _ITEMS_ARROW)], names=["row_id", "items"])
+
+    found = df.select(F.col(id_col), F.col(text_col)).where(F.col(text_col).isNotNull()).mapInArrow(run, f"row_id {kind}, items {_ITEMS}")
+    one = found.groupBy("row_id").agg(F.first("items").alias("items"))
+    return cut_lineage(one.select("row_id", F.explode("items").alias("s")).select("row_id", "s.*"))
+
+
+def surrogates(df: DataFrame, id_col: str, text_col: str, key: str = "chartloom", also: tuple[tuple[DataFrame, str, str], ...] = ()) -> DataFrame:
+    """``id_col`` and ``surrogate_text``: each item replaced by its keyed stand-in. The stand-ins are those of the entities of
+    ``df`` and of the tables ``also`` (each with its id and text column) together, the same whichever of them is rewritten."""
+    secret = key.encode()
     base = df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("body")).dropDuplicates(["row_id"])
-    spans = pii_spans(df, id_col, text_col).join(base.where(F.col("body").isNotNull()), "row_id")
-    spans = spans.withColumn("original", F.expr("substring(body, start_pos + 1, end_pos - start_pos)")).drop("body")
-    spans = spans.withColumn("entity", F.udf(canonical, "string", useArrow=True)("pii_type", "original"))
-    made = spans.join(surrogate_map(spans, key), ["pii_type", "entity"])
-    made = made.withColumn("put", F.udf(dress, "string", useArrow=True)("pii_type", "original", "made"))
-    per_row = made.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos", "put"))).alias("puts"))
+    spans = _entities(df, id_col, text_col)
+    each = spans.select("row_id", "start_pos", F.posexplode_outer("pieces").alias("k", "p")).select("row_id", "start_pos", "k", "p.*")
+    known = each.where("entity IS NOT NULL").select("pii_type", "entity", "gender")
+    for other in also:
+        known = known.unionByName(_entities(*other).select(F.explode("pieces").alias("p")).select("p.*"))
+    put = each.join(surrogate_map(known, key), ["pii_type", "entity"], "left").groupBy("row_id", "start_pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "made"))), lambda x: x["made"]).alias("made"))
+    dressed = spans.join(put, ["row_id", "start_pos"])
+    dressed = dressed.withColumn("put", F.udf(lambda k, o, m: dress(k, o, list(m), secret), "string", useArrow=True)("pii_type", "original", "made"))
+    per_row = dressed.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos", "put"))).alias("puts"))
     built = F.expr(
         "aggregate(puts, named_struct('at', 0, 'out', ''), (acc, x) -> named_struct('at', x.end_pos, 'out', concat(acc.out, substring(body, acc.at + 1, x.start_pos - acc.at), x.put)), acc -> concat(acc.out, substring(body, acc.at + 1)))"
     )

@@ -70,7 +70,13 @@ def p6_redacted_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_surrogates(spark: SparkSession, d: str) -> DataFrame:
-    return pii.surrogates(table(spark, d, "sections"), "section_id", "section_text")
+    also = (table(spark, d, "sentences"), "sentence_id", "sentence_text")
+    return pii.surrogates(table(spark, d, "sections"), "section_id", "section_text", also=(also,))
+
+
+def p6_surrogates_sentences(spark: SparkSession, d: str) -> DataFrame:
+    also = (table(spark, d, "sections"), "section_id", "section_text")
+    return pii.surrogates(table(spark, d, "sentences"), "sentence_id", "sentence_text", also=(also,))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +115,7 @@ def p9_perplexity(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         p1_found, p2_found, p2_pieces, p4_found, p4_groups, p5_found, p5_mapped, p6_found, p6_redacted_sections, p6_redacted_sentences,
-        p6_surrogates, p7_found, p8_mixture, p8_shares, p9_found, p9_shares, p9_perplexity,
+        p6_surrogates, p6_surrogates_sentences, p7_found, p8_mixture, p8_shares, p9_found, p9_shares, p9_perplexity,
     ]
     return {f.__name__: f for f in named}
 

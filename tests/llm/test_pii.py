@@ -71,3 +71,32 @@ def test_tables(spark):
     empty = spark.createDataFrame([], "section_id bigint, section_text string")
     assert pii.pii_spans(empty, "section_id", "section_text").count() == 0
     assert pii.surrogates(empty, "section_id", "section_text").count() == 0
+
+
+def _put(spark, texts, **more):
+    df = spark.createDataFrame(list(enumerate(texts)), "section_id bigint, section_text string")
+    return [r.surrogate_text for r in pii.surrogates(df, "section_id", "section_text", "key", **more).orderBy("section_id").collect()]
+
+
+def test_one_person_keeps_surname_initial_and_gender_in_both_tables(spark):
+    texts = ["Seen by Runa Northule.", "Mrs. Northule left.", "Seen by R. Northule.", "Mr. Ona Hulnolt left.", "Seen by Ona Hulnolt."]
+    sentences = spark.createDataFrame([(7, "Contact is NORTHULE, RUNA on 318-555-0176."), (8, "Mr. Ola Dravaar left."), (9, None)], "sentence_id bigint, sentence_text string")
+    sections = spark.createDataFrame([*enumerate(texts), (5, "Seen by Ola Dravaar.")], "section_id bigint, section_text string")
+    full, title, short, titled, plain, other = _put(spark, [*texts, "Seen by Ola Dravaar."], also=((sentences, "sentence_id", "sentence_text"),))
+    first, last = full.removeprefix("Seen by ").strip(".").split(" ")
+    assert title == f"Mrs. {last} left." and short == f"Seen by {first[0]}. {last}." and "Northule" not in full
+    assert titled == "Mr. " + plain.removeprefix("Seen by ").strip(".") + " left." and plain.split(" ")[2] in pii.MALE
+    assert other.split(" ")[2] in pii.MALE  # the title stands in the other table only
+    got = {r.sentence_id: r.surrogate_text for r in pii.surrogates(sentences, "sentence_id", "sentence_text", "key", also=((sections, "section_id", "section_text"),)).collect()}
+    assert got[7].startswith(f"Contact is {last.upper()}, {first.upper()} on ") and got[9] is None
+
+
+def test_addresses_keep_their_format_and_names_their_script(spark):
+    english, german, spanish, name = _put(spark, ["Runa Hulnolt lives at Flat 1b, 802 Lindfold Road, Hathmoor.", "Orla Hulnolt wohnt in der Am Lindfoldweg 161, 00891 Hathmoor.", "P. Hulnolt vive en Calle Harth, 642, 2.º B, 00556 Lindquell.", "Kontakt: Анна Петрова."])
+    import re
+
+    e = re.fullmatch(r"\w+ (\w+) lives at Flat \d[a-z], \d{3} ([A-Z]\w+) Road, ([A-Z]\w+)\.", english)
+    g = re.fullmatch(r"\w+ (\w+) wohnt in der Am ([A-Z]\w+)weg \d{3}, \d{5} ([A-Z]\w+)\.", german)
+    assert e and g and e.groups() == g.groups() and "Lindfold" not in english
+    assert re.fullmatch(r"[A-Z]\. \w+ vive en Calle [A-Z]\w+, \d{3}, \d\.º B, \d{5} [A-Z]\w+\.", spanish)
+    assert re.fullmatch(r"Kontakt: [А-Я][а-я]+ [А-Я][а-я]+\.", name) and "Петрова" not in name
