@@ -1,9 +1,10 @@
 """Sentence boundaries in nine languages.
 
-Spaced scripts: every terminator run is a node of a lattice; edges are admissible sentences (balanced quotations and
-brackets, at least one letter or digit); the best path by node scores gives the sentences. Spaceless scripts (Thai,
-Chinese, Japanese): where no terminator stands, a dictionary word lattice segments the text on both sides of a gap and
-the gap is classified by the word that ends before it (final particles) and the word that opens after it.
+Spaced scripts: one pass from left to right over terminator runs and line breaks; rules on the word before, the word after
+and open quotations and brackets decide whether a sentence ends there. There is no scored lattice of terminators and no best
+path. Spaceless scripts (Thai, Chinese, Japanese): where no terminator stands, a dictionary word lattice segments the text
+on both sides of a gap and the gap is classified by the words that end before it and open after it; between Chinese
+characters both sides must hold a predicate as well.
 
 Defined results: null or blank text gives no sentence; repeated ids give one result; texts of any length are processed
 whole; extra columns are ignored.
@@ -60,12 +61,36 @@ THAI_OPEN_END = frozenset("ยา ขนาด ที่ ใน บน ของ
 # Japanese and Chinese closing words and connecting words.
 CJK_FINAL = frozenset("です ます ました でした だ た る い ない よ ね か 了 吗 呢 吧 啊 的 过 好 大 高 降 明".split())
 CJK_CONTINUE = frozenset("は が を に で と へ も の や から まで より ため 并 和 但 而 且 因 由 在 的 与 及 或 后 时".split())
+# Dictionary of the gaps between Chinese or Japanese words: closing words and predicates, words that want
+# an object or carry a clause on, and other words that keep the lattice from cutting them.
+JAPANESE_FINAL = frozenset(
+    """です ます ました ません でした だ だった た ある いる ない なし なかった した する された される ている ていた である ください 認める 認めた 訴える 訴えた
+    悪化 改善 軽快 消失 中止 継続 良好 安定 正常 陰性 陽性 よ ね か""".split()
+)
+JAPANESE_CONTINUE = frozenset(
+    """は が を に で と へ も の や から まで より ため ので のに けど けれど けれども ながら および 及び または 又は て し ば たら なら として について
+    による により に対して""".split()
+)
+CHINESE_PREDICATES = frozenset(
+    """是 为 有 无 没有 见 未见 可见 诉 主诉 否认 服用 口服 治疗 停用 停药 改为 观察 复查 检查 出现 加重 减轻 好转 恶化 缓解 消失 平稳 稳定 正常 异常 发现 提示 建议 给予 予 认为
+    说 问 要求 拒绝 入院 出院 就诊 转诊 随访 发热 咳嗽 头痛 头晕 恶心 呕吐 腹痛 胸痛 疼痛 心悸 失眠 口渴 瘙痒 干咳 手抖 乏力 水肿 跌倒 升高 下降 增大 缩小 测得 显示 增加 减少
+    开始 继续 需要 明显 良好 引起 导致""".split()
+)
+CHINESE_OPEN_END = frozenset("是 为 有 无 没有 见 未见 可见 诉 主诉 否认 服用 口服 改为 出现 发现 提示 建议 给予 予 认为 说 问 要求 拒绝 测得 显示 开始 需要 引起 导致".split())
+CHINESE_CONTINUE = frozenset("并 和 但 但是 而 而且 且 因 因为 由 由于 在 的 地 得 与 及 以及 或 或者 后 前 时 之后 之前 所以 因此 对 把 被 将 从 向 于 给 至 到 约 不 未 很 较 更 最".split())
+_CJK_OTHER = """患者 病人 医生 护士 家属 男性 女性 老人 司机 教师 学生 今天 今早 昨天 昨晚 明天 夜间 早上 晚上 下午 周一 周二 周三 周四 周五 周六 周日 饭前 饭后 目前 现在 已经 病情 症状 血压
+    体温 心率 血糖 血常规 尿量 积液 肿块 结节 大小 左侧 右侧 双侧 肝脏 肾脏 肺部 心脏 腹部 胸部 头部 患者さん 医師 看護師 家族 今朝 昨夜 昨日 今日 明日 夜間 月曜日 火曜日 水曜日 木曜日 金曜日
+    土曜日 日曜日 食後 食前 回診時 検査前 検査後 転倒後 微熱 吐き気 頭痛 めまい 不眠 動悸 空咳 かゆみ 手の震え のど 渇き のどの渇き 声がれ 耳鳴り""".split()
 # Headings that stand on a line of their own.
 HEADING = re.compile(r"[^\W\d_][^\n.!?;,]{0,58}?(?:\s*:|\s+[-–—])?$")
 
 _TERMINATORS = r"(?:[!?…।؟。！？]|\.(?!\d))[.!?…।؟。！？]*[)\]\"”“»」』）]*|\n\s*"
 _CAND = re.compile(_TERMINATORS + rf"|[ \u00a0\u3000]+(?=[{THAI}{CJK}A-Za-z0-9])")
 _CAND_NO_GAP = re.compile(_TERMINATORS)
+_CJK_BLANK = rf"(?<=[{CJK}])[ \u00a0\u3000]+(?=[{CJK}])"
+_CAND_CJK_GAP = re.compile(_TERMINATORS + "|" + _CJK_BLANK)
+_HAS_CJK_BLANK = re.compile(_CJK_BLANK)
+_CJK_RUN, _KANA = re.compile(rf"[{CJK}]+"), re.compile("[぀-ヿ]")
 _OPENERS = re.compile("[«„“「『\"(\\[（]")
 # What closes each opening quotation mark or bracket.
 _CLOSERS = {"«": "»", "„": "“", "“": "”", "「": "」", "『": "』", '"': '"', "(": ")", "[": "]", "（": "）"}
@@ -120,6 +145,11 @@ def _cjk() -> WordLattice:
     return WordLattice(CJK_FINAL | CJK_CONTINUE)
 
 
+@lru_cache(maxsize=1)
+def _cjk_words() -> WordLattice:
+    return WordLattice(JAPANESE_FINAL | JAPANESE_CONTINUE | CHINESE_PREDICATES | CHINESE_CONTINUE | frozenset(_CJK_OTHER))
+
+
 @lru_cache(maxsize=65536)
 def _thai_edge(run: str, right: bool) -> str:
     words = _thai().split(run)
@@ -171,6 +201,19 @@ def _cjk_gap(text: str, at: int, after: int) -> bool:
     return last in CJK_FINAL and last not in CJK_CONTINUE and first not in CJK_CONTINUE
 
 
+def _cjk_blank(text: str, start: int, at: int, after: int) -> bool:
+    """Whether the blanks text[at:after] between Chinese or Japanese characters end a statement that began at start."""
+    n = max(start, at - 60)
+    left = text[n:at]
+    right = _CJK_RUN.match(text, after).group()[:60]
+    before, behind = _cjk_words().split(left), _cjk_words().split(right)
+    if _KANA.search(left) or _KANA.search(right):
+        return before[-1] in JAPANESE_FINAL and before[-1] not in JAPANESE_CONTINUE and behind[0] not in JAPANESE_CONTINUE
+    if before[-1] in CHINESE_CONTINUE or before[-1] in CHINESE_OPEN_END or behind[0] in CHINESE_CONTINUE:
+        return False
+    return any(w in CHINESE_PREDICATES for w in before) and any(w in CHINESE_PREDICATES for w in behind)
+
+
 def _is_final(text: str, start: int, at: int, end: int, closers: bool) -> bool:
     """Whether the terminator run text[at:end] ends a sentence that began at or after start."""
     n = len(text)
@@ -291,7 +334,7 @@ def segment(text: str) -> list[tuple[int, int]]:
     start, k, n = 0, 0, len(text)
     while start < n and text[start].isspace():
         start += 1
-    for m in (_CAND if thai else _CAND_NO_GAP).finditer(text):
+    for m in (_CAND if thai else _CAND_CJK_GAP if _HAS_CJK_BLANK.search(text) else _CAND_NO_GAP).finditer(text):
         at, end = m.span()
         if at < start:
             continue
@@ -302,9 +345,14 @@ def segment(text: str) -> list[tuple[int, int]]:
         if c == "\n":
             cut, stop = (not inside) and _line_break(text, start, at, end), at
         elif c in " \u00a0\u3000":
-            if inside or not (_THAI.match(text[at - 1]) or _THAI.match(text[end])):
+            if inside:
+                continue
+            if _THAI.match(text[at - 1]) or _THAI.match(text[end]):
+                cut, stop = _thai_gap(text, at, end), at
+            elif _CJK_RUN.match(text[at - 1]) and _CJK_RUN.match(text[end]):
+                cut, stop = _cjk_blank(text, start, at, end), at
+            else:
                 continue
-            cut, stop = _thai_gap(text, at, end), at
         elif inside:
             a, b = closed[k]
             tail = text[end:b]

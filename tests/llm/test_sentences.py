@@ -55,3 +55,20 @@ def test_table(spark):
     df = spark.createDataFrame([(1, "A bee. See it.", "x"), (1, "A bee. See it.", "y"), (2, None, "z"), (3, " ", "z"), (None, "Quiet.", "z")], "section_id bigint, section_text string, spans string")
     got = split_sentences(df, "section_id", "section_text").collect()
     assert sorted((r.section_id or 0, r.sent_no, r.sent_start, r.sent_end) for r in got) == [(0, 0, 0, 6), (1, 0, 0, 6), (1, 1, 7, 14)]
+
+
+@pytest.mark.parametrize(
+    "wanted",
+    [
+        ["患者夜间诉头痛", "周一复查血常规正常", "医生建议继续服用aspirin"],
+        ["女性はめまいを訴えている", "吐き気が検査前に悪化", "肝臓に結節を認める。", "今朝は安定した"],
+        ["患者诉 头痛和 恶心"],  # blanks within a statement
+        ["患者因 心悸停用aspirin 并 观察尿量"],
+        ["男性は 食後から かゆみを 訴えている"],
+        ["患者说：“头痛已经三天了 现在还有干咳。”"],
+    ],
+)
+@pytest.mark.parametrize("blank", [" ", "\u3000"])
+def test_blanks_between_chinese_and_japanese_statements(wanted, blank):
+    text = blank.join(wanted)
+    assert [text[a:b] for a, b in segment(text)] == wanted
