@@ -21,8 +21,8 @@ CONSTRAINTS = {
 }
 REJECTED = ["Body Part", "Body Location", "Anatomical Structure"]
 TARGETS = {"TREATS": CONDITION, "CAUSES": [*CONDITION, "Adverse Event"]}
-#: Candidates of a mention, and words of the longest alias.
-TOP_K, LONGEST_ALIAS = 3, 5
+#: Candidates of a mention.
+TOP_K = 3
 
 
 def _any(types: Column, names: list[str]) -> Column:
@@ -52,13 +52,14 @@ def concept_types(kb: DataFrame) -> DataFrame:
 def link_concepts(mentions: DataFrame, kb: DataFrame, role: str) -> DataFrame:
     """word, entity_group, relation_type, cui, canonical_name for each different (word, entity_group, relation_type).
 
-    Every run of words of a mention that is an alias brings its ``TOP_K`` best concepts; they are gated by type, re-ranked
-    by context, and the first is taken; else ``UNMAPPED``. Different mentions are linked once, by an equi-join on alias.
+    Every run of words of a mention that is an alias, up to as many as the longest alias of ``kb`` has and always the whole
+    mention, brings its ``TOP_K`` best concepts; they are gated by type, re-ranked by context, and the first is taken; else ``UNMAPPED``. Different mentions are linked once, by an equi-join on alias.
     """
     m = mentions.select("word", "entity_group", "relation_type").distinct()
+    longest = kb.agg(F.coalesce(F.max(F.size(F.split("alias", r"\s+"))), F.lit(1)).alias("longest")).scalar()
     words = F.split(norm("word"), r"\s+")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST_ALIAS), F.size(words))), lambda k: F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.array_join(F.slice(words, i, k), " "))))
-    parts = m.withColumn("alias", F.explode(F.array_distinct(runs)))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least("longest", F.size(words))), lambda k: F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.array_join(F.slice(words, i, k), " "))))
+    parts = m.withColumn("longest", longest).withColumn("alias", F.explode(F.array_distinct(F.concat(runs, F.array(F.array_join(words, " ")))))).drop("longest")
     known = kb.join(concept_types(kb), "cui").groupBy("alias", "cui").agg(F.max("score").alias("score"), F.min("canonical_name").alias("canonical_name"), F.first("types").alias("types"))
     first = Window.partitionBy("alias").orderBy(F.desc("score"), "cui")
     top = known.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= TOP_K)

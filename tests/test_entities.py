@@ -65,6 +65,15 @@ def test_linking_prefers_valid_types(spark):
     assert got == {"Lung": "B", "x": "UNMAPPED", None: "UNMAPPED"}
 
 
+def test_linking_tries_aliases_of_any_length(spark):
+    copd = "acute exacerbation of chronic obstructive pulmonary disease"
+    kb = spark.createDataFrame([(copd, "A", "AECOPD", "Disease or Syndrome", 0.99), ("pulmonary disease", "B", "Lung disease", "Disease or Syndrome", 0.8)], schemas.CONCEPTS)
+    m = spark.createDataFrame([(copd.title(), "problem", "TREATS"), (f"severe {copd} today", "problem", "TREATS"), ("pulmonary disease", "problem", "TREATS")], "word string, entity_group string, relation_type string")
+    got = {r.word: r.cui for r in ontology.link_concepts(m, kb, "target").collect()}
+    assert got == {copd.title(): "A", f"severe {copd} today": "A", "pulmonary disease": "B"}
+    assert {r.cui for r in ontology.link_concepts(m, kb.limit(0), "target").collect()} == {"UNMAPPED"}
+
+
 def edge(spark, base, notes, sections):
     row = [(1, "A", "a", "A", "a", "TREATS", notes, sections, len(notes), base)]
     return spark.createDataFrame(row, schemas.EDGES.rsplit(",", 1)[0])
