@@ -1,14 +1,15 @@
 """Evaluation passages that leak into training documents.
 
-A positional inverted index is built over the training tokens, one shard per block of documents: for every term of the
-test items the sorted list of its positions in the block. Each item's lists are shifted by the term's offset in the item
-and intersected with those of their neighbours, which leaves the places where a phrase of the item stands. A document is
+A trigram lookup, another method than a positional inverted index of the training tokens: no postings are stored and no
+position lists are intersected. The index is of the test items: each phrase of PHRASE neighbouring terms is one key with its
+(item, offset) places. Each block of documents is read once; the key at every place is looked up by binary search, which
+gives the places where a phrase of an item stands, the same that intersecting the shifted lists would leave. A document is
 looked at for an item if all such phrases together, rare or not and at whatever shift, cover as many words of the item as
 must stand unaltered. Phrases whose shifted places agree (proximity, a few words of drift) are joined to stretches, and
 the words of the item that the stretches cover, and those met in them, decide.
 
-The index is sharded by documents, so postings are used where they are made and never cross the network; only the test
-items (a fixed, small table whose size is checked) are sent to the executors.
+Documents are matched where they are read, so tokens never cross the network; only the test items (a fixed, small table
+whose size is checked) are sent to the executors.
 
 Defined results: null or blank documents and passages match nothing; repeated ids give one result; an empty item table
 gives an empty result; texts are processed whole; extra columns are ignored.
@@ -77,7 +78,7 @@ class ItemIndex:
         self.key, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
 
     def keys(self, seq: np.ndarray) -> np.ndarray:
-        """The intersection of PHRASE neighbouring terms' shifted lists, as one key per place; 0 where a term is foreign."""
+        """PHRASE neighbouring terms folded to one key per place; 0 where a term is foreign."""
         n = len(seq) - PHRASE + 1
         if n <= 0:
             return np.empty(0, np.int64)
