@@ -1,18 +1,18 @@
-"""Evaluation passages that leak into training documents.
+"""Evaluation passages that leak into training documents: a distributed positional inverted index of the training tokens.
 
-A trigram lookup, another method than a positional inverted index of the training tokens: no postings are stored and no
-position lists are intersected. The index is of the test items: each phrase of PHRASE neighbouring terms is one key with its
-(item, offset) places. Each block of documents is read once; the key at every place is looked up by binary search, which
-gives the places where a phrase of an item stands, the same that intersecting the shifted lists would leave. A document is
-looked at for an item if all such phrases together, rare or not and at whatever shift, cover as many words of the item as
-must stand unaltered. Phrases whose shifted places agree (proximity, a few words of drift) are joined to stretches, and
-the words of the item that the stretches cover, and those met in them, decide.
-
-Documents are matched where they are read, so tokens never cross the network; only the test items (a fixed, small table
-whose size is checked) are sent to the executors.
+The index is stored: blocks of documents, and for each term of a block the sorted list of its positions (``training_index``).
+The test items are cut into shards; the posting lists of a shard's terms are brought together per (block, shard) by a join
+on the term, salted by block, as common terms lie in every block. There the lists are intersected, offset by the term's
+place in the passage and beginning with the list of the rarest term: a phrase of PHRASE neighbouring words stands where the
+shifted lists agree. Rare phrases come first: those of an item without its commonest ones, which together cover fewer words
+than must stand unaltered, so no document that holds an item can be without all of them. Only in documents where such a
+phrase stands are the commoner phrases intersected. Phrases whose shifted places agree (proximity, a few words of drift) are
+joined to stretches; the words of the item that the stretches cover, and those met in them, decide. Items of fewer than
+LEAST_STRETCH words are exact matches: all their lists must agree at one place.
 
 Defined results: null or blank documents and passages match nothing; repeated ids give one result; an empty item table
-gives an empty result; texts are processed whole; extra columns are ignored.
+gives an empty result; an item that many items resemble, or that is there several times, is found like any other; texts are
+processed whole, and one text is never split over blocks; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,26 +22,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chartloom.llm.repetition import Hashes
+from chartloom.runtime import cut_lineage, shuffle_parts
+
 WORD = re.compile(r"[^\W_]+")
-MARKUP = re.compile(r"<[^<>]{0,400}>|&(?:[a-zA-Z]{2,10}|#\d{1,6});")
+MARKUP = re.compile(r"<[/!?]?[a-zA-Z][^<>]*>|&(?:[a-zA-Z]{2,10}|#\d{1,6});")
 HAN = re.compile(r"([぀-ヿ㐀-鿿])")
 #: Words of one phrase whose shifted lists are intersected.
 PHRASE = 3
 #: Share of an item's words that must stand in the document, and of those that must stand unaltered.
-LEAST_COVER, LEAST_EXACT = 0.47, 0.4
+LEAST_COVER, LEAST_EXACT = 0.5, 0.4
 #: Share of the words inside the stretches, gaps included, that may be altered ("about a tenth").
 MOST_ALTERED = 0.15
 #: Words by which neighbouring phrases may drift apart, and words that may be altered between two of them.
 DRIFT, GAP = 6, 4
-#: Phrases of one stretch at least, its words at least, and stretches that count.
-LEAST_RUN, LEAST_STRETCH, MOST_STRETCHES = 4, 9, 5
+#: Phrases of one stretch at least, and its words at least; shorter items must stand whole.
+LEAST_RUN, LEAST_STRETCH = 4, 9
 #: Places of phrases in items that are held at a time (more if a single document has more).
 MOST_SPREAD = 2_000_000
-#: Test items are held by every worker: more characters than this are refused.
-MOST_ITEM_CHARS = 200_000_000
+#: Tokens of a block (more if a single document has more), and words of the items of one shard.
+BLOCK_TOKENS, SHARD_WORDS = 1_000_000, 1 << 18
+#: Copies of an item shard's terms over which the blocks of a common term are spread in a shuffled join.
+SALTS = 64
+#: Stands for the list of a block's documents; no term has this hash.
+DOCUMENTS = 0
 
 
 def tokens(text: str) -> list[str]:
@@ -54,92 +63,284 @@ def tokens(text: str) -> list[str]:
     return WORD.findall(text)
 
 
-class ItemIndex:
-    """The test side: vocabulary, phrases as keys, and the (item, offset) places of each phrase."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.vocab: dict[str, int] = {}
-        seqs: list[np.ndarray] = []
-        self.ids: list[int] = []
-        for item_id, passage in items:
-            words = tokens(passage or "")
-            if len(words) >= PHRASE:
-                self.ids.append(item_id)
-                seqs.append(np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], np.int64))
-        self.base = len(self.vocab) + 1
-        self.seqs = seqs
-        self.length = np.array([len(s) for s in seqs], np.int64)
-        keys = [self.keys(s) for s in seqs]
-        flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-        item = np.repeat(np.arange(len(keys)), [len(k) for k in keys]) if keys else np.empty(0, np.int64)
-        off = np.concatenate([np.arange(len(k)) for k in keys]) if keys else np.empty(0, np.int64)
-        order = np.argsort(flat, kind="stable")
-        self.item, self.off = item[order], off[order]
-        self.key, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
-
-    def keys(self, seq: np.ndarray) -> np.ndarray:
-        """PHRASE neighbouring terms folded to one key per place; 0 where a term is foreign."""
-        n = len(seq) - PHRASE + 1
-        if n <= 0:
+def term_hashes(words: list[str], vocab: Hashes) -> np.ndarray:
+    h = np.fromiter(map(vocab.__getitem__, words), np.uint64, len(words)).view(np.int64)
+    return np.where(h == DOCUMENTS, 1, h)
+
+
+# ---------------------------------------------------------------- the stored index
+
+
+def packed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers as bytes of seven bits, all but the last of a number marked; and how many bytes each takes."""
+    size = np.ones(len(x), np.int64)
+    for k in range(1, 5):
+        size += x >= 1 << (7 * k)
+    end = np.cumsum(size)
+    out = np.empty(int(end[-1]) if len(x) else 0, np.uint8)
+    for k in range(5):
+        has = size > k
+        if has.any():
+            out[(end - size)[has] + k] = ((x[has] >> (7 * k)) & 127) | np.where(size[has] > k + 1, 128, 0)
+    return out, size
+
+
+def unpacked(raw: np.ndarray) -> np.ndarray:
+    end = np.flatnonzero(raw < 128)
+    if not len(end):
+        return np.empty(0, np.int64)
+    first = np.concatenate([[0], end[:-1] + 1])
+    place = np.arange(len(raw)) - np.repeat(first, end - first + 1)
+    return np.add.reduceat((raw & 127).astype(np.int64) << (7 * place), first)
+
+
+def posting_lists(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(terms, counts, packed position lists) of one block. ``flat``: its terms, with PHRASE places of DOCUMENTS after each
+    document; the first list is that of the documents' ends."""
+    at = np.flatnonzero(flat != DOCUMENTS)
+    order = np.argsort(flat[at], kind="stable")
+    term, pos = flat[at][order], at[order]
+    new = np.concatenate([[True], term[1:] != term[:-1]]) if len(term) else np.empty(0, bool)
+    gap = pos.copy()
+    gap[1:] = np.where(new[1:], pos[1:], pos[1:] - pos[:-1])
+    gap = np.concatenate([np.diff(ends, prepend=0), gap])
+    first = np.concatenate([[0], len(ends) + np.flatnonzero(new)])
+    data, size = packed(gap)
+    edges = np.concatenate([np.concatenate([[0], np.cumsum(size)])[first], [len(data)]]).astype(np.int64)
+    lists = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(edges), pa.py_buffer(data)])
+    return np.concatenate([[DOCUMENTS], term[new]]).astype(np.int64), np.diff(np.append(first, len(gap))), lists
+
+
+def training_index(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``block, term, n, postings, ids``: one row per term of a block of documents, written by the task that read them; the
+    row of DOCUMENTS has the ends of the block's documents and their ids."""
+    kind = docs.schema[doc_id].dataType.simpleString()
+    vocab = Hashes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = TaskContext.get().partitionId() << 32
+        ids, flat, size, ends = [], [], 0, []
+
+        def block(id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+            nonlocal name, size
+            term, n, lists = posting_lists(np.concatenate(flat), np.array(ends))
+            table = pa.table([pa.array(np.full(len(term), name)), pa.array(term), pa.array(n.astype(np.int32)), lists.cast(pa.binary())], ["block", "term", "n", "postings"])
+            whose = pa.concat_arrays([pa.array([ids], pa.list_(id_type)), pa.nulls(len(term) - 1, pa.list_(id_type))])
+            yield from table.append_column("ids", whose).to_batches(max_chunksize=20_000)
+            name += 1
+            size = 0
+            for held in (ids, flat, ends):
+                held.clear()
+
+        id_type = None
+        for b in batches:
+            id_type = b.schema.field(0).type
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = tokens(t)
+                if words:
+                    flat += [term_hashes(words, vocab), np.full(PHRASE, DOCUMENTS)]
+                    size += len(words) + PHRASE
+                    ids.append(i)
+                    ends.append(size)
+                if size >= BLOCK_TOKENS:
+                    yield from block(id_type)
+        if ids:
+            yield from block(id_type)
+
+    return docs.select(F.col(doc_id), F.col(text)).where(F.col(text).isNotNull()).mapInArrow(run, f"block bigint, term bigint, n int, postings binary, ids array<{kind}>")
+
+
+# ---------------------------------------------------------------- the test side
+
+
+def item_places(items: DataFrame, item_id: str, passage: str) -> DataFrame:
+    """``item, term, off, words``: each word of each passage."""
+    kind = items.schema[item_id].dataType.simpleString()
+    vocab = Hashes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seqs = [term_hashes(tokens(t), vocab) for t in b.column(1).to_pylist()]
+            n = [len(s) for s in seqs]
+            which = np.repeat(np.arange(len(n)), n)
+            off = np.concatenate([np.arange(k) for k in n]) if n else np.empty(0, int)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(which)), pa.array(np.concatenate(seqs) if n else np.empty(0, np.int64), pa.int64()), pa.array(off.astype(np.int32)), pa.array(np.repeat(n, n).astype(np.int32), pa.int32())],
+                names=["item", "term", "off", "words"],
+            )
+
+    one = items.where(F.col(passage).isNotNull()).groupBy(item_id).agg(F.min(passage).alias("passage"))
+    return one.select(item_id, "passage").mapInArrow(run, f"item {kind}, term bigint, off int, words int")
+
+
+def item_terms(places: DataFrame, shards: int) -> DataFrame:
+    """``term, shard, places``: where each term stands in the items of each shard; DOCUMENTS once for every shard."""
+    shard = F.pmod(F.xxhash64("item"), F.lit(shards)).alias("shard")
+    lists = places.select("*", shard).groupBy("term", "shard").agg(F.collect_list(F.struct("item", "off", "words")).alias("places"))  # at most a shard's words
+    every = places.select(shard).distinct().select(F.lit(DOCUMENTS).cast("bigint").alias("term"), "shard", F.lit(None).cast(lists.schema["places"].dataType).alias("places"))
+    return lists.unionByName(every)
+
+
+class Shard:
+    """The items of one shard as they can stand in one block: sequences of the block's terms (-2 for terms that the block
+    does not have), and their phrases with the (item, offset) places of each."""
+
+    def __init__(self, item: np.ndarray, off: np.ndarray, words: np.ndarray, term: np.ndarray, count: np.ndarray):
+        k = int(item.max()) + 1 if len(item) else 0
+        self.length = np.zeros(k, np.int64)
+        self.length[item] = words
+        self.first = np.cumsum(self.length) - self.length
+        self.flat = np.full(int(self.length.sum()), -2, np.int64)
+        self.flat[self.first[item] + off] = term
+        owner = np.repeat(np.arange(k), self.length)
+        place = np.arange(len(self.flat)) - np.repeat(self.first, self.length)
+        ok = (place + PHRASE <= self.length[owner]) & (self.length[owner] >= LEAST_STRETCH)
+        at = np.flatnonzero(ok)
+        parts = np.stack([self.flat[at + j] for j in range(PHRASE)]) if len(at) else np.empty((PHRASE, 0), np.int64)
+        here = (parts >= 0).all(0)
+        at, parts = at[here], parts[:, here]
+        base = len(count) + 1
+        key = np.zeros(len(at), np.int64)
+        for p in parts:  # at most SHARD_WORDS terms: three of them fit into 64 bits
+            key = key * base + p
+        by = np.argsort(key, kind="stable")
+        _, lead, self.reps = np.unique(key[by], return_index=True, return_counts=True)
+        self.head = lead  # of each phrase, its first place among item and off
+        self.item, self.off = owner[at][by], place[at][by]
+        self.terms = parts[:, by][:, lead]
+        self.rarest = np.argmin(count[self.terms], axis=0) if len(lead) else np.empty(0, np.int64)
+        self.cost = count[self.terms].min(0) if len(lead) else np.empty(0, np.int64)
+        self.rare = self._rare()
+
+    def _rare(self) -> np.ndarray:
+        """For each place of a phrase in an item whether the phrase is one of the item's rare ones: all but the commonest
+        that together cover fewer than LEAST_EXACT of its words."""
+        cost = np.repeat(self.cost, self.reps)
+        rare = np.ones(len(cost), bool)
+        by = np.lexsort((-cost, self.item))
+        edges = np.searchsorted(self.item[by], np.arange(len(self.length) + 1))
+        offs = self.off[by].tolist()
+        for i in np.flatnonzero(np.diff(edges)).tolist():
+            need, covered, seen = LEAST_EXACT * int(self.length[i]), 0, set()
+            for j in range(edges[i], edges[i + 1]):
+                seen.update(range(offs[j], offs[j] + PHRASE))
+                if len(seen) >= need:
+                    break
+                rare[by[j]] = False
+        return rare
+
+    def seq(self, i: int) -> np.ndarray:
+        return self.flat[self.first[i] : self.first[i] + self.length[i]]
+
+
+class Block:
+    """The posting lists of one block that a shard asked for."""
+
+    def __init__(self, count: np.ndarray, raw: np.ndarray, ends: np.ndarray):
+        gap = unpacked(raw)
+        self.count, self.head, self.ends = count, np.cumsum(count) - count, ends
+        total = np.cumsum(gap)
+        self.pos = total - np.repeat((total - gap)[self.head], count) if len(gap) else gap
+        #: The lists laid out by position: one look tells whether a shifted place is in another list.
+        self.words = np.full(int(ends[-1]) + PHRASE if len(ends) else PHRASE, -1, np.int64)
+        self.words[self.pos] = np.repeat(np.arange(len(count)), count)
+
+    def intersect(self, terms: np.ndarray, rarest: np.ndarray, docs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(position, phrase) of the places where the shifted lists of a phrase's terms agree, from the rarest list on; in
+        the documents ``docs`` (a mask) only, if given."""
+        where, which = [], []
+        lead = terms[rarest, np.arange(terms.shape[1])]
+        pos, head, count = self.pos, self.head, self.count
+        if docs is not None:
+            own = docs[np.searchsorted(self.ends, pos, side="right")]
+            kept = np.concatenate([[0], np.cumsum(own)])
+            pos, head, count = pos[own], kept[head], kept[head + count] - kept[head]
+        todo = count[lead]
+        cuts = np.flatnonzero(np.diff(np.cumsum(todo) // MOST_SPREAD)) + 1
+        for part in np.split(np.arange(len(lead)), cuts):
+            n = todo[part]
+            p = np.repeat(part, n)
+            at = pos[np.repeat(head[lead[part]] - (np.cumsum(n) - n), n) + np.arange(n.sum())] - rarest[p]
+            ok = at >= 0
+            at, p = at[ok], p[ok]
+            for j in range(PHRASE):
+                ok = self.words[at + j] == terms[j, p]
+                at, p = at[ok], p[ok]
+            where.append(at)
+            which.append(p)
+        return (np.concatenate(where), np.concatenate(which)) if where else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+    def whole(self, seq: np.ndarray) -> np.ndarray:
+        """The places where all words of ``seq`` stand one after another, by the lists from the rarest on."""
+        if (seq < 0).any():
             return np.empty(0, np.int64)
-        out = np.zeros(n, np.int64)
-        ok = np.ones(n, bool)
-        for k in range(PHRASE):
-            part = seq[k : k + n]
-            out = out * self.base + part
-            ok &= part > 0
-        return np.where(ok, out, 0)
-
-
-def block_matches(index: ItemIndex, doc_ids: list, texts: list) -> list[tuple[int, int, float]]:
-    """(doc_id, item_id, share of the item's words) for one block of documents."""
-    get = index.vocab.get
-    flat: list[int] = []
-    ends: list[int] = []
-    for t in texts:
-        if t:
-            flat.extend([get(w, 0) for w in tokens(t)])
-        flat.extend([0] * PHRASE)
-        ends.append(len(flat))
-    if not len(index.key) or not flat:
-        return []
-    words = np.array(flat, np.int64)
-    places = index.keys(words)
-    at = np.flatnonzero(places)
-    slot = np.searchsorted(index.key, places[at])
-    slot[slot == len(index.key)] = 0
-    hit = index.key[slot] == places[at]
-    at, slot = at[hit], slot[hit]
-    doc = np.searchsorted(np.array(ends), at, side="right")
-
-    def spread(x: int, y: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The places x to y with every (item, offset) of their phrases, ordered by document, item and shift."""
-        k = slot[x:y]
-        reps = index.count[k]
-        from_ = np.repeat(index.first[k], reps) + (np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps))
-        item, off, a = index.item[from_], index.off[from_], np.repeat(at[x:y], reps)
-        pair = np.repeat(doc[x:y], reps).astype(np.int64) * len(index.ids) + item
-        order = np.lexsort((a, a - off, pair))
-        pair, off, a = pair[order], off[order], a[order]
-        run = np.ones(len(pair), bool)
-        run[1:] = (pair[1:] != pair[:-1]) | (np.diff(a - off) > DRIFT)
-        return pair, off, a, np.cumsum(run) - 1
+        order = np.argsort(self.count[seq], kind="stable")
+        t = seq[order[0]]
+        at = self.pos[self.head[t] : self.head[t] + self.count[t]] - order[0]
+        at = at[(at >= 0) & (at + len(seq) <= len(self.words))]
+        for j in order[1:]:
+            at = at[self.words[at + j] == seq[j]]
+        return at
 
+
+def matches(block: Block, shard: Shard) -> list[tuple[int, int, float]]:
+    """(document, item, share of the item's words) of one block and one shard of items."""
     out: list[tuple[int, int, float]] = []
-    for x, y in parts(doc, index.count[slot]):
-        pair, off, a, run = spread(x, y)
-        keep = (np.bincount(run) >= LEAST_RUN)[run]  # shorter runs count in no stretch
-        pair, off, a, run = pair[keep], off[keep], a[keep], run[keep]
-        wanted = may_hold(index, pair, off)
-        keep = np.isin(pair, wanted)
-        pair, off, a, run = pair[keep], off[keep], a[keep], run[keep]
+    k = len(shard.length)
+    for i in np.flatnonzero((shard.length > 0) & (shard.length < LEAST_STRETCH)).tolist():
+        at = block.whole(shard.seq(i))
+        out += [(d, i, 1.0) for d in np.unique(np.searchsorted(block.ends, at, side="right")).tolist()]
+    if not len(shard.cost):
+        return out
+    rare_reps = np.add.reduceat(shard.rare.astype(np.int64), shard.head)
+    seed = np.flatnonzero(rare_reps)
+    at, p = block.intersect(shard.terms[:, seed], shard.rarest[seed])
+    doc, p = np.searchsorted(block.ends, at, side="right"), seed[p]
+    item_of, rare = shard.item, shard.rare
+
+    def spread(doc: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each hit its places in items: (index of the hit, index of the place)."""
+        n = shard.reps[p]
+        return np.repeat(np.arange(len(p)), n), np.repeat(shard.head[p] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+    wanted: list[np.ndarray] = []
+    by = np.lexsort((p, doc))
+    doc, p = doc[by], p[by]
+    for x, y in parts(doc, shard.reps[p]):
+        hit, place = spread(doc[x:y], p[x:y])
+        sel = rare[place]
+        wanted.append(np.unique(doc[x:y][hit[sel]] * k + item_of[place[sel]]))
+    pairs = np.unique(np.concatenate(wanted)) if wanted else np.empty(0, np.int64)
+    if not len(pairs):
+        return out
+    mask = np.zeros(len(block.ends), bool)
+    mask[pairs // k] = True
+    at, p = block.intersect(shard.terms, shard.rarest, mask)
+    by = np.argsort(at, kind="stable")
+    at, p = at[by], p[by]
+    doc = np.searchsorted(block.ends, at, side="right")
+    for x, y in parts(doc, shard.reps[p]):
+        hit, place = spread(doc[x:y], p[x:y])
+        pair = doc[x:y][hit] * k + item_of[place]
+        slot = np.searchsorted(pairs, pair)
+        sel = pairs[np.minimum(slot, len(pairs) - 1)] == pair
+        pair, off, a = pair[sel], shard.off[place[sel]], at[x:y][hit[sel]]
+        order = np.lexsort((a, a - off, pair))
+        pair, off, a = pair[order], off[order], a[order]
+        new = np.ones(len(pair), bool)
+        new[1:] = (pair[1:] != pair[:-1]) | (np.diff(a - off) > DRIFT)
+        run = np.cumsum(new) - 1
+        sel = (np.bincount(run) >= LEAST_RUN)[run] if len(run) else new  # shorter runs count in no stretch
+        pair, off, a, run = pair[sel], off[sel], a[sel], run[sel]
+        sel = np.isin(pair, may_hold(shard.length, pair, off))
+        pair, off, a, run = pair[sel], off[sel], a[sel], run[sel]
         cut = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1], [True]])) if len(pair) else np.zeros(1, int)
         for u, v in zip(cut[:-1], cut[1:]):
-            d, i = divmod(int(pair[u]), len(index.ids))
-            n = int(index.length[i])
-            covered, exact, met = stretches(off[u:v], a[u:v], run[u:v], index.seqs[i], words)
+            d, i = divmod(int(pair[u]), k)
+            n = int(shard.length[i])
+            covered, exact, met = stretches(off[u:v], a[u:v], run[u:v], shard.seq(i), block.words)
             if covered >= LEAST_COVER * n and exact >= LEAST_EXACT * n and met >= (1 - MOST_ALTERED) * covered:
-                out.append((doc_ids[d], index.ids[i], covered / n))
+                out.append((d, i, covered / n))
     return out
 
 
@@ -153,14 +354,14 @@ def parts(doc: np.ndarray, count: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts, [*cuts[1:], len(doc)]))
 
 
-def may_hold(index: ItemIndex, pair: np.ndarray, off: np.ndarray) -> np.ndarray:
+def may_hold(length: np.ndarray, pair: np.ndarray, off: np.ndarray) -> np.ndarray:
     """The (document, item) pairs whose phrases, over all runs together, cover LEAST_EXACT of the item's words.
 
     The words that ``stretches`` counts as met are covered by some of these phrases, so no pair that it accepts is lost.
     """
     if not len(pair):
         return pair
-    wide = int(index.length.max()) + PHRASE
+    wide = int(length.max()) + PHRASE
     key = np.unique(pair * wide + off)
     pair, off = key // wide, key % wide
     first = np.ones(len(pair), bool)
@@ -168,55 +369,94 @@ def may_hold(index: ItemIndex, pair: np.ndarray, off: np.ndarray) -> np.ndarray:
     words = np.full(len(pair), PHRASE, np.int64)
     words[1:] = np.where(first[1:], PHRASE, np.minimum(PHRASE, np.diff(off)))
     heads = np.flatnonzero(first)
-    return pair[heads][np.add.reduceat(words, heads) >= LEAST_EXACT * index.length[pair[heads] % len(index.ids)]]
+    return pair[heads][np.add.reduceat(words, heads) >= LEAST_EXACT * length[pair[heads] % len(length)]]
 
 
 def stretches(off: np.ndarray, at: np.ndarray, run: np.ndarray, item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
-    """Words of the item that lie in its few longest stretches (small altered gaps included), those met in whole phrases,
-    and those met at all, where a word in a gap may stand at the shift of either neighbouring phrase."""
+    """Words of the item that lie in its stretches (small altered gaps included), those met in whole phrases, and those met
+    at all, where a word in a gap may stand at the shift of either neighbouring phrase."""
     n = len(item)
-    found: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+    exact, inside, met = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
     for r in np.unique(run):
         sel = run == r
-        if sel.sum() < LEAST_RUN:
-            continue
         o, p = off[sel], at[sel]
         k = np.lexsort((o, p))
         o, p = o[k], p[k]
         new = (np.diff(o) > PHRASE + GAP) | (np.diff(o) <= 0) | (np.diff(p) > PHRASE + GAP + DRIFT)
         for s in np.split(np.arange(len(o)), np.flatnonzero(new) + 1):
-            if len(s) >= LEAST_RUN and o[s[-1]] + PHRASE - o[s[0]] >= LEAST_STRETCH:
-                found.append((int(o[s[0]]), int(o[s[-1]]) + PHRASE, o[s], p[s]))
-    exact, inside, met = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
-    for a, b, o, p in sorted(found, key=lambda f: f[0] - f[1])[:MOST_STRETCHES]:
-        inside[a:b] = True
-        exact[(o[:, None] + np.arange(PHRASE)).ravel()] = True
-        place = np.arange(a, b)
-        k = np.searchsorted(o, place, side="right") - 1
-        for shift in (p - o)[k], (p - o)[np.minimum(k + 1, len(o) - 1)]:
-            met[a:b] |= words[np.clip(place + shift, 0, len(words) - 1)] == item[a:b]
+            a, b = int(o[s[0]]), int(o[s[-1]]) + PHRASE
+            if len(s) < LEAST_RUN or b - a < LEAST_STRETCH:
+                continue
+            inside[a:b] = True
+            exact[(o[s][:, None] + np.arange(PHRASE)).ravel()] = True
+            place = np.arange(a, b)
+            k = np.searchsorted(o[s], place, side="right") - 1
+            for shift in (p - o)[s][k], (p - o)[s][np.minimum(k + 1, len(s) - 1)]:
+                met[a:b] |= words[np.clip(place + shift, 0, len(words) - 1)] == item[a:b]
     return int(inside.sum()), int(exact.sum()), int((met | exact).sum())
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage") -> DataFrame:
-    """``doc_id``, ``item_id``, ``cover``: documents that hold an item's passage, fully or in good part."""
-    size = items.agg(F.sum(F.length(passage)).alias("n")).first()["n"] or 0
-    if size > MOST_ITEM_CHARS:
-        raise ValueError(f"the test items hold {size} characters; split them into tables of at most {MOST_ITEM_CHARS}")
-    rows = [(r[0], r[1]) for r in items.where(F.col(passage).isNotNull()).select(item_id, passage).dropDuplicates([item_id]).collect()]
-    shared = docs.sparkSession.sparkContext.broadcast(sorted(rows))
-    held: list[ItemIndex] = []
-    kind, item_kind = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+# ---------------------------------------------------------------- the query
+
+
+def _searched(lists: DataFrame, id_kind: str, item_kind: str) -> DataFrame:
+    """``doc_id, item_id, cover`` from the lists of all (block, shard), each in one piece."""
+
+    def group(table: pa.Table) -> pa.RecordBatch | None:
+        table = table.combine_chunks()
+        head = np.flatnonzero(table.column("term").to_numpy() == DOCUMENTS)
+        if len(head) != 1 or table.num_rows == 1:
+            return None
+        h = int(head[0])
+        ends, ids = np.cumsum(unpacked(np.frombuffer(table.column("postings")[h].as_buffer(), np.uint8))), table.column("ids")[h].values
+        rest = pa.concat_tables([table.slice(0, h), table.slice(h + 1)]).combine_chunks()
+        lists, places = rest.column("postings").chunk(0), rest.column("places").chunk(0)
+        size = pc.binary_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        buffers = lists.buffers()
+        begin = int(np.frombuffer(buffers[1], np.int32, 1, 4 * lists.offset)[0])
+        block = Block(rest.column("n").to_numpy().astype(np.int64), np.frombuffer(buffers[2], np.uint8, int(size.sum()), begin), ends)
+        flat = places.flatten()
+        code = flat.field(0).dictionary_encode()
+        term = np.repeat(np.arange(rest.num_rows), pc.list_value_length(places).to_numpy(zero_copy_only=False))
+        shard = Shard(code.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.field(1).to_numpy(zero_copy_only=False).astype(np.int64), flat.field(2).to_numpy(zero_copy_only=False), term, block.count)
+        found = matches(block, shard)
+        if not found:
+            return None
+        d, i, cover = zip(*found)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(d)), code.dictionary.take(pa.array(i)), pa.array(cover, pa.float64())], names=["doc_id", "item_id", "cover"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            held.append(ItemIndex(shared.value))
+        held: list[pa.RecordBatch] = []
+        at = None
         for b in batches:
-            found = block_matches(held[0], b.column(0).to_pylist(), b.column(1).to_pylist())
-            yield pa.RecordBatch.from_pylist(
-                [{"doc_id": d, "item_id": i, "cover": float(c)} for d, i, c in found],
-                pa.schema([("doc_id", b.schema.field(0).type), ("item_id", pa.int64()), ("cover", pa.float64())]),
-            )
+            key = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()])
+            cuts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [b.num_rows]])
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if y > x:
+                    if at is not None and tuple(key[:, x]) != at and (found := group(pa.Table.from_batches(held))):
+                        yield found
+                    if tuple(key[:, x]) != at:
+                        held = []
+                    at = tuple(key[:, x])
+                    held.append(b.slice(x, y - x))
+        if held and (found := group(pa.Table.from_batches(held))):
+            yield found
+
+    return lists.mapInArrow(run, f"doc_id {id_kind}, item_id {item_kind}, cover double")
 
-    found = docs.select(F.col(doc_id), F.col(text)).where(F.col(text).isNotNull()).mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, cover double")
+
+def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage") -> DataFrame:
+    """``doc_id``, ``item_id``, ``cover``: documents that hold an item's passage, fully or in good part."""
+    spark = docs.sparkSession
+    places = cut_lineage(item_places(items, item_id, passage))
+    shards = max(1, -(-places.count() // SHARD_WORDS))
+    terms = item_terms(places, shards)
+    index = cut_lineage(training_index(docs, doc_id, text))
+    if shards == 1:  # at most SHARD_WORDS places of terms
+        met = index.join(F.broadcast(terms), "term")
+    else:
+        copies = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = index.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int")).join(copies, ["term", "salt"])
+    lists = met.select("block", "shard", "term", "n", "postings", "ids", "places").repartition(shuffle_parts(spark), "block", "shard").sortWithinPartitions("block", "shard")
+    found = _searched(lists, docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString())
     return found.groupBy("doc_id", "item_id").agg(F.max("cover").alias("cover"))

@@ -45,12 +45,54 @@ def test_empty(spark):
     assert leaked_items(docs.limit(0), spark.createDataFrame(ITEMS, "item_id bigint, passage string")).count() == 0
 
 
-def test_item_table_is_bounded(spark, monkeypatch):
+def found(spark, docs, items):
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    return {(r.doc_id, r.item_id) for r in leaked_items(df, spark.createDataFrame(items, "item_id bigint, passage string")).collect()}
+
+
+def test_items_in_several_copies_are_found(spark):
+    same = [(k, ITEMS[1][1]) for k in range(5)]
+    assert found(spark, [(1, filler(30, 1) + " " + ITEMS[1][1]), (2, filler(30, 2))], same) == {(1, k) for k in range(5)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 8])
+def test_short_items_must_stand_whole(spark, n):
+    words = [f"short{k}" for k in range(n)]
+    docs = [(1, filler(20, 1) + " " + " ".join(words).upper() + " " + filler(20, 2)), (2, filler(20, 3) + " " + " ".join(words[:-1])), (3, " x ".join(words) if n > 1 else "x")]
+    assert found(spark, docs, [(7, " ".join(words)), (8, "never there")]) == {(1, 7)}
+
+
+def test_small_blocks_and_shards_change_nothing(spark, monkeypatch):
     import chartloom.llm.leakage as k
 
-    monkeypatch.setattr(k, "MOST_ITEM_CHARS", 10)
-    with pytest.raises(ValueError):
-        leaked_items(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), spark.createDataFrame(ITEMS, "item_id bigint, passage string"))
+    docs = [(d, filler(30, d) + " " + " ".join(ITEMS[d % 20][1].split()[d % 7 : 50]) + " " + ITEMS[(d + 3) % 20][1]) for d in range(60)]
+    items = [*ITEMS, (50, "word1 word2"), (51, ITEMS[4][1])]
+    whole = found(spark, docs, items)
+    assert len(whole) >= 120
+    monkeypatch.setattr(k, "BLOCK_TOKENS", 300)
+    monkeypatch.setattr(k, "SHARD_WORDS", 200)
+    monkeypatch.setattr(k, "SALTS", 3)
+    monkeypatch.setattr(k, "MOST_SPREAD", 50)
+    assert found(spark, docs, items) == whole
+
+
+def test_posting_lists_come_back(spark):
+    import numpy as np
+
+    from chartloom.llm.leakage import packed, unpacked
+
+    x = np.array([0, 1, 127, 128, 300, 1 << 20, (1 << 34) + 5])
+    assert unpacked(packed(x)[0]).tolist() == x.tolist()
+
+
+def test_all_equal_the_plain_search(spark):
+    """Whole passages, found by looking for their words in each document's."""
+    from chartloom.llm.leakage import tokens
+
+    r = random.Random(4)
+    docs = [(d, filler(100, 200 + d) + (" " + r.choice(ITEMS)[1] if d % 3 else "") + " <b>" + filler(20, 300 + d)) for d in range(50)]
+    plain = {(d, i) for d, t in docs for i, p in ITEMS if " ".join(tokens(p)) in " ".join(tokens(t))}
+    assert found(spark, docs, ITEMS) == plain
 
 
 @pytest.mark.parametrize("count", [3, 4, 5])
