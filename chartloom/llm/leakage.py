@@ -5,8 +5,8 @@ The test items are cut into shards; the posting lists of a shard's terms are bro
 on the term, salted by block, as common terms lie in every block. There the lists are intersected, offset by the term's
 place in the passage and beginning with the list of the rarest term: a phrase of PHRASE neighbouring words stands where the
 shifted lists agree. Rare phrases come first: those of an item without its commonest ones, which together cover fewer words
-than must stand unaltered, so no document that holds an item can be without all of them. Only in documents where such a
-phrase stands are the commoner phrases intersected. Phrases whose shifted places agree (proximity, a few words of drift) are
+than must stand unaltered, so no document that holds an item can be without all of them. Only pairs of a document and an
+item that share such a phrase are looked at with all phrases. Phrases whose shifted places agree (proximity, a few words of drift) are
 joined to stretches; the words of the item that the stretches cover, and those met in them, decide. Items of fewer than
 LEAST_STRETCH words are exact matches: all their lists must agree at one place.
 
@@ -68,6 +68,12 @@ def term_hashes(words: list[str], vocab: Hashes) -> np.ndarray:
     return np.where(h == DOCUMENTS, 1, h)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different numbers of ``x``, in order."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 # ---------------------------------------------------------------- the stored index
 
 
@@ -209,19 +215,17 @@ class Shard:
         self.item, self.off = owner[at][by], place[at][by]
         self.terms = parts[:, by][:, lead]
         self.rarest = np.argmin(count[self.terms], axis=0) if len(lead) else np.empty(0, np.int64)
-        self.cost = count[self.terms].min(0) if len(lead) else np.empty(0, np.int64)
-        self.rare = self._rare()
-
-    def _rare(self) -> np.ndarray:
-        """For each place of a phrase in an item whether the phrase is one of the item's rare ones: all but the commonest
-        that together cover fewer than LEAST_EXACT of its words."""
-        cost = np.repeat(self.cost, self.reps)
-        rare = np.ones(len(cost), bool)
-        by = np.lexsort((-cost, self.item))
+
+    def rare(self, hits: np.ndarray) -> np.ndarray:
+        """For each place of a phrase in an item whether the phrase is one of the item's rare ones, given how often each
+        phrase stands in the block: all but the commonest that together cover fewer than LEAST_EXACT of the item's words."""
+        often = np.repeat(hits, self.reps)
+        rare = np.ones(len(often), bool)
+        by = np.lexsort((-often, self.item))
         edges = np.searchsorted(self.item[by], np.arange(len(self.length) + 1))
         offs = self.off[by].tolist()
         for i in np.flatnonzero(np.diff(edges)).tolist():
-            need, covered, seen = LEAST_EXACT * int(self.length[i]), 0, set()
+            need, seen = LEAST_EXACT * int(self.length[i]), set()
             for j in range(edges[i], edges[i + 1]):
                 seen.update(range(offs[j], offs[j] + PHRASE))
                 if len(seen) >= need:
@@ -240,35 +244,35 @@ class Block:
         gap = unpacked(raw)
         self.count, self.head, self.ends = count, np.cumsum(count) - count, ends
         total = np.cumsum(gap)
-        self.pos = total - np.repeat((total - gap)[self.head], count) if len(gap) else gap
+        self.pos = (total - np.repeat((total - gap)[self.head], count)).astype(np.int32) if len(gap) else gap.astype(np.int32)
         #: The lists laid out by position: one look tells whether a shifted place is in another list.
-        self.words = np.full(int(ends[-1]) + PHRASE if len(ends) else PHRASE, -1, np.int64)
-        self.words[self.pos] = np.repeat(np.arange(len(count)), count)
+        self.words = np.full(int(ends[-1]) + PHRASE if len(ends) else PHRASE, -1, np.int32)
+        self.words[self.pos] = np.repeat(np.arange(len(count), dtype=np.int32), count)
 
-    def intersect(self, terms: np.ndarray, rarest: np.ndarray, docs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(position, phrase) of the places where the shifted lists of a phrase's terms agree, from the rarest list on; in
-        the documents ``docs`` (a mask) only, if given."""
+    def intersect(self, terms: np.ndarray, rarest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, phrase), by position, of the places where the shifted lists of a phrase's terms agree: the places of
+        its rarest list that the other two hold as well."""
         where, which = [], []
         lead = terms[rarest, np.arange(terms.shape[1])]
-        pos, head, count = self.pos, self.head, self.count
-        if docs is not None:
-            own = docs[np.searchsorted(self.ends, pos, side="right")]
-            kept = np.concatenate([[0], np.cumsum(own)])
-            pos, head, count = pos[own], kept[head], kept[head + count] - kept[head]
-        todo = count[lead]
+        todo = self.count[lead]
         cuts = np.flatnonzero(np.diff(np.cumsum(todo) // MOST_SPREAD)) + 1
         for part in np.split(np.arange(len(lead)), cuts):
             n = todo[part]
             p = np.repeat(part, n)
-            at = pos[np.repeat(head[lead[part]] - (np.cumsum(n) - n), n) + np.arange(n.sum())] - rarest[p]
+            at = self.pos[np.repeat(self.head[lead[part]] - (np.cumsum(n) - n), n) + np.arange(n.sum())] - rarest[p]
             ok = at >= 0
             at, p = at[ok], p[ok]
-            for j in range(PHRASE):
+            for step in range(1, PHRASE):
+                j = (rarest[p] + step) % PHRASE
                 ok = self.words[at + j] == terms[j, p]
                 at, p = at[ok], p[ok]
             where.append(at)
             which.append(p)
-        return (np.concatenate(where), np.concatenate(which)) if where else (np.empty(0, np.int64), np.empty(0, np.int64))
+        if not where:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at, p = np.concatenate(where), np.concatenate(which)
+        by = np.argsort(at, kind="stable")
+        return at[by], p[by]
 
     def whole(self, seq: np.ndarray) -> np.ndarray:
         """The places where all words of ``seq`` stand one after another, by the lists from the rarest on."""
@@ -290,38 +294,32 @@ def matches(block: Block, shard: Shard) -> list[tuple[int, int, float]]:
     for i in np.flatnonzero((shard.length > 0) & (shard.length < LEAST_STRETCH)).tolist():
         at = block.whole(shard.seq(i))
         out += [(d, i, 1.0) for d in np.unique(np.searchsorted(block.ends, at, side="right")).tolist()]
-    if not len(shard.cost):
+    at, p = block.intersect(shard.terms, shard.rarest)
+    if not len(at):
         return out
-    rare_reps = np.add.reduceat(shard.rare.astype(np.int64), shard.head)
-    seed = np.flatnonzero(rare_reps)
-    at, p = block.intersect(shard.terms[:, seed], shard.rarest[seed])
-    doc, p = np.searchsorted(block.ends, at, side="right"), seed[p]
-    item_of, rare = shard.item, shard.rare
+    doc = np.searchsorted(block.ends, at, side="right")
+    rare = shard.rare(np.bincount(p, minlength=len(shard.reps)))
 
-    def spread(doc: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def spread(p: np.ndarray, reps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each hit its places in items: (index of the hit, index of the place)."""
-        n = shard.reps[p]
-        return np.repeat(np.arange(len(p)), n), np.repeat(shard.head[p] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        n = reps[p]
+        return np.repeat(np.arange(len(p)), n), np.repeat((np.cumsum(reps) - reps)[p] - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
+    of_rare, reps = shard.item[rare], np.add.reduceat(rare.astype(np.int64), shard.head)
     wanted: list[np.ndarray] = []
-    by = np.lexsort((p, doc))
-    doc, p = doc[by], p[by]
-    for x, y in parts(doc, shard.reps[p]):
-        hit, place = spread(doc[x:y], p[x:y])
-        sel = rare[place]
-        wanted.append(np.unique(doc[x:y][hit[sel]] * k + item_of[place[sel]]))
-    pairs = np.unique(np.concatenate(wanted)) if wanted else np.empty(0, np.int64)
+    for x, y in parts(doc, reps[p]):
+        hit, place = spread(p[x:y], reps)
+        wanted.append(distinct(doc[x:y][hit] * k + of_rare[place]))
+    pairs = distinct(np.concatenate(wanted)) if wanted else np.empty(0, np.int64)
     if not len(pairs):
         return out
     mask = np.zeros(len(block.ends), bool)
     mask[pairs // k] = True
-    at, p = block.intersect(shard.terms, shard.rarest, mask)
-    by = np.argsort(at, kind="stable")
-    at, p = at[by], p[by]
-    doc = np.searchsorted(block.ends, at, side="right")
+    own = mask[doc]
+    at, p, doc = at[own], p[own], doc[own]
     for x, y in parts(doc, shard.reps[p]):
-        hit, place = spread(doc[x:y], p[x:y])
-        pair = doc[x:y][hit] * k + item_of[place]
+        hit, place = spread(p[x:y], shard.reps)
+        pair = doc[x:y][hit] * k + shard.item[place]
         slot = np.searchsorted(pairs, pair)
         sel = pairs[np.minimum(slot, len(pairs) - 1)] == pair
         pair, off, a = pair[sel], shard.off[place[sel]], at[x:y][hit[sel]]
@@ -362,7 +360,7 @@ def may_hold(length: np.ndarray, pair: np.ndarray, off: np.ndarray) -> np.ndarra
     if not len(pair):
         return pair
     wide = int(length.max()) + PHRASE
-    key = np.unique(pair * wide + off)
+    key = distinct(pair * wide + off)
     pair, off = key // wide, key % wide
     first = np.ones(len(pair), bool)
     first[1:] = pair[1:] != pair[:-1]
@@ -377,7 +375,7 @@ def stretches(off: np.ndarray, at: np.ndarray, run: np.ndarray, item: np.ndarray
     at all, where a word in a gap may stand at the shift of either neighbouring phrase."""
     n = len(item)
     exact, inside, met = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
-    for r in np.unique(run):
+    for r in distinct(run):
         sel = run == r
         o, p = off[sel], at[sel]
         k = np.lexsort((o, p))
