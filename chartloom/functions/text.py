@@ -156,46 +156,49 @@ def note_track(c: Column) -> Column:
 
 
 def matches(text: Column, pattern: str, groups: int) -> Column:
-    """array<struct<start, end, full, g1..gn>> of all matches, with character offsets, without a Python UDF: the pieces
-    between matches and the matches themselves are summed up, and the groups are read from the short matches."""
-    gaps = F.split(text, pattern, -1)
-    full = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    whole = F.struct(gaps.alias("gaps"), full.alias("full"))
+    """array<struct<start, end_, full, g1..gn>> of all matches, with character offsets, without a Python UDF: the pieces
+    between matches and the matches themselves are summed up once from left to right, and the groups are read from the
+    short matches. Texts without a match are looked at once."""
+    whole = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("full"))
 
     def one(s: Column) -> Column:
-        def at(i: Column) -> Column:
-            before = F.aggregate(F.slice(s["gaps"], 1, i + 1), F.lit(0), lambda a, x: a + F.length(x))
-            return before + F.aggregate(F.slice(s["full"], 1, i), F.lit(0), lambda a, x: a + F.length(x))
-
-        index = F.when(F.size(s["full"]) > 0, F.sequence(F.lit(0), F.size(s["full"]) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(
-            index,
-            lambda i: F.struct(
-                at(i).alias("start"), (at(i) + F.length(F.get(s["full"], i))).alias("end_"), F.get(s["full"], i).alias("full"), *[F.nullif(F.regexp_extract(F.get(s["full"], i), pattern, k), F.lit("")).alias(f"g{k}") for k in range(1, groups + 1)]
-            ),
+        steps = F.zip_with(s["gaps"], s["full"], lambda g, m: F.struct(F.length(g).alias("g"), F.coalesce(F.length(m), F.lit(0)).alias("m")))
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(steps, begin, lambda a, x: F.struct((a["at"] + x["g"] + x["m"]).alias("at"), F.array_append(a["starts"], a["at"] + x["g"]).alias("starts")), lambda a: a["starts"])
+        return F.zip_with(
+            s["full"],
+            F.slice(starts, 1, F.size(s["full"])),
+            lambda m, at: F.struct(at.alias("start"), (at + F.length(m)).alias("end_"), m.alias("full"), *[F.nullif(F.regexp_extract(m, pattern, k), F.lit("")).alias(f"g{k}") for k in range(1, groups + 1)]),
         )
 
-    return F.flatten(F.transform(F.array(whole), one))
+    return F.when(text.rlike(pattern), F.flatten(F.transform(F.array(whole), one)))
 
 
 def measurements(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per size in a text: id, measurement, dim_1..dim_3, unit, start, end_. Texts may overlap in both forms."""
-    out = []
-    for form, (pattern, dims) in enumerate(zip(MEASUREMENT_PATTERNS, (3, 1)), 1):
-        m = df.where(F.col(text_col).isNotNull()).select(id_col, F.explode(matches(F.col(text_col), "(?iU)" + pattern, dims + 1)).alias("m"))
-        cols = [F.col(f"m.g{k}") if k <= dims else F.lit(None).cast("string") for k in (1, 2, 3)]
-        out.append(m.select(id_col, F.lit(form).alias("form"), F.col("m.full").alias("measurement"), *[c.alias(f"dim_{k}") for k, c in enumerate(cols, 1)], F.coalesce(F.col(f"m.g{dims + 1}"), F.lit("cm")).alias("unit"), "m.start", "m.end_"))
-    return out[0].unionByName(out[1])
+    """One row per size in a text: id, measurement, dim_1..dim_3, unit, start, end_. Texts may overlap in both forms. One
+    pass over the table for both."""
+
+    def form(k: int, pattern: str, dims: int) -> Column:
+        sizes = lambda m: [(m[f"g{i}"] if i <= dims else F.lit(None).cast("string")).alias(f"dim_{i}") for i in (1, 2, 3)]
+        found = F.transform(matches(F.col(text_col), "(?iU)" + pattern, dims + 1), lambda m: F.struct(F.lit(k).alias("form"), m["full"].alias("measurement"), *sizes(m), F.coalesce(m[f"g{dims + 1}"], F.lit("cm")).alias("unit"), m["start"].alias("start"), m["end_"].alias("end_")))
+        return F.coalesce(found, F.array())
+
+    forms = [form(k, pattern, dims) for k, (pattern, dims) in enumerate(zip(MEASUREMENT_PATTERNS, (3, 1)), 1)]
+    return df.where(F.col(text_col).isNotNull()).select(id_col, F.explode(F.concat(*forms)).alias("m")).select(id_col, "m.*")
 
 
 def negations(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per negated finding: id, pattern_no, negation_type, finding, full_text, start, end_."""
-    out = None
-    for k, p in enumerate(NORMAL_PATTERNS):
-        m = df.where(F.col(text_col).isNotNull()).select(id_col, F.explode(matches(F.col(text_col), rf"(?iU){p}\s+([a-zA-Z\s]+?)(?:[,.]|$)", 1)).alias("m"))
-        m = m.select(id_col, F.lit(k).alias("pattern_no"), F.lit("normal_finding").alias("negation_type"), strip_ws(F.coalesce("m.g1", F.lit(""))).alias("finding"), F.col("m.full").alias("full_text"), "m.start", "m.end_")
-        out = m if out is None else out.unionByName(m)
-    return out
+    """One row per negated finding: id, pattern_no, negation_type, finding, full_text, start, end_. One pass over the table
+    for all patterns; a text is only searched for those patterns that it has."""
+
+    def kind(k: int, p: str) -> Column:
+        found = matches(F.col(text_col), rf"(?iU){p}\s+([a-zA-Z\s]+?)(?:[,.]|$)", 1)
+        return F.coalesce(
+            F.transform(found, lambda m: F.struct(F.lit(k).alias("pattern_no"), F.lit("normal_finding").alias("negation_type"), strip_ws(F.coalesce(m["g1"], F.lit(""))).alias("finding"), m["full"].alias("full_text"), m["start"].alias("start"), m["end_"].alias("end_"))), F.array()
+        )
+
+    kinds = [kind(k, p) for k, p in enumerate(NORMAL_PATTERNS)]
+    return df.where(F.col(text_col).isNotNull()).select(id_col, F.explode(F.concat(*kinds)).alias("m")).select(id_col, "m.*")
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartloom.functions.models import NOISE_TAGS
 from chartloom.functions.text import normalize_drug, is_drug_noise, strip_ws
 
 # Priorities of labels and sources, the labels that count as medication, and the overlap thresholds.
@@ -18,6 +19,8 @@ STOPWORDS = "a an the all this that these those other some any each every either
 UNITS_REQUIRING_DRUG = ["strength", "dosage"]
 DISEASE_MARKERS = "itis osis emia infection sepsis pneumonia cancer failure syndrome fracture stroke hemorrhage tumor disease".split()
 TREATMENT_CUES = "therapy treatment management surgery procedure infusion medication dose".split()
+#: Shares of an admission's drugs.
+SALTS = 8
 #: The columns that order equal rows.
 TOTAL = ["start", "end_", "entity_group", "word", "source_model", "score"]
 
@@ -88,15 +91,25 @@ def drop_unlinked_units(entities: DataFrame) -> DataFrame:
     return with_flag.where(~F.coalesce(label.isin(UNITS_REQUIRING_DRUG), F.lit(False)) | F.col("has_drug")).drop("has_drug")
 
 
-def polish_entities(entities: DataFrame) -> DataFrame:
+def polish_entities(entities: DataFrame, tags: DataFrame | None = None) -> DataFrame:
     """Word pieces, short words, noise and stop words out; disease-like treatments become problems; units need a drug;
-    words in lower case."""
+    words in lower case. ``tags`` (word, tag, is_stop of single words, see ``models.word_tags``): single words with a noise
+    tag, and stop words that are treatments or problems, go too."""
     e = entities.where(~F.col("word").contains("##") & (F.length("word") > 2)).withColumn("label", norm("entity_group"))
     e = e.where(~F.col("label").contains("label")).where(~is_noise_entity(F.col("word"))).where(~is_low_information(F.col("word"), F.col("label")))
+    if tags is not None:
+        e = e.withColumn("single", norm("word")).join(tags.select(F.col("word").alias("single"), "tag", "is_stop"), "single", "left")
+        stop = F.col("label").isin("treatment", "problem") & F.col("is_stop")
+        e = e.where(~F.coalesce(F.col("tag").isin(NOISE_TAGS), F.lit(False)) & ~F.coalesce(stop, F.lit(False))).drop("single", "tag", "is_stop")
     e = e.withColumn("entity_group", F.when((F.col("label") == "treatment") & is_disease_term(F.col("word")), "problem").otherwise(F.col("entity_group"))).drop("label")
     return drop_unlinked_units(e).withColumn("word", norm("word"))
 
 
+def in_order(entities: DataFrame) -> DataFrame:
+    """Entities by note, sentence and word, ties by their other columns."""
+    return entities.orderBy("note_id", "sentence_index", "word", *[c for c in TOTAL if c != "word"])
+
+
 def dedupe_entities(entities: DataFrame, per: list[str]) -> DataFrame:
     """The first row (by start, end and the other columns) of each word in any case and label."""
     w = Window.partitionBy(*per, F.lower("word"), "entity_group").orderBy(*TOTAL, "sentence_index")
@@ -105,10 +118,13 @@ def dedupe_entities(entities: DataFrame, per: list[str]) -> DataFrame:
 
 def verify_drugs(entities: DataFrame, prescriptions: DataFrame, label: str = "CHEMICAL") -> DataFrame:
     """hadm_id, drug, normalized, status: a drug is Verified if it holds, or is held by, a prescribed drug of the same
-    admission. Different drugs are compared once; the join is on the admission, the match is a residual condition."""
+    admission. Different drugs are compared once; the join is on the admission and one of SALTS shares of its drugs, so
+    that an admission with very many drugs is worked on by several tasks; the match is a residual condition."""
     drugs = entities.where(F.col("entity_group") == label).select("hadm_id", strip_ws(F.col("word")).alias("drug")).distinct()
     drugs = drugs.where(~is_drug_noise(F.col("drug"))).withColumn("normalized", normalize_drug(F.col("drug")))
     given = prescriptions.where(F.col("drug").isNotNull()).select("hadm_id", norm("drug").alias("given")).distinct()
     both = F.col("given").contains(F.col("normalized")) | F.col("normalized").contains(F.col("given"))
-    found = drugs.join(given, "hadm_id").where(both).select("hadm_id", "drug").distinct().withColumn("hit", F.lit(True))
+    mine = drugs.withColumn("salt", F.pmod(F.xxhash64("drug"), F.lit(SALTS)).cast("int"))
+    theirs = given.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = mine.join(theirs, ["hadm_id", "salt"]).where(both).select("hadm_id", "drug").distinct().withColumn("hit", F.lit(True))
     return drugs.join(found, ["hadm_id", "drug"], "left").select("hadm_id", "drug", "normalized", F.when(F.col("hit"), "Verified").otherwise("Unverified").alias("status"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chartloom.functions.safe import json_safe
 from chartloom.operators.ontology import UNMAPPED
 
 # Least confidence of the tracks and the parts of the alignment score.
 ADE_LEAST, TREATMENT_LEAST = 0.75, 0.65
 NOTE_BOOST, SECTION_BOOST = 0.05, 0.05
+# Colours of edges that several notes or sections agree on, and of the others.
+CONSENSUS_COLOR, SINGLE_COLOR = "#f59e0b", "#2dd4bf"
 
 
 def ade_track(relations: DataFrame) -> DataFrame:
@@ -46,10 +49,16 @@ def alignment_score(edges: DataFrame, note_boost: float = NOTE_BOOST) -> DataFra
     return edges.withColumn("alignment_score", F.least(F.lit(1.0), raw))
 
 
+#: What orders the edges of an admission.
+EDGE_ORDER = ["source_cui", "target_cui", "relation"]
+
+
 def node_centrality(edges: DataFrame) -> DataFrame:
-    """hadm_id, cui, name, centrality: edge ends at each node (a loop counts twice); the name by first edge."""
-    ends = edges.select("hadm_id", F.explode(F.array(F.struct(F.col("source_cui").alias("cui"), F.col("source_name").alias("name")), F.struct(F.col("target_cui").alias("cui"), F.col("target_name").alias("name")))).alias("x"))
-    return ends.groupBy("hadm_id", "x.cui").agg(F.min("x.name").alias("name"), F.count("*").alias("centrality"))
+    """hadm_id, cui, name, centrality: edge ends at each node (a loop counts twice); the name by its first appearance, the
+    edges in the order of EDGE_ORDER and the source of an edge before its target."""
+    end = lambda k, side: F.struct(F.lit(k).alias("end"), F.col(f"{side}_cui").alias("cui"), F.col(f"{side}_name").alias("name"))
+    ends = edges.select("hadm_id", F.struct(*EDGE_ORDER).alias("at"), F.explode(F.array(end(0, "source"), end(1, "target"))).alias("x"))
+    return ends.groupBy("hadm_id", "x.cui").agg(F.min_by("x.name", F.struct("at", "x.end")).alias("name"), F.count("*").alias("centrality"))
 
 
 def knowledge_graph(edges: DataFrame) -> DataFrame:
@@ -70,10 +79,26 @@ def knowledge_graph(edges: DataFrame) -> DataFrame:
 
 def graph_visuals(nodes: DataFrame) -> DataFrame:
     """Nodes with a drawn size of 14 to 42 by their share of the admission's highest centrality."""
-    top = F.max("centrality").over(Window.partitionBy("hadm_id"))
-    return nodes.withColumn("node_size", F.round(14 + 28 * F.col("centrality") / top, 6))
+    top = nodes.groupBy("hadm_id").agg(F.max("centrality").alias("top"))
+    return nodes.join(top, "hadm_id").withColumn("node_size", F.round(14 + 28 * F.col("centrality") / F.col("top"), 6)).drop("top")
+
+
+def edge_visuals(edges: DataFrame) -> DataFrame:
+    """Scored edges with a drawn width by their score and a colour by consensus."""
+    agreed = (F.size("note_occurrences") > 1) | (F.size("sections_found") > 1)
+    return edges.withColumn("edge_width", F.round(1.5 + F.col("alignment_score") * 2, 6)).withColumn("edge_color", F.when(agreed, CONSENSUS_COLOR).otherwise(SINGLE_COLOR))
+
+
+def graph_rows(edges: DataFrame) -> DataFrame:
+    """hadm_id, part (node or edge), source, target, name, relation, centrality, alignment_score, is_consensus: the graphs of
+    all admissions as rows."""
+    nodes = node_centrality(edges).select("hadm_id", F.lit("node").alias("part"), F.col("cui").alias("source"), "name", "centrality")
+    agreed = (F.size("note_occurrences") > 1) | (F.size("sections_found") > 1)
+    links = edges.select("hadm_id", F.lit("edge").alias("part"), F.col("source_cui").alias("source"), F.col("target_cui").alias("target"), "relation", F.round("alignment_score", 3).alias("alignment_score"), agreed.alias("is_consensus"))
+    return nodes.unionByName(links, allowMissingColumns=True)
 
 
 def to_json_graph(graph: DataFrame) -> DataFrame:
-    """hadm_id and the graph as one JSON text; NaN becomes null."""
-    return graph.select("hadm_id", F.to_json(F.struct("hadm_id", "summary", "nodes", "edges")).alias("graph_json"))
+    """hadm_id and the graph as one JSON text; NaN and infinities become null at every depth."""
+    safe = json_safe(graph)
+    return safe.select("hadm_id", F.to_json(F.struct("hadm_id", "summary", "nodes", "edges")).alias("graph_json"))

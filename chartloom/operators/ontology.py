@@ -23,6 +23,8 @@ REJECTED = ["Body Part", "Body Location", "Anatomical Structure"]
 TARGETS = {"TREATS": CONDITION, "CAUSES": [*CONDITION, "Adverse Event"]}
 #: Candidates of a mention.
 TOP_K = 3
+#: Least Jaccard similarity of the trigrams of a mention and an alias that resembles it.
+LEAST_ALIKE = 0.7
 
 
 def _any(types: Column, names: list[str]) -> Column:
@@ -72,6 +74,42 @@ def link_concepts(mentions: DataFrame, kb: DataFrame, role: str) -> DataFrame:
     return out.select("m.word", "m.entity_group", "m.relation_type", F.coalesce("w.cui", F.lit(UNMAPPED)).alias("cui"), F.coalesce("w.canonical_name", F.lit(UNMAPPED)).alias("canonical_name"))
 
 
+def trigrams(c: Column) -> Column:
+    """The different runs of three characters of a text in lower case, with a blank at both ends."""
+    padded = F.concat(F.lit(" "), norm(c), F.lit(" "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, 3)))
+
+
+def resembling_aliases(words: DataFrame, kb: DataFrame, least: float = LEAST_ALIKE) -> DataFrame:
+    """word, alias, similarity: the aliases whose trigrams resemble those of a word by ``least`` or more (Jaccard).
+
+    Of each side only the rarest trigrams meet (two sets of that similarity share one of the first ``n - ceil(least * n) +
+    1`` in any common order, here by the number of aliases that have a trigram), then the whole sets are compared; a trigram
+    that many aliases have so joins nothing, unless a name has no rarer one."""
+    texts = words.select("word").where(F.col("word").isNotNull()).distinct().withColumn("g", trigrams(F.col("word")))
+    names = kb.select("alias").where(F.col("alias").isNotNull()).distinct().withColumn("g", trigrams(F.col("alias")))
+    often = names.select(F.explode("g").alias("t")).groupBy("t").agg(F.count("*").alias("c"))
+
+    def leading(rows: DataFrame, key: str) -> DataFrame:
+        first = Window.partitionBy(key).orderBy(F.coalesce("c", F.lit(0)), "t")
+        ranked = rows.select(key, F.size("g").alias("n"), F.explode("g").alias("t")).join(often, "t", "left").withColumn("r", F.row_number().over(first))
+        return ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select(key, "t")
+
+    met = leading(texts, "word").join(leading(names, "alias"), "t").select("word", "alias").distinct()
+    both = met.join(texts, "word").join(names.withColumnRenamed("g", "h"), "alias")
+    shared = F.size(F.array_intersect("g", "h"))
+    return both.withColumn("similarity", shared / (F.size("g") + F.size("h") - shared)).where(F.col("similarity") >= least).select("word", "alias", "similarity")
+
+
+def with_resembling(kb: DataFrame, words: DataFrame, least: float = LEAST_ALIKE) -> DataFrame:
+    """``kb`` with further aliases: each word that equals no alias but resembles one, its score lowered by the similarity. To
+    be given to ``link_concepts`` in the place of ``kb``, so that misspelt mentions find concepts too."""
+    lost = words.select(norm("word").alias("word")).distinct().join(kb.select(F.col("alias").alias("word")), "word", "left_anti")
+    near = resembling_aliases(lost, kb, least)
+    more = near.join(kb, "alias").select(F.col("word").alias("alias"), "cui", "canonical_name", "semantic_type", F.round(F.col("score") * F.col("similarity"), 9).alias("score"))
+    return kb.select("alias", "cui", "canonical_name", "semantic_type", "score").unionByName(more)
+
+
 def target_valid(rows: DataFrame, kb: DataFrame, cui_col: str) -> DataFrame:
     """``rows`` with ``target_semantic_valid``: the concept is known, has no rejected type, and a valid type for the
     relation (or no type)."""

@@ -49,24 +49,48 @@ def section_summary(entities: DataFrame) -> DataFrame:
     return first.groupBy("note_id").agg(words.alias("words")).select("note_id", F.lit("all_sections").alias("section_name"), "words")
 
 
-def radiology_edges(pairs: DataFrame, severities: DataFrame) -> DataFrame:
-    """Edges of related findings of enough confidence, with both severities and the alignment score."""
+def radiology_edges(pairs: DataFrame, severities: DataFrame, subjects: DataFrame | None = None) -> DataFrame:
+    """Edges of related findings of enough confidence, with both severities and the alignment score.
+
+    A severity is looked up under the finding in lower case and, if that is not there, as it is written. ``subjects``
+    (note_id, subject_id; one row per note) adds the patient."""
     rows = pairs.where(F.col("relation_type").isNotNull() & (F.col("confidence") >= LEAST_CONFIDENCE) & (F.trim("entity_1") != "") & (F.trim("entity_2") != ""))
-    low = severities.select("note_id", F.lower(F.trim("word")).alias("w"), "severity").groupBy("note_id", "w").agg(F.max("severity").alias("severity"))
-    out = rows.withColumn("entity_1", F.lower(F.trim("entity_1"))).withColumn("entity_2", F.lower(F.trim("entity_2")))
+    out = rows
     for k, side in ((1, "source"), (2, "target")):
-        out = out.join(low.select("note_id", F.col("w").alias(f"entity_{k}"), F.col("severity").alias(f"{side}_severity")), ["note_id", f"entity_{k}"], "left")
+        out = out.withColumn(f"raw_{k}", F.trim(f"entity_{k}")).withColumn(f"entity_{k}", F.lower(F.trim(f"entity_{k}")))
+        for key, name in ((f"entity_{k}", "low"), (f"raw_{k}", "as_is")):
+            out = out.join(severities.select("note_id", F.col("word").alias(key), F.col("severity").alias(f"{name}_{k}")), ["note_id", key], "left")
+        out = out.withColumn(f"{side}_severity", F.coalesce(f"low_{k}", f"as_is_{k}"))
+    who = []
+    if subjects is not None:
+        out, who = out.join(subjects.select("note_id", "subject_id"), "note_id", "left"), ["subject_id"]
     return out.select(
-        "hadm_id", F.col("note_id").alias("source_note"), "entity_1", "entity_2", "relation_type", F.col("confidence").alias("model_confidence"), F.col("entity_type_1").alias("source_type"),
+        "hadm_id", *who, F.col("note_id").alias("source_note"), "entity_1", "entity_2", "relation_type", F.col("confidence").alias("model_confidence"), F.col("entity_type_1").alias("source_type"),
         F.col("entity_type_2").alias("target_type"), "source_severity", "target_severity", F.round(0.6 + 0.35 * F.col("confidence"), 4).alias("alignment_score"),
     )
 
 
+def radiology_nodes(entities: DataFrame) -> DataFrame:
+    """hadm_id, node: the different words of an admission in lower case."""
+    return entities.where(F.trim("word") != "").select("hadm_id", F.lower(F.trim("word")).alias("node")).distinct()
+
+
+def radiology_links(edges: DataFrame) -> DataFrame:
+    """hadm_id, source, target, relation_type, confidence: the different edges of an admission."""
+    return edges.select("hadm_id", F.col("entity_1").alias("source"), F.col("entity_2").alias("target"), "relation_type", F.col("model_confidence").alias("confidence")).distinct()
+
+
 def radiology_graph(entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """hadm_id, nodes (different words in lower case, sorted), edges."""
-    nodes = entities.where(F.trim("word") != "").groupBy("hadm_id").agg(F.sort_array(F.collect_set(F.lower(F.trim("word")))).alias("nodes"))
-    packed = edges.groupBy("hadm_id").agg(F.sort_array(F.collect_set(F.struct(F.col("entity_1").alias("source"), F.col("entity_2").alias("target"), "relation_type", F.col("model_confidence").alias("confidence")))).alias("edges"))
-    return nodes.join(packed, "hadm_id", "left")
+    """hadm_id, part (node or edge), source, target, relation_type, confidence: an admission's graph as rows, which no
+    admission, however many notes it has, makes too large for a task."""
+    nodes = radiology_nodes(entities).select("hadm_id", F.lit("node").alias("part"), F.col("node").alias("source"))
+    return nodes.unionByName(radiology_links(edges).withColumn("part", F.lit("edge")), allowMissingColumns=True)
+
+
+def packed_graph(graph: DataFrame) -> DataFrame:
+    """hadm_id, nodes, edges: the rows of ``radiology_graph`` as one record per admission, for an export of single admissions."""
+    node, edge = F.when(F.col("part") == "node", F.col("source")), F.when(F.col("part") == "edge", F.struct("source", "target", "relation_type", "confidence"))
+    return graph.groupBy("hadm_id").agg(F.sort_array(F.collect_list(node)).alias("nodes"), F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def enhance(notes: DataFrame, entities: DataFrame, sentences: DataFrame) -> DataFrame:

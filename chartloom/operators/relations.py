@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartloom.functions.text import keyword_relation
+from chartloom.functions.models import evidence_classifier, relation_classifier
 from chartloom.operators.entities import TOTAL, norm
 from chartloom.runtime import cut_lineage
 
@@ -24,84 +24,98 @@ def _plausible(a: str, b: str) -> Column:
     return (norm(a).isin(*acts) & norm(b).isin(*sees)) | (norm(a).isin(*sees) & norm(b).isin(*acts))
 
 
-def sentence_lookup(sentences: DataFrame, value: str) -> DataFrame:
-    """note_id, sentence_index, value: of several sentences with one index the one of the last section wins."""
-    return sentences.groupBy("note_id", "sentence_index").agg(F.max_by(value, "section_ord").alias(value))
+def sentence_lookup(sentences: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """note_id, keys, sentence_index, value: of several sentences with one index the one of the last section wins."""
+    return sentences.groupBy("note_id", *keys, "sentence_index").agg(F.max_by(value, "section_ord").alias(value))
 
 
-def pair_dedup(pairs: DataFrame) -> DataFrame:
-    """The first pair of each (note, start_1, start_2), by the left row, then the right row."""
+def pair_dedup(pairs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The first pair of each (note, keys, start_1, start_2), by the left row, then the right row."""
     order = [f"{c}_{s}" for s in (1, 2) for c in _ENTITY]
-    w = Window.partitionBy("note_id", "start_1", "start_2").orderBy(*order)
+    w = Window.partitionBy("note_id", *keys, "start_1", "start_2").orderBy(*order)
     return pairs.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
-def candidate_pairs(entities: DataFrame, sentences: DataFrame, types: list[str], window: int) -> DataFrame:
+def candidate_pairs(entities: DataFrame, sentences: DataFrame, types: list[str], window: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of one note with start_1 < start_2, at most ``window`` sentences apart, one side an act (drug, treatment) and
-    the other an observation (problem, test), with the section of the first. The type filter runs before the self-join;
-    the other conditions are part of it, so the join never materialises a note's full square. A hot note's partition is
-    split by AQE."""
-    e = entities.where(F.col("entity_group").isin(types)).select("note_id", "hadm_id", *_ENTITY)
-    a = e.select("note_id", "hadm_id", *[F.col(c).alias(f"{c}_1") for c in _ENTITY])
-    b = e.select(F.col("note_id").alias("note_b"), F.col("hadm_id").alias("hadm_b"), *[F.col(c).alias(f"{c}_2") for c in _ENTITY])
+    the other an observation (problem, test), with the section of the first.
+
+    The join is on the note and a bucket of ``window + 1`` sentences: the left row lies in its own bucket, the right one is
+    also sent to both neighbours, so that every pair within the window meets once and a long note is spread over its
+    buckets. The type filter runs before the join; the other conditions are part of it. ``keys``: further columns that a
+    sentence is known by (``section_ord``), where both tables have them, so that sections with colliding sentence numbers
+    do not mix."""
+    e = entities.where(F.col("entity_group").isin(types)).select("note_id", "hadm_id", *keys, *_ENTITY)
+    bucket = F.floor(F.col("sentence_index") / F.lit(window + 1))
+    a = e.select("note_id", *keys, "hadm_id", *[F.col(c).alias(f"{c}_1") for c in _ENTITY], bucket.alias("bucket"))
+    b = e.select("note_id", *keys, F.col("hadm_id").alias("hadm_b"), *[F.col(c).alias(f"{c}_2") for c in _ENTITY], F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
     near = F.abs(F.col("sentence_index_1") - F.col("sentence_index_2")) <= window
-    on = (F.col("note_id") == F.col("note_b")) & F.col("hadm_id").eqNullSafe(F.col("hadm_b")) & (F.col("start_1") < F.col("start_2")) & near & _plausible("entity_group_1", "entity_group_2")
-    pairs = a.join(b, on).drop("note_b", "hadm_b").withColumn("sentence_diff", F.abs(F.col("sentence_index_1") - F.col("sentence_index_2")))
-    names = sentence_lookup(sentences, "section_name").withColumnRenamed("sentence_index", "sentence_index_1")
-    return pairs.join(names, ["note_id", "sentence_index_1"], "left").withColumn("section_name", F.coalesce("section_name", F.lit("unknown")))
+    fits = F.col("hadm_id").eqNullSafe(F.col("hadm_b")) & (F.col("start_1") < F.col("start_2")) & near & _plausible("entity_group_1", "entity_group_2")
+    pairs = a.join(b, ["note_id", *keys, "bucket"]).where(fits).drop("hadm_b", "bucket").withColumn("sentence_diff", F.abs(F.col("sentence_index_1") - F.col("sentence_index_2")))
+    names = sentence_lookup(sentences, "section_name", keys).withColumnRenamed("sentence_index", "sentence_index_1")
+    return pairs.join(names, ["note_id", *keys, "sentence_index_1"], "left").withColumn("section_name", F.coalesce("section_name", F.lit("unknown")))
 
 
-def narrowed(pairs: DataFrame, window: int, sections: list[str] | None) -> DataFrame:
-    """Candidate pairs of a window and of sections, each (note, start_1, start_2) once."""
+def narrowed(pairs: DataFrame, window: int, sections: list[str] | None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Candidate pairs of a window and of sections, each (note, keys, start_1, start_2) once."""
     kept = pairs.where(F.col("sentence_diff") <= window)
-    return pair_dedup(kept.where(F.col("section_name").isin(sections)) if sections else kept)
+    return pair_dedup(kept.where(F.col("section_name").isin(sections)) if sections else kept, keys)
 
 
-def cooccurrence_pairs(entities: DataFrame, sentences: DataFrame, types: list[str], window: int, sections: list[str] | None = None) -> DataFrame:
-    return narrowed(candidate_pairs(entities, sentences, types, window), window, sections)
+def cooccurrence_pairs(entities: DataFrame, sentences: DataFrame, types: list[str], window: int, sections: list[str] | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    return narrowed(candidate_pairs(entities, sentences, types, window, keys), window, sections, keys)
 
 
 def section_threshold(section: Column) -> Column:
     return F.when(section.isin(STRICT_SECTIONS), F.lit(STRICT_THRESHOLD)).otherwise(F.lit(OTHER_THRESHOLD))
 
 
-def with_relation(pairs: DataFrame, sentences: DataFrame, config: dict, classify=keyword_relation) -> DataFrame:
-    """Drug-problem pairs with the relation and score of their context: the sentence of both, or the two joined."""
+def with_relation(pairs: DataFrame, sentences: DataFrame, config: dict, classify=None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Drug-problem pairs with ``context`` (the sentence of both, or the two joined) and the relation and score that
+    ``classify`` (see ``models.relation_classifier``) gives the context, the drug and the disease."""
     drugs, problems = config["drugs"], config["problems"]
     exact = (F.col("entity_group_1").isin(drugs) & F.col("entity_group_2").isin(problems)) | (F.col("entity_group_1").isin(problems) & F.col("entity_group_2").isin(drugs))
-    text = sentence_lookup(sentences, "sentence_text")
-    one = text.select("note_id", F.col("sentence_index").alias("sentence_index_1"), F.col("sentence_text").alias("t1"))
-    two = text.select("note_id", F.col("sentence_index").alias("sentence_index_2"), F.col("sentence_text").alias("t2"))
-    rows = pairs.where(exact).join(one, ["note_id", "sentence_index_1"], "left").join(two, ["note_id", "sentence_index_2"], "left")
+    text = sentence_lookup(sentences, "sentence_text", keys)
+    one = text.select("note_id", *keys, F.col("sentence_index").alias("sentence_index_1"), F.col("sentence_text").alias("t1"))
+    two = text.select("note_id", *keys, F.col("sentence_index").alias("sentence_index_2"), F.col("sentence_text").alias("t2"))
+    rows = pairs.where(exact).join(one, ["note_id", *keys, "sentence_index_1"], "left").join(two, ["note_id", *keys, "sentence_index_2"], "left")
     t1, t2 = F.coalesce("t1", F.lit("")), F.coalesce("t2", F.lit(""))
     rows = rows.withColumn("context", F.when(F.col("sentence_diff") == 0, t1).otherwise(F.concat(t1, F.lit(" "), t2))).drop("t1", "t2")
-    relation, score = classify(F.col("context"))
-    return rows.withColumn("relation_type", relation).withColumn("model_confidence", score).drop("context")
+    first = F.col("entity_group_1").isin(drugs)
+    relation, score = (classify or relation_classifier())(F.col("context"), F.when(first, F.col("word_1")).otherwise(F.col("word_2")), F.when(first, F.col("word_2")).otherwise(F.col("word_1")))
+    return rows.withColumn("relation_type", relation).withColumn("model_confidence", score)
 
 
-def accepted(rows: DataFrame, least: Column) -> DataFrame:
-    """TREATS and CAUSES relations whose score reaches ``least``, with the default evidence."""
+def accepted(rows: DataFrame, least: Column, evidence=None) -> DataFrame:
+    """TREATS and CAUSES relations whose score reaches ``least``, with the kind of evidence that ``evidence`` (see
+    ``models.evidence_classifier``) sees in the context; only accepted rows are asked."""
     kept = rows.where(F.col("relation_type").isin("TREATS", "CAUSES") & (F.col("model_confidence") >= least))
-    return kept.withColumn("evidence_type", F.lit("direct implication")).withColumn("evidence_confidence", F.lit(0.55))
+    kind, score = (evidence or evidence_classifier())(F.col("context"))
+    return kept.withColumn("evidence_type", kind).withColumn("evidence_confidence", score).drop("context")
 
 
-def extract_relations(entities: DataFrame, sentences: DataFrame, config: dict, threshold: Column | float | None = None, classify=keyword_relation) -> DataFrame:
+def extract_relations(entities: DataFrame, sentences: DataFrame, config: dict, threshold: Column | float | None = None, classify=None, evidence=None, keys: tuple[str, ...] = ()) -> DataFrame:
     """TREATS and CAUSES relations of drug-problem pairs whose score reaches the threshold (a column, a number, or the
     section's own)."""
-    pairs = cooccurrence_pairs(entities, sentences, config["drugs"] + config["problems"], config["window"], config["sections"])
+    pairs = cooccurrence_pairs(entities, sentences, config["drugs"] + config["problems"], config["window"], config["sections"], keys)
     least = section_threshold(F.col("section_name")) if threshold is None else threshold if isinstance(threshold, Column) else F.lit(threshold)
-    return accepted(with_relation(pairs, sentences, config, classify), least)
+    return accepted(with_relation(pairs, sentences, config, classify, keys), least, evidence)
 
 
-def relaxed_fallback(entities: DataFrame, sentences: DataFrame, classify=keyword_relation) -> DataFrame:
+def relaxed_fallback(entities: DataFrame, sentences: DataFrame, classify=None, evidence=None, keys: tuple[str, ...] = ()) -> DataFrame:
     """The interactive configuration; notes without any result are tried again with a wider window and all sections.
 
     The wider candidates hold the strict ones: they are joined and classified once and written once; both passes are
     windows over them.
     """
-    found = candidate_pairs(entities, sentences, API["drugs"] + API["problems"], RELAXED_WINDOW)
-    found = cut_lineage(with_relation(found, sentences, API, classify))
-    strict = accepted(narrowed(found, API["window"], API["sections"]), F.lit(API_THRESHOLD))
-    wide = accepted(narrowed(found, RELAXED_WINDOW, None), F.lit(API_THRESHOLD))
+    found = candidate_pairs(entities, sentences, API["drugs"] + API["problems"], RELAXED_WINDOW, keys)
+    found = cut_lineage(with_relation(found, sentences, API, classify, keys))
+    strict = accepted(narrowed(found, API["window"], API["sections"], keys), F.lit(API_THRESHOLD), evidence)
+    wide = accepted(narrowed(found, RELAXED_WINDOW, None, keys), F.lit(API_THRESHOLD), evidence)
     rest = wide.join(strict.select("note_id").distinct(), "note_id", "left_anti")
     return strict.withColumn("pass", F.lit("strict")).unionByName(rest.withColumn("pass", F.lit("relaxed"))).where(F.col("model_confidence") >= API_FILTER)
+
+
+def relation_counts(relations: DataFrame) -> DataFrame:
+    """One row: relations, and those of each kind."""
+    return relations.agg(F.count("*").alias("relations"), F.count_if(F.col("relation_type") == "CAUSES").alias("causes"), F.count_if(F.col("relation_type") == "TREATS").alias("treats"))

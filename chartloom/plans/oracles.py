@@ -65,16 +65,16 @@ def _hits(source: str, key: str, text: str, pattern: str, groups: int) -> str:
           SELECT {key}, regexp_split_to_array({text}, {p}) AS gaps, regexp_extract_all({text}, {p}, 0) AS x {gs} FROM {source} WHERE {text} IS NOT NULL))))"""
 
 
-def _measurements() -> str:
+def _measurement_rows() -> str:
     a = _hits("n", "note_id", "text", r"(\d+\.?\d*)\s*x\s*(\d+\.?\d*)\s*(?:x\s*(\d+\.?\d*))?\s*(cm|mm|inches?)", 4)
     b = _hits("n", "note_id", "text", r"(\d+\.?\d*)\s*(cm|mm|inches?)\s*(?:in\s+)?(?:diameter|size)", 2)
-    return cte(n=NOTES) + f"""SELECT note_id, 1 AS form, full_ AS measurement, g1 AS dim_1, g2 AS dim_2, g3 AS dim_3, coalesce(g4, 'cm') AS unit, start, end_ FROM {a}
+    return f"""SELECT note_id, 1 AS form, full_ AS measurement, g1 AS dim_1, g2 AS dim_2, g3 AS dim_3, coalesce(g4, 'cm') AS unit, start, end_ FROM {a}
       UNION ALL SELECT note_id, 2, full_, g1, NULL, NULL, coalesce(g2, 'cm'), start, end_ FROM {b}"""
 
 
-def _negations() -> str:
+def _negation_rows() -> str:
     parts = [f"SELECT note_id, {k} AS pattern_no, 'normal_finding' AS negation_type, {_STRIP.format('coalesce(g1, $$$$)')} AS finding, full_ AS full_text, start, end_ FROM {_hits('n', 'note_id', 'text', p + r'\s+([a-zA-Z\s]+?)(?:[,.]|$)', 1)}" for k, p in enumerate(_NORMAL.split("|"))]
-    return cte(n=NOTES) + " UNION ALL ".join(parts)
+    return " UNION ALL ".join(parts)
 
 
 _HEAD = [
@@ -176,6 +176,26 @@ _SEV = f"""sv AS (SELECT note_id, word, arg_max(sev, struct_pack(a := sentence_i
   FROM (SELECT e.*, {_severity("coalesce(fs.context, '') || ' ' || coalesce(e.word, '')")} AS sev FROM e LEFT JOIN fs ON fs.note_id = e.note_id AND fs.sentence_index = e.sentence_index) GROUP BY note_id, word)"""
 
 
+_NODES = """en AS (SELECT hadm_id, cui_1 AS cui, nm.a AS name, cui_1 || chr(1) || cui_2 || chr(1) || relation_type || chr(1) || '0' AS ord_ FROM ed UNION ALL SELECT hadm_id, cui_2, nm.b, cui_1 || chr(1) || cui_2 || chr(1) || relation_type || chr(1) || '1' FROM ed),
+nd AS (SELECT hadm_id, cui, arg_min(name, ord_) AS name, count(*) AS centrality FROM en GROUP BY 1, 2)"""
+_REDGES = """re AS (SELECT hadm_id, fp.note_id AS source_note, lower(trim(entity_1)) AS entity_1, lower(trim(entity_2)) AS entity_2, relation_type, confidence AS model_confidence, entity_type_1 AS source_type, entity_type_2 AS target_type,
+ coalesce(a.severity, c.severity) AS source_severity, coalesce(b.severity, d.severity) AS target_severity, round(0.6 + 0.35 * confidence, 4) AS alignment_score FROM fp
+ LEFT JOIN sv a ON a.note_id = fp.note_id AND a.word = lower(trim(entity_1)) LEFT JOIN sv c ON c.note_id = fp.note_id AND c.word = trim(entity_1)
+ LEFT JOIN sv b ON b.note_id = fp.note_id AND b.word = lower(trim(entity_2)) LEFT JOIN sv d ON d.note_id = fp.note_id AND d.word = trim(entity_2) WHERE relation_type IS NOT NULL AND confidence >= 0.5)"""
+_RGRAPH = """rg AS (SELECT DISTINCT hadm_id, 'node' AS part, lower(trim(word)) AS source, NULL AS target, NULL AS relation_type, CAST(NULL AS DOUBLE) AS confidence FROM e WHERE trim(word) <> ''
+ UNION ALL SELECT DISTINCT hadm_id, 'edge', entity_1, entity_2, relation_type, model_confidence FROM re)"""
+_LEX = [("lisinopril|aspirin|heparin", "DRUG", "Med7"), ("pneumonia|sepsis|congestive heart failure|hypertension|infection|fracture|mass", "problem", "ClinicalBERT")]
+_LEX_SCORE = "CASE lower(full_) WHEN 'pneumonia' THEN 0.9 WHEN 'sepsis' THEN 0.9 WHEN 'congestive heart failure' THEN 0.9 WHEN 'hypertension' THEN 0.85 WHEN 'infection' THEN 0.8 WHEN 'fracture' THEN 0.8 WHEN 'mass' THEN 0.7 ELSE 1.0 END"
+
+
+def _lexicon(source: str, key: str, text: str) -> str:
+    return " UNION ALL ".join(f"SELECT {key}, '{label}' AS entity_group, full_ AS word, CAST(start AS BIGINT) AS start, CAST(end_ AS BIGINT) AS end_, CAST({_LEX_SCORE} AS DOUBLE) AS score, '{model}' AS source_model FROM {_hits(source, key, text, chr(92) + 'b(?:' + words + ')' + chr(92) + 'b', 0)}" for words, label, model in _LEX)
+
+
+def _rash(pattern: str, label: str, model: str, text: str = "sentence_text") -> str:
+    return f"SELECT note_id, hadm_id, sentence_index, '{label}' AS entity_group, full_ AS word, CAST(start AS BIGINT) AS start, CAST(end_ AS BIGINT) AS end_, CAST(0.75 AS DOUBLE) AS score, '{model}' AS source_model FROM {_hits('q', 'note_id, hadm_id, sentence_index', text, pattern, 0)}"
+
+
 def oracle_sql() -> dict[str, str]:
     rel, score = _keyword("text")
     out = {
@@ -196,8 +216,8 @@ def oracle_sql() -> dict[str, str]:
         "severity": cte(n=NOTES) + f"SELECT note_id, {_severity('text')} AS severity FROM n",
         "keyword_relation": cte(n=NOTES) + f"SELECT note_id, {rel} AS relation, {score} AS score FROM n",
         "finding_cue": cte(n=NOTES) + f"SELECT note_id, {_finding('text')} AS relation_type FROM n",
-        "measurements": _measurements(),
-        "negations": _negations(),
+        "measurements": cte(n=NOTES) + _measurement_rows(),
+        "negations": cte(n=NOTES) + _negation_rows(),
         "segment_sections": cte(n=NOTES)[:-1] + ", " + _SEGMENTS + " SELECT note_id, section_name, section_ord, section_text FROM g",
         "split_sentences": r"""WITH d AS (SELECT DISTINCT section_id, section_text FROM sections WHERE section_text IS NOT NULL), p AS (SELECT section_id, string_split(regexp_replace(section_text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS x FROM d),
 q AS (SELECT section_id, i, x[i + 1] AS t FROM (SELECT section_id, x, unnest(range(0, len(x))) AS i FROM p)) SELECT section_id, CAST(i AS INTEGER) AS sentence_index, """ + r"regexp_replace(t, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS sentence_text FROM q WHERE length(regexp_replace(t, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) > 2",
@@ -232,7 +252,13 @@ q AS (SELECT section_id, i, x[i + 1] AS t FROM (SELECT section_id, x, unnest(ran
         "mapping_coverage": cte(r=REL) + "SELECT count(*) AS rows, round((sum(CASE WHEN cui_1 <> 'UNMAPPED' THEN 1 ELSE 0 END) + sum(CASE WHEN cui_2 <> 'UNMAPPED' THEN 1 ELSE 0 END)) / (2.0 * count(*)), 6) AS coverage FROM r",
         "longitudinal_edges": cte(r=REL)[:-1] + f", {_EDGES} SELECT hadm_id, cui_1 AS source_cui, nm.a AS source_name, cui_2 AS target_cui, nm.b AS target_name, relation_type AS relation, array_to_string(notes, '|') AS note_occurrences, array_to_string(secs, '|') AS sections_found, mention_count, round(base, 6) AS base_confidence FROM ed",
         "alignment_score": cte(r=REL)[:-1] + f", {_EDGES} SELECT hadm_id, cui_1 AS source_cui, cui_2 AS target_cui, relation_type AS relation, round({_ALIGN}, 6) AS alignment_score FROM ed",
-        "node_centrality": cte(r=REL)[:-1] + f", {_EDGES} SELECT hadm_id, cui, min(name) AS name, count(*) AS centrality FROM (SELECT hadm_id, cui_1 AS cui, nm.a AS name FROM ed UNION ALL SELECT hadm_id, cui_2, nm.b FROM ed) GROUP BY hadm_id, cui",
+        "node_centrality": cte(r=REL)[:-1] + f", {_EDGES}, {_NODES} SELECT * FROM nd",
+        "edge_visuals": cte(r=REL)[:-1] + f", {_EDGES} SELECT hadm_id, cui_1 AS source_cui, cui_2 AS target_cui, relation_type AS relation, round(1.5 + {_ALIGN} * 2, 6) AS edge_width, CASE WHEN len(notes) > 1 OR len(secs) > 1 THEN '#f59e0b' ELSE '#2dd4bf' END AS edge_color FROM ed",
+        "graph_rows": cte(r=REL)[:-1] + f""", {_EDGES}, {_NODES} SELECT hadm_id, 'node' AS part, cui AS source, NULL AS target, name, NULL AS relation, centrality, NULL AS alignment_score, NULL AS is_consensus FROM nd
+ UNION ALL SELECT hadm_id, 'edge', cui_1, cui_2, NULL, relation_type, NULL, round({_ALIGN}, 3), len(notes) > 1 OR len(secs) > 1 FROM ed""",
+        "knowledge_graph": cte(r=REL)[:-1] + f""", {_EDGES}, {_NODES}, n2 AS (SELECT hadm_id, count(*) AS total_nodes, string_agg(cui || '|' || name || '|' || centrality, ';' ORDER BY cui) AS nodes FROM nd GROUP BY 1)
+ SELECT ed.hadm_id, CAST(any_value(total_nodes) AS INTEGER) AS total_nodes, CAST(count(*) AS INTEGER) AS total_edges, round(avg(CASE WHEN len(notes) > 1 OR len(secs) > 1 THEN 1.0 ELSE 0.0 END), 3) AS consensus_ratio, any_value(n2.nodes) AS nodes,
+ string_agg(cui_1 || '|' || cui_2 || '|' || relation_type || '|' || array_to_string(secs, '+') || '|' || (len(notes) > 1 OR len(secs) > 1), ';' ORDER BY cui_1, cui_2, relation_type) AS edges FROM ed JOIN n2 ON n2.hadm_id = ed.hadm_id GROUP BY ed.hadm_id""",
         "graph_visuals": cte(r=REL)[:-1] + f", {_EDGES}, c AS (SELECT hadm_id, cui, count(*) AS centrality FROM (SELECT hadm_id, cui_1 AS cui FROM ed UNION ALL SELECT hadm_id, cui_2 FROM ed) GROUP BY hadm_id, cui) SELECT hadm_id, cui, round(14 + 28 * centrality / max(centrality) OVER (PARTITION BY hadm_id), 6) AS node_size FROM c",
         "graph_summary": cte(r=REL)[:-1] + f", {_EDGES}, c AS (SELECT hadm_id, count(DISTINCT cui) AS total_nodes FROM (SELECT hadm_id, cui_1 AS cui FROM ed UNION ALL SELECT hadm_id, cui_2 FROM ed) GROUP BY hadm_id) SELECT ed.hadm_id, CAST(any_value(total_nodes) AS INTEGER) AS total_nodes, CAST(count(*) AS INTEGER) AS total_edges, round(avg(CASE WHEN len(notes) > 1 OR len(secs) > 1 THEN 1.0 ELSE 0.0 END), 3) AS consensus_ratio FROM ed JOIN c ON c.hadm_id = ed.hadm_id GROUP BY ed.hadm_id",
         "finding_pairs": cte(e=ENT, s=SENT)[:-1] + f", {_FIRST}, {_FPAIRS} SELECT * FROM fp",
@@ -240,10 +266,56 @@ q AS (SELECT section_id, i, x[i + 1] AS t FROM (SELECT section_id, x, unnest(ran
         "severity_map": cte(e=ENT, s=SENT)[:-1] + f", {_FIRST}, {_SEV} SELECT * FROM sv",
         "severity_counts": cte(e=ENT, s=SENT)[:-1] + f", {_FIRST}, {_SEV} SELECT severity, count(*) AS n FROM sv GROUP BY severity",
         "section_summary": cte(e=ENT) + "SELECT note_id, 'all_sections' AS section_name, string_agg(word, '|' ORDER BY a, b, c, word) AS words FROM (SELECT note_id, word, min(struct_pack(a := sentence_index, b := start, c := end_)).a AS a, min(struct_pack(a := sentence_index, b := start, c := end_)).b AS b, min(struct_pack(a := sentence_index, b := start, c := end_)).c AS c FROM e GROUP BY note_id, word) GROUP BY note_id",
-        "radiology_edges": cte(e=ENT, s=SENT)[:-1] + f""", {_FIRST}, {_FPAIRS}, {_SEV}, lo AS (SELECT note_id, lower(trim(word)) AS w, max(severity) AS severity FROM sv GROUP BY ALL)
- SELECT hadm_id, fp.note_id AS source_note, lower(entity_1) AS entity_1, lower(entity_2) AS entity_2, relation_type, confidence AS model_confidence, entity_type_1 AS source_type, entity_type_2 AS target_type, a.severity AS source_severity, b.severity AS target_severity, round(0.6 + 0.35 * confidence, 4) AS alignment_score
- FROM fp LEFT JOIN lo a ON a.note_id = fp.note_id AND a.w = lower(entity_1) LEFT JOIN lo b ON b.note_id = fp.note_id AND b.w = lower(entity_2) WHERE relation_type IS NOT NULL""",
+        "radiology_edges": cte(e=ENT, s=SENT)[:-1] + f", {_FIRST}, {_FPAIRS}, {_SEV}, {_REDGES} SELECT * FROM re",
+        "radiology_graph": cte(e=ENT, s=SENT)[:-1] + f", {_FIRST}, {_FPAIRS}, {_SEV}, {_REDGES}, {_RGRAPH} SELECT * FROM rg",
+        "packed_radiology_graph": cte(e=ENT, s=SENT)[:-1] + f", {_FIRST}, {_FPAIRS}, {_SEV}, {_REDGES}, {_RGRAPH} SELECT hadm_id, string_agg(CASE WHEN part = 'node' THEN source END, '|' ORDER BY source) AS nodes, CAST(count(*) FILTER (part = 'edge') AS INTEGER) AS n_edges FROM rg GROUP BY hadm_id",
+        "radiology_bundle": cte(n=NOTES, e=ENT, s=SENT)[:-1] + f""", {_FIRST}, {_FPAIRS}, {_SEV},
+ mm AS ({_measurement_rows()}), ng AS ({_negation_rows()}),
+ m2 AS (SELECT note_id, string_agg(measurement, '|' ORDER BY form, start, end_) AS x FROM mm GROUP BY 1), n2 AS (SELECT note_id, string_agg(finding, '|' ORDER BY pattern_no, start, end_) AS x FROM ng GROUP BY 1),
+ w0 AS (SELECT note_id, word, min(struct_pack(a := sentence_index, b := start, c := end_)) AS ord_ FROM e GROUP BY 1, 2), w2 AS (SELECT note_id, string_agg(word, '|' ORDER BY ord_, word) AS x FROM w0 GROUP BY 1),
+ r2 AS (SELECT note_id, string_agg(entity_1 || '>' || relation_type || '>' || entity_2, '|' ORDER BY sentence_index, ord_1, ord_2) AS x FROM fp WHERE relation_type IS NOT NULL GROUP BY 1), s2 AS (SELECT note_id, string_agg(word || '=' || severity, '|' ORDER BY word) AS x FROM sv GROUP BY 1)
+ SELECT n.note_id, coalesce(m2.x, '') AS measurements, coalesce(n2.x, '') AS negations, coalesce(w2.x, '') AS words, coalesce(r2.x, '') AS relations, coalesce(s2.x, '') AS severities FROM (SELECT DISTINCT note_id FROM n) n
+ LEFT JOIN m2 USING (note_id) LEFT JOIN n2 USING (note_id) LEFT JOIN w2 USING (note_id) LEFT JOIN r2 USING (note_id) LEFT JOIN s2 USING (note_id)""",
         "entity_type_counts": cte(e=ENT) + "SELECT entity_group, count(*) AS n FROM e GROUP BY ALL",
         "entities_by_sentence": cte(e=ENT) + "SELECT note_id, sentence_index, count(*) AS n, string_agg(DISTINCT word, '|' ORDER BY word) AS words FROM e GROUP BY ALL",
+        "cosine_similarity": "WITH m AS (SELECT list(a ORDER BY i) AS c FROM (SELECT i, avg(x) AS a FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY i)) SELECT vec_id, round(coalesce(list_cosine_similarity(embedding::DOUBLE[], c), 0.0), 6) AS cosine FROM embeddings, m",
+        "relation_counts": cte(r=REL) + "SELECT count(*) AS relations, count(*) FILTER (relation_type = 'CAUSES') AS causes, count(*) FILTER (relation_type = 'TREATS') AS treats FROM r",
+        "unmapped_count": cte(d=DIAG, g=GEM) + "SELECT count(*) AS codes, count(*) FILTER (NOT (icd_version = '10' OR (icd_version = '9' AND icd10_code IS NOT NULL))) AS unmapped FROM d LEFT JOIN g ON icd_version = '9' AND trim(icd_code) = icd9_code",
+        "count_metrics": cte(e=ENT, r=REL)[:-1] + f""", {_EDGES}, {_NODES} SELECT 'entities' AS metric, count(*) AS value FROM e UNION ALL SELECT 'entity_types', count(DISTINCT entity_group) FROM e UNION ALL SELECT 'relations', count(*) FROM r
+ UNION ALL SELECT 'edges', count(*) FROM ed UNION ALL SELECT 'nodes', count(*) FROM nd UNION ALL SELECT 'agreed_edges', count(*) FROM ed WHERE len(notes) > 1 OR len(secs) > 1""",
+        "pair_dedup": cte(e=ENT)[:-1] + f""", x AS (SELECT a.note_id, {", ".join(f"a.{c} AS {c}_1, b.{c} AS {c}_2" for c in _E)} FROM e a JOIN e b ON a.note_id = b.note_id AND a.sentence_index = b.sentence_index AND a.start < b.start)
+ SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY note_id, start_1, start_2 ORDER BY {", ".join(f"{c}_{k}" for k in (1, 2) for c in _E)}) AS n FROM x) WHERE n = 1""",
+        "colliding_sections": cte(e0=ENT, s=SENT)[:-1] + f""", e AS (SELECT e0.*, o.section_ord FROM e0 JOIN (SELECT DISTINCT note_id, section_ord FROM s) o USING (note_id)),
+ x AS (SELECT a.note_id, a.section_ord, a.hadm_id, {", ".join(f"a.{c} AS {c}_1, b.{c} AS {c}_2" for c in _E)}, abs(a.sentence_index - b.sentence_index) AS sentence_diff FROM e a JOIN e b ON a.note_id = b.note_id AND a.section_ord = b.section_ord AND a.hadm_id = b.hadm_id AND a.start < b.start
+   AND abs(a.sentence_index - b.sentence_index) <= 1 AND ((a.entity_group = 'DRUG' AND b.entity_group = 'problem') OR (a.entity_group = 'problem' AND b.entity_group = 'DRUG'))),
+ y AS (SELECT x.*, coalesce(s.section_name, 'unknown') AS section_name FROM x LEFT JOIN s ON s.note_id = x.note_id AND s.section_ord = x.section_ord AND s.sentence_index = x.sentence_index_1)
+ SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY note_id, section_ord, start_1, start_2 ORDER BY {", ".join(f"{c}_{k}" for k in (1, 2) for c in _E)}) AS n FROM y) WHERE n = 1""",
+        "polish_order": cte(e=ENT)[:-1] + ", " + _POLISH + " SELECT note_id, sentence_index, word, start, end_, CAST(row_number() OVER (PARTITION BY note_id, sentence_index ORDER BY word, start, end_, entity_group, source_model, score) AS INTEGER) AS place FROM p",
+        "lexicon_entities": cte(n=NOTES)[:-1] + ", q AS (SELECT note_id, hadm_id, CAST(0 AS BIGINT) AS sentence_index, text FROM n) " + _lexicon("q", "note_id, hadm_id, sentence_index", "text"),
+        "model_entities": cte(q=SENT) + _rash("rash", "problem", "ClinicalBERT"),
+        "windowed_model": cte(q0=SENT)[:-1] + r", q AS (SELECT note_id, hadm_id, sentence_index, regexp_extract(sentence_text, '^\S+(\s+\S+){0,2}') AS sentence_text FROM q0) " + _rash("rash|drug", "FINDING", "RadBERT"),
+        "legacy_recogniser": cte(q=SENT) + "SELECT note_id, hadm_id, sentence_index, 'CHEMICAL' AS entity_group, 'aspirin' AS word, CAST(strpos(sentence_text, 'aspirin') - 1 AS BIGINT) AS start, CAST(strpos(sentence_text, 'aspirin') + 6 AS BIGINT) AS end_, CAST(1.0 AS DOUBLE) AS score, 'bc5cdr' AS source_model FROM q WHERE contains(sentence_text, 'aspirin')",
+        "recognisers_union": cte(q=SENT)[:-1] + ", u AS (" + _lexicon("q", "note_id, hadm_id, sentence_index", "sentence_text") + " UNION ALL " + _rash("rash", "problem", "ClinicalBERT") + ") SELECT source_model, entity_group, word, count(*) AS n FROM u GROUP BY ALL",
+        "model_splitter": cte(n=NOTES) + r"SELECT note_id, CAST(i AS INTEGER) AS sentence_index, regexp_replace(p, '^\s+|\s+$', '', 'g') AS sentence_text FROM (SELECT note_id, x[i + 1] AS p, i FROM (SELECT note_id, x, unnest(range(0, len(x))) AS i FROM (SELECT note_id, string_split(regexp_replace(text, '\sof\b', chr(1) || 'of', 'g'), chr(1)) AS x FROM n))) WHERE length(regexp_replace(p, '^\s+|\s+$', '', 'g')) > 2",
+        "tagged_polish": cte(e0=ENT)[:-1] + ", e AS (SELECT * FROM e0 WHERE lower(word) <> 'sepsis' AND NOT (lower(word) = 'pneumonia' AND lower(entity_group) IN ('treatment', 'problem'))), " + _POLISH + " SELECT * FROM p",
+        "model_relations": cte(e=ENT, s=SENT)[:-1] + f""", {_LAST}, {_pairs('p', chr(39) + 'DRUG' + chr(39) + ', ' + chr(39) + 'problem' + chr(39), 1, _BATCH_S)}, c AS (SELECT p.*, coalesce(a.sentence_text, '') || CASE WHEN p.sentence_diff = 0 THEN '' ELSE ' ' || coalesce(b.sentence_text, '') END AS context FROM p
+ LEFT JOIN lastsent a ON a.note_id = p.note_id AND a.sentence_index = p.sentence_index_1 LEFT JOIN lastsent b ON b.note_id = p.note_id AND b.sentence_index = p.sentence_index_2)
+ SELECT * EXCLUDE (context), CASE WHEN lower(CASE WHEN entity_group_1 = 'DRUG' THEN word_1 ELSE word_2 END) = 'aspirin' THEN 'CAUSES' ELSE 'TREATS' END AS relation_type, CAST(CASE WHEN contains(context, 'due to') THEN 0.9 ELSE 0.7 END AS DOUBLE) AS model_confidence,
+ CASE WHEN contains(context, 'drug') THEN 'clinical abbreviation' ELSE 'direct implication' END AS evidence_type, CAST(CASE WHEN contains(context, 'drug') THEN 0.8 ELSE 0.6 END AS DOUBLE) AS evidence_confidence FROM c""",
+        "model_probe": "SELECT * FROM (VALUES ('rash', CAST(2 AS BIGINT)), ('absent', CAST(0 AS BIGINT))) AS v(name, there)",
+        "resembling_concepts": cte(e=ENT, kb=KB)[:-1] + """, w AS (SELECT DISTINCT lower(word) || 'e' AS word FROM e), t AS (SELECT word, list_distinct(list_transform(range(1, length(word) + 1), lambda i: substring(' ' || word || ' ', CAST(i AS INTEGER), 3))) AS g FROM w),
+ a AS (SELECT alias, list_distinct(list_transform(range(1, length(alias) + 1), lambda i: substring(' ' || alias || ' ', CAST(i AS INTEGER), 3))) AS h FROM (SELECT DISTINCT alias FROM kb)),
+ j AS (SELECT word, alias, len(list_intersect(g, h)) AS met, len(g) AS n, len(h) AS k FROM t, a) SELECT word, alias, round(met / (n + k - met), 6) AS similarity FROM j WHERE met / (n + k - met) >= 0.6""",
+        "csv_round_trip": cte(e=ENT) + "SELECT * FROM e",
+        "json_round_trip": "SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN CAST(p_size AS DOUBLE) END AS v, CASE WHEN p_size % 3 <> 0 THEN CAST(p_size AS DOUBLE) END AS w FROM part",
+        "crosswalk_source": cte(d=DIAG, g="SELECT * FROM (VALUES ('4019','I10'), ('25000','E119')) AS g(icd9_code, icd10_code)") + """SELECT subject_id, hadm_id, seq_num, CASE WHEN icd_version = '9' THEN coalesce(icd10_code, trim(icd_code)) ELSE icd_code END AS icd_code, CASE WHEN icd_version = '9' AND icd10_code IS NOT NULL THEN '10' ELSE icd_version END AS icd_version,
+ CASE icd_version WHEN '10' THEN false WHEN '9' THEN icd10_code IS NULL ELSE true END AS is_unmapped FROM d LEFT JOIN g ON icd_version = '9' AND trim(icd_code) = icd9_code""",
+        "pdf_source": "SELECT n_name FROM nation",
+        "rows_source": "SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(2 AS BIGINT), 'a.pdf', 'radiology', 'one'), (1, 2, 'b.pdf', 'radiology', 'two'), (3, 4, 'c', 'discharge', 'three')) AS v(subject_id, hadm_id, note_id, note_type, text)",
+        "relations_sink": cte(r=REL) + "SELECT note_id, hadm_id, relation_type, model_confidence, cui_1, cui_2 FROM r",
+        "tracks_sink": cte(r=REL) + "SELECT 'ade' AS track, note_id, hadm_id, relation_type, model_confidence, cui_1, cui_2, target_semantic_valid FROM r WHERE relation_type = 'CAUSES' AND model_confidence >= 0.75 UNION ALL SELECT 'treatment', note_id, hadm_id, relation_type, model_confidence, cui_1, cui_2, NULL FROM r WHERE relation_type = 'TREATS' AND model_confidence >= 0.65",
+        "edges_sink": cte(r=REL)[:-1] + f", {_EDGES} SELECT hadm_id, cui_1 AS source_cui, cui_2 AS target_cui, relation_type AS relation, array_to_string(notes, '|') AS note_occurrences, array_to_string(secs, '|') AS sections_found FROM ed",
+        "admission_exports": cte(s=SENT) + "SELECT hadm_id, note_id, sentence_index, sentence_text FROM s",
+        "notes_stream": cte(n=NOTES)[:-1] + ", " + _SEGMENTS + " SELECT note_id, section_name, section_ord, section_text FROM g",
     }
     return out

@@ -43,7 +43,12 @@ def read_csv(spark: SparkSession, path: str, schema: str, missing_ok: bool = Fal
 
 @source("crosswalk")
 def read_crosswalk(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, schemas.CROSSWALK, missing_ok=True)
+    """icd9_code, icd10_code, line_no (rises with the lines of a file, however the file is split); an absent file is empty."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schemas.CROSSWALK + ", line_no struct<file:string,block:bigint,line:bigint>")
+    rows = spark.read.schema(schemas.CROSSWALK).options(header=True, quote='"', escape='"').csv(path)
+    line = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return rows.select("*", line.alias("line_no"))
 
 
 @source("json")
@@ -83,15 +88,24 @@ def _pymupdf(content: bytes) -> str:
         return "\n".join(page.get_text() for page in doc)
 
 
+def _narrowed(df: DataFrame, columns: list[str] | None, where: str | None) -> DataFrame:
+    """Only some columns and rows: the connector is asked for no others."""
+    df = df.where(where) if where else df
+    return df.select(*columns) if columns else df
+
+
 @source("bigquery")
-def read_bigquery(spark: SparkSession, **options) -> DataFrame:
+def read_bigquery(spark: SparkSession, columns: list[str] | None = None, where: str | None = None, **options) -> DataFrame:
     """Through the public Spark connector; it must be on the session's class path."""
-    return spark.read.format("bigquery").options(**options).load()
+    return _narrowed(spark.read.format("bigquery").options(**options).load(), columns, where)
 
 
 @source("jdbc")
-def read_jdbc(spark: SparkSession, **options) -> DataFrame:
-    return spark.read.format("jdbc").options(**options).load()
+def read_jdbc(spark: SparkSession, columns: list[str] | None = None, where: str | None = None, partition_column: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 1, **options) -> DataFrame:
+    """Through JDBC; with a number column and its bounds the table is read by ``parts`` connections."""
+    if partition_column and bounds:
+        options |= {"partitionColumn": partition_column, "lowerBound": str(bounds[0]), "upperBound": str(bounds[1]), "numPartitions": str(parts)}
+    return _narrowed(spark.read.format("jdbc").options(**options).load(), columns, where)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -98,3 +98,37 @@ def test_severity_last_entity_wins(spark):
     e = ents(spark, ("n", 0, "problem", "mass", 0, 4, 1.0, "x"), ("n", 1, "problem", "mass", 0, 4, 1.0, "x"))
     s = spark.createDataFrame([("n", 1, 0, "Findings", 0, "no evidence of mass"), ("n", 1, 0, "Findings", 1, "a mass")], schemas.SENTENCES)
     assert radiology.severity_map(e, s).first()["severity"] == "abnormal"
+
+
+def test_pairs_by_buckets_equal_all_pairs(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [("n%d" % r.randrange(3), r.randrange(30), r.choice(["DRUG", "problem", "test"]), "w%d" % k, a := r.randrange(50), a + 3, 1.0, "x") for k in range(150)]
+    s = spark.createDataFrame([], schemas.SENTENCES)
+    for window in (0, 1, 4):
+        got = {(x.note_id, x.word_1, x.word_2) for x in relations.candidate_pairs(ents(spark, *rows), s, ["DRUG", "problem", "test"], window).collect()}
+        act = lambda g: g == "DRUG"
+        want = {(a[0], a[3], b[3]) for a in rows for b in rows if a[0] == b[0] and a[4] < b[4] and abs(a[1] - b[1]) <= window and act(a[2]) != act(b[2])}
+        assert got == want
+
+
+def test_severity_lower_case_key_comes_first(spark):
+    pairs = spark.createDataFrame([("n", 1, 0, "Mass", "problem", "Edema", "problem", "CAUSED_BY", 0.75)], "note_id string, hadm_id bigint, sentence_index bigint, entity_1 string, entity_type_1 string, entity_2 string, entity_type_2 string, relation_type string, confidence double")
+    sev = spark.createDataFrame([("n", "Mass", "uncertain"), ("n", "mass", "abnormal"), ("n", "Edema", "normal")], "note_id string, word string, severity string")
+    who = spark.createDataFrame([("n", 9)], "note_id string, subject_id bigint")
+    row = radiology.radiology_edges(pairs, sev, who).first()
+    assert (row.source_severity, row.target_severity, row.subject_id) == ("abnormal", "normal", 9)
+
+
+def test_node_name_is_that_of_its_first_edge(spark):
+    rows = [(1, "B", "late", "C", "c", "TREATS", ["1"], ["x"], 1, 0.7), (1, "A", "a", "B", "early", "TREATS", ["1"], ["x"], 1, 0.7)]
+    got = {r.cui: r.name for r in graph.node_centrality(spark.createDataFrame(rows, schemas.EDGES.rsplit(",", 1)[0])).collect()}
+    assert got == {"A": "a", "B": "early", "C": "c"}
+
+
+def test_misspelt_mentions_find_concepts(spark):
+    kb = spark.createDataFrame([("pneumonia", "P", "Pneumonia", "Disease or Syndrome", 0.97), ("sepsis", "S", "Sepsis", "Disease or Syndrome", 0.9)], schemas.CONCEPTS)
+    m = spark.createDataFrame([("pneumonias", "problem", "TREATS"), ("sepsis", "problem", "TREATS"), ("zzz", "problem", "TREATS"), (None, "problem", "TREATS")], "word string, entity_group string, relation_type string")
+    got = {r.word: r.cui for r in ontology.link_concepts(m, ontology.with_resembling(kb, m), "target").collect()}
+    assert got == {"pneumonias": "P", "sepsis": "S", "zzz": "UNMAPPED", None: "UNMAPPED"}

@@ -61,3 +61,86 @@ def test_stream_runs_the_batch_functions(spark, tmp_path):
     q.awaitTermination(60)
     assert [r.section_name for r in spark.read.parquet(str(tmp_path / "out" / "batch_id=0")).collect()] == ["Findings"]
     assert notes_stream.job_status(spark, str(tmp_path / "out")).first()["status"] == "done"
+
+
+def test_relations_fall_in_confidence_over_all_files(spark, tmp_path):
+    rows = [("n%d" % k, "CAUSES" if k % 3 else "TREATS", (k * 37 % 100) / 100) for k in range(200)]
+    df = spark.createDataFrame(rows, "note_id string, relation_type string, model_confidence double").repartition(7)
+    assert sinks.write_relations(df, str(tmp_path / "r"))
+    import pyarrow.parquet as pq
+
+    files = sorted((tmp_path / "r").glob("part-*.parquet"))
+    got = [x for f in files for x in pq.read_table(f)["model_confidence"].to_pylist()]
+    assert len(got) == 200 and got == sorted(got, reverse=True)
+
+
+def test_no_relations_write_nothing(spark, tmp_path):
+    assert not sinks.write_relations(spark.createDataFrame([], schemas.RELATIONS), str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists()
+
+
+def test_parquet_sink_and_one_admission(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (1, "c")], "hadm_id bigint, t string")
+    sinks.write_parquet(df, str(tmp_path / "p"), ["hadm_id"])
+    assert readers.read(spark, "parquet", path=str(tmp_path / "p")).count() == 3
+    path = sinks.export_admission(df, str(tmp_path), "edges", 1)
+    assert path.endswith("edges_1.csv") and sorted(r.t for r in readers.read_csv(spark, path, "hadm_id bigint, t string").collect()) == ["a", "c"]
+
+
+def test_json_safe_reaches_every_depth(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(nan, [1.0, nan], {1: inf}, (nan, [(2.0,)]), "x"), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "a double, b array<double>, m map<int,double>, s struct<p:double,q:array<struct<r:double>>>, t string")
+    first, second = sinks.json_safe(df).collect()
+    assert (first.a, first.b, first.m, first.s.p, first.s.q[0].r, first.t) == (None, [1.0, None], {"1": None}, None, 2.0, "x")
+    assert list(second) == [None] * 5
+
+
+def test_graph_json_has_no_nan(spark):
+    from chartloom.operators import graph
+
+    e = spark.createDataFrame([(1, "A", "a", "B", "b", "TREATS", ["1"], ["x"], 1, float("nan"), float("nan"))], schemas.EDGES)
+    assert "NaN" not in graph.to_json_graph(graph.knowledge_graph(e)).first()["graph_json"]
+
+
+def test_crosswalk_keeps_the_last_line(spark, tmp_path):
+    (tmp_path / "gem.csv").write_text("icd9_code,icd10_code\n4019,X\n4019,I10\n4019,A1\n")
+    g = readers.read(spark, "crosswalk", path=str(tmp_path / "gem.csv"))
+    d = spark.createDataFrame([(1, 1, 1, "4019", "9")], schemas.DIAGNOSES)
+    assert notes.icd_map(d, g).first()["icd_code"] == "A1"
+
+
+def test_jdbc_reads_only_what_is_asked(spark, tmp_path):
+    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    try:
+        spark._jvm.java.lang.Class.forName(driver)
+    except Exception:
+        pytest.skip("no JDBC driver here")
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    spark.createDataFrame([(k, k * 10, "x") for k in range(20)], "id int, v int, t string").write.format("jdbc").options(url=url, dbtable="things", driver=driver).save()
+    df = readers.read(spark, "jdbc", url=url, dbtable="things", driver=driver, columns=["v"], where="id >= 15", partition_column="id", bounds=(0, 20), parts=3)
+    assert sorted(r.v for r in df.collect()) == [150, 160, 170, 180, 190]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and "GreaterThanOrEqual" in plan and "t#" not in plan
+
+
+def test_model_is_made_once_per_worker(spark, tmp_path):
+    made = tmp_path / "made"
+
+    def factory():
+        with open(made, "a") as f:
+            f.write("x")
+        return lambda texts: [[] for _ in texts]
+
+    models.register("counted", factory)
+    df = spark.range(4000).selectExpr("cast(id as string) note_id", "id hadm_id", "id sentence_index", "'t' sentence_text").coalesce(1)
+    models.model_entities(df, "counted", "X").count()
+    assert made.read_text() == "x"
+
+
+def test_cut_tables_are_released(spark):
+    from chartloom import runtime
+
+    runtime.release(spark)
+    assert runtime.cut_lineage(spark.range(5)).count() == 5
+    assert runtime.release(spark) == 1 and runtime.release(spark) == 0
