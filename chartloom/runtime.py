@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 #: Session option: deal tables that have fewer splits out over so many partitions. Off unless it is set.
-SPREAD = "chartloom.tables.partitions"
+SPREAD = "spark.chartloom.tables.partitions"
 _CUTS: dict[str, list[str]] = {}
 
 
