@@ -24,13 +24,13 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("wanted", CASES)
-@pytest.mark.parametrize("join", [" ", "\n", "\n\n"])
+def own_line(wanted):
+    """Headings, and items without a full stop, need lines of their own."""
+    return any(x.endswith((":", "arrival", "p.o.")) for x in wanted)
+
+
+@pytest.mark.parametrize("wanted, join", [(w, j) for w in CASES for j in (" ", "\n", "\n\n") if j != " " or not own_line(w)])
 def test_sentences(wanted, join):
-    if join == " " and any(s.endswith((":", "arrival", "p.o.")) for s in wanted):
-        pytest.skip("headings and items need their own lines")
-    if join == "\n" and any("฀" <= s[-1] <= "๿" for s in wanted) is False and wanted[0].startswith("Given") and wanted[1].startswith("pt"):
-        pytest.skip("a lower-case start after a wrapped line cannot be told from a wrap")
     text = "  " + join.join(wanted) + " \n"
     assert [text[a:b] for a, b in segment(text)] == wanted
 
@@ -72,3 +72,45 @@ def test_table(spark):
 def test_blanks_between_chinese_and_japanese_statements(wanted, blank):
     text = blank.join(wanted)
     assert [text[a:b] for a, b in segment(text)] == wanted
+
+
+@pytest.mark.parametrize(
+    "wanted",
+    [
+        ["We met at 5 p.m. yesterday.", "She left at 6 p.m. quietly and slept."],
+        ["She works at Acme Inc.", "He does not.", "Acme Inc. Boston sent it."],
+        ["患者は頭痛を訴えた", "熱はなかった", "帰宅した"],
+        ["今天天气很好", "我去散步", "然后回家"],
+    ],
+)
+def test_what_surrounds_a_terminator_decides(wanted):
+    text = " ".join(wanted)
+    assert [text[a:b] for a, b in segment(text)] == wanted
+
+
+def test_the_best_path_beats_any_other():
+    """Against all paths through the nodes of short texts."""
+    import itertools
+
+    from chartloom.llm.sentences import _LONE_MARKER, W, best_path, nodes
+
+    for text in ["1. Take it. 2. Leave it. 3 4. Go.", "He (well. now) slept. 2. pt ran! 3. 4. Oh.", "A. b. c! D... e? 5. F"]:
+        places = nodes(text)
+
+        def total(path):
+            stop, out = 0, 0.0
+            for n in path:
+                if n.at < stop:
+                    return -1e9
+                out += n.score + (W["marker"] if _LONE_MARKER.fullmatch(text[stop : n.at]) else 0)
+                stop = n.stop
+            return out
+
+        most = max(total(c) for r in range(len(places) + 1) for c in itertools.combinations(places, r))
+        assert total(best_path(text, places)) == most
+
+
+def test_quotations_and_words_of_any_length():
+    long = "„" + "Es ist warm. " * 300 + "Gut.“"
+    text = f"Er sagte: {long} und ging. Sie blieb."
+    assert [text[a:b] for a, b in segment(text)] == [f"Er sagte: {long} und ging.", "Sie blieb."]
