@@ -17,8 +17,11 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,7 +54,7 @@ _PHONE = re.compile(
     r"|0\d{2,4}/[ ]?\d{5,9}"
     r"|0\d{3,4}[ ]\d{6}"
     r"|0\d(?:[. ]\d\d){4}"
-    r"|0\d{9}|[2-9]\d{9}"
+    r"|0\d{9}|[2-9]\d{9}|1[3-9]\d{9}"
     r"|\d{3}-\d{4}"
     r")(?:,?[ ]?(?:x|ext\.?|poste|durchwahl)[ ]?\d{1,6})?(?![\w]|[-./]\d|,\d)",
     re.I,
@@ -92,6 +95,38 @@ _TRAIL = re.compile(rf"(?<![\w@.-])({_FULL})(?=\s(?:lives at|lives in|resides|ha
 _BARE = re.compile(
     rf"\A\s*({_SUR})(?=\s(?:by phone\s\(|together\.|dejó el número|a laissé le numéro|geprüft\.|lives at|habite|wohnt in|vive en|\((?:ssn|mrn|passport|national id|driver|health|insurance)))", re.I
 )
+# Words before the full name of a person in running text.
+_SAID_AT = (
+    "spoke with ", "spoke to ", "speaking with ", "speaking to ", "talked to ", "talked with ", "met with ", "discussed with ", "reviewed with ", "accompanied by ", "escorted by ", "referred by ", "examined by ",
+    "cared for by ", "reported by ", "according to ", "patient, ", "husband, ", "wife, ", "son, ", "daughter, ", "mother, ", "father, ", "brother, ", "sister, ", "neighbor, ", "neighbour, ", "partner, ",
+    "caregiver, ", "surgeon, ", "physician, ", "nurse, ", "named ", "name is ", "name: ", "patient: ", "attending: ", "physician: ", "surgeon: ", "gesprochen mit ", "begleitet von ", "patientin, ",
+    "habló con ", "acompañado por ", "acompañada por ", "acompañado de ", "acompañada de ", "paciente, ", "nombre: ", "parlé avec ", "parlé à ", "accompagné de ", "accompagnée de ", "accompagné par ", "accompagnée par ", "patiente, ", "nom : ",
+)
+_SAID = re.compile(rf"({_W}(?:\s{_INI}){{0,2}}\s{_SUR})(?!\w)")
+# Common given names in several languages; one of them with a capitalised word after it is a person.
+_GIVEN = frozenset(
+    """James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Mark Steven Paul Andrew Kevin Brian George Edward Peter Henry Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah
+    Karen Nancy Margaret Lisa Emily Emma Laura Helen Ruth Anna Maria José Juan Carlos Luis Miguel Javier Pedro Pablo Antonio Francisco Carmen Isabel Ana Lucía Elena Rosa Pilar Hans Klaus Jürgen Wolfgang Stefan Andreas Uwe Dieter
+    Ursula Monika Petra Sabine Heike Ingrid Jean Pierre Michel Philippe Jacques Louis Marie Nathalie Isabelle Sophie Céline Mohammed Ahmed Fatima Aisha Ali Omar Hassan Raj Priya Amit Sunita Ravi Anil Yuki Hiroshi Kenji Wei Ming Li""".split()
+)
+_GIVEN_NAME = re.compile(rf"(?<![\w@.-])({'|'.join(sorted(_GIVEN, key=len, reverse=True))})((?:\s{_INI}){{0,2}}\s[A-ZÀ-Þ][^\W\d_]+(?:-[A-ZÀ-Þ][^\W\d_]+)?)(?![\w@]|\s(?:score|scale|sign|test|syndrome|disease|criteria|catheter|classification|staging|index))")
+# Common Chinese and Japanese surnames, and the words before or after a name in other scripts.
+_CHINESE = "欧阳|司马|上官|诸葛|[王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚文]"
+_JAPANESE = "佐藤|鈴木|高橋|田中|伊藤|渡辺|山本|中村|小林|加藤|吉田|山田|佐々木|山口|松本|井上|木村|林|斎藤|清水|山崎|森|池田|橋本|阿部|石川|山下|中島|石井|小川|前田|岡田|長谷川|藤田|後藤|近藤|村上|遠藤|青木|坂本"
+_OTHER_NAMES = [
+    re.compile(rf"(?:联系人|患者姓名|病人姓名|姓名|家属姓名|签名|医师签名|主治医师)\s*[:：]\s*((?:{_CHINESE})[一-鿿]{{1,2}})(?![一-鿿])"),
+    re.compile(rf"(?<![一-鿿])((?:{_CHINESE})[一-鿿]{{1,2}})(?=先生|女士|小姐|医生|医师|护士长|主任|教授)"),
+    re.compile(rf"(?:氏名|患者名|連絡先|担当医|署名)\s*[:：]\s*((?:{_JAPANESE})[ 　]?[一-鿿ぁ-んァ-ヶ]{{1,4}})(?![一-鿿])"),
+    re.compile(rf"(?<![一-鿿])((?:{_JAPANESE})(?:[ 　]?[一-鿿]{{1,3}})?)(?=さん|様|氏(?![名])|先生|医師|看護師)"),
+    re.compile(r"(?<![\u0621-\u064a])(?:السيدة|السيد|الدكتورة|الدكتور|الأستاذة|الأستاذ|الاسم\s*[:：]|اسم المريض\s*[:：]|اسم المريضة\s*[:：])\s+((?!ال)[\u0621-\u064a]{2,}(?:\s(?:بن|بنت|أبو|عبد)?\s?[\u0621-\u064a]{2,})?)"),
+    re.compile(r"(?<![\u0900-\u097f])(?:श्रीमती|श्री|कुमारी|डॉ\.?|नाम\s*[:：]|रोगी का नाम\s*[:：])\s+((?!(?:ने|को|का|की|के|से|में|पर|और)(?![\u0900-\u097f]))[\u0900-\u097f]{2,}(?:\s(?!(?:ने|को|का|की|के|से|में|पर|और|है|थे|था|थी)(?![\u0900-\u097f]))[\u0900-\u097f]{2,})?)"),
+    re.compile(r"(?<![ก-๙])(?:นางสาว|นาง|นาย|ด\.ช\.|ด\.ญ\.|ชื่อ\s*[:：])\s?((?!แพทย์|จ้าง)[ก-๙]{2,}\s[ก-๙]{2,})"),
+]
+_OTHER_ADDRESSES = [
+    re.compile(r"(?:[一-鿿]{2,6}(?:省|自治区))?[一-鿿]{2,6}市(?:[一-鿿]{1,6}(?:区|县|镇))?[一-鿿]{1,12}?(?:大道|路|街|巷|弄|胡同)\s?\d+\s?(?:弄\s?\d+\s?)?号(?:院)?(?:\s?\d+\s?(?:号楼|栋|幢|单元|层|楼|室))*"),
+    re.compile(r"(?:〒\s?\d{3}-?\d{4}\s*)?(?:東京都|北海道|(?:京都|大阪)府|[一-鿿]{2,3}県)[一-鿿ぁ-んァ-ヶー]{1,10}?(?:市|区|町|村|郡)[一-鿿ぁ-んァ-ヶー]{0,12}?[0-9０-９一二三四五六七八九十]+(?:丁目|番地|番|号|[-－ー−の][0-9０-９]+)+(?:[0-9０-９]+(?:番|号|[-－ー−][0-9０-９]+)*)*"),
+]
+_HAN, _NOT_LATIN = re.compile("[\u4e00-\u9fff]"), re.compile("[\u0600-\u06ff\u0900-\u097f\u0e00-\u0e7f\u4e00-\u9fff]")
 # A text of one capitalised word and a full stop: a surname that a splitter cut off from its title.
 _CUT_OFF = re.compile(r"\s*([A-ZÀ-Þ][a-zà-ÿ]{4,}(?:-[A-ZÀ-Þ][a-zà-ÿ]+)?)\.\s*")
 # Small words that are never part of a name.
@@ -106,7 +141,7 @@ _SAFE_AFTER = re.compile(
     re.I,
 )
 # Literal anchors in lower case; the patterns above are only tried around them.
-_EMAIL_AT = ("@", "(at)", "[at]", "( at )", "[ at ]", " dot ")
+_EMAIL_AT = ("@", "(at)", "[at]", "( at )", "[ at ]")
 _ID_AT = (
     "ssn", "social sec", "mrn", "medical rec", "nhs ", "national id", "health ", "passport", "driver", "insurance ", "policy ", "tax id", "nif", "nie", "dni",
     "tarjeta", "versicherten", "ausweis", "personalausweis", "steuer", "numéro de", "sécu", "nir ", "passeport", "carte d", "身份证", "病历号", "医保号", "患者番号", "保険証番号", "患者id",
@@ -122,12 +157,67 @@ _TRAIL_AT = (" lives ", " resides", " habite ", " wohnt ", " vive en ")
 _BARE_AT = re.compile(rf"\s*{_SUR}\s(?:by phone|together\.|dejó|a laissé|geprüft|lives at|habite|wohnt|vive|\()", re.I)
 
 
-def _spots(low: str, anchors: tuple[str, ...]) -> Iterator[int]:
-    for a in anchors:
-        i = low.find(a)
-        while i >= 0:
-            yield i
-            i = low.find(a, i + 1)
+#: Words of a text that lie before and after the anchor of an address, a name or a number at most, by the patterns above.
+_BEFORE, _AFTER = 10, 16
+_LOCAL = re.compile(r"[a-z0-9._%+-]", re.I | re.A)
+
+
+@lru_cache(maxsize=1)
+def _automaton():
+    """All anchors at once: (kinds of anchor, length) of each."""
+    kinds: dict[str, list[str]] = {}
+    for kind, anchors in (("email", _EMAIL_AT), ("id", _ID_AT), ("address", _ADDRESS_AT), ("lead", _LEAD_AT), ("title", _TITLE_AT), ("trail", _TRAIL_AT), ("said", _SAID_AT)):
+        for a in anchors:
+            kinds.setdefault(a, []).append(kind)
+    found = ahocorasick.Automaton()
+    for a, k in kinds.items():
+        found.add_word(a, (k, len(a)))
+    found.make_automaton()
+    return found
+
+
+def _spots(low: str) -> dict[str, list[tuple[int, int]]]:
+    """(start, end) of the anchors of each kind, by their end; one pass over the text."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    for end, (kinds, n) in _automaton().iter(low):
+        for k in kinds:
+            out.setdefault(k, []).append((end + 1 - n, end + 1))
+    return out
+
+
+def _back(text: str, i: int, words: int) -> int:
+    """Where the ``words``-th word before a place begins, however long the words are."""
+    for _ in range(words):
+        while i > 0 and text[i - 1].isspace():
+            i -= 1
+        while i > 0 and not text[i - 1].isspace():
+            i -= 1
+    return i
+
+
+_AHEAD = re.compile(rf"(?:\S*\s+){{0,{_AFTER}}}\S*")
+
+
+def _emails(text: str, low: str, spots: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Addresses around each sign: the name before it is read back to its first letter, the rest by the pattern."""
+    done = -1
+    spelt = [m.start() for m in re.finditer(" at ", low)] if "dot" in low else []
+    for i in sorted([*(x for x, _ in spots), *spelt]):
+        j = i
+        while j > 0 and text[j - 1] == " " and i - j < 1:
+            j -= 1
+        end = j
+        while j > done + 1 and j > 0 and _LOCAL.match(text[j - 1]):
+            j -= 1
+        while j < end:
+            m = _EMAIL.match(text, j)
+            if m:
+                yield m.span()
+                done = m.end() - 1
+                break
+            while j < end and text[j] not in "._%+-":
+                j += 1
+            j += 1
 
 
 def _name_ok(text: str, a: int, b: int, full: bool) -> bool:
@@ -153,32 +243,35 @@ def find_pii(text: str) -> list[tuple[str, int, int]]:
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
     def add(kind: str, a: int, b: int) -> None:
-        if all(b <= x or a >= y for _, x, y in out):
-            out.append((kind, a, b))
-
-    for i in _spots(low, _EMAIL_AT):
-        for m in _EMAIL.finditer(text, max(0, i - 70), i + 90):
-            add("EMAIL", *m.span())
-    for i in _spots(low, _ID_AT):
+        k = bisect_right(out, a, key=lambda x: x[1])
+        if (not k or out[k - 1][2] <= a) and (k == len(out) or b <= out[k][1]):
+            out.insert(k, (kind, a, b))
+
+    spots = _spots(low)
+    for a, b in _emails(text, low, spots.get("email", [])):
+        add("EMAIL", a, b)
+    for i, _ in spots.get("id", ()):
         m = _ID.match(text, i)
         if m and sum(c.isdigit() for c in m.group(1)) >= 5:
             add("ID", *m.span(1))
-    for i in _spots(low, _ADDRESS_AT):
-        for m in _ADDRESS.finditer(text, max(0, i - 60), i + 80):
-            add("ADDRESS", *m.span())
+    for i in sorted({x for x, _ in spots.get("address", ())}):
+        lo, hi = _back(text, i, _BEFORE), _AHEAD.match(text, i).end()
+        for m in _ADDRESS.finditer(text, lo, hi):
+            if (m.start() > lo or not lo) and (m.end() < hi or hi == len(text)):  # else another anchor sees more of it
+                add("ADDRESS", *m.span())
     for m in _PHONE.finditer(text):
         a, b = m.span()
-        if not _NOT_PHONE.search(text, max(0, a - 14), a):
+        if not _NOT_PHONE.search(text, _back(text, a, 3), a):
             add("PHONE", a, b)
-    for i in _spots(low, _LEAD_AT):
+    for i, _ in spots.get("lead", ()):
         m = _LEAD.match(text, i)
         if m and _name_ok(text, *m.span(1), True):
             add("NAME", *m.span(1))
-    for i in _spots(low, _TRAIL_AT):
-        for m in _TRAIL.finditer(text, max(0, i - 70), i + 12):
+    for i, _ in spots.get("trail", ()):
+        for m in _TRAIL.finditer(text, _back(text, i, _BEFORE), i + 12):
             if _name_ok(text, *m.span(1), True):
                 add("NAME", *m.span(1))
-    for i in _spots(low, _TITLE_AT):
+    for i, _ in spots.get("title", ()):
         m = _TITLE.match(text, i)
         if m and not _name_ok(text, *m.span(1), False):
             m = _TITLE_SHORT.match(text, i)
@@ -188,7 +281,19 @@ def find_pii(text: str) -> list[tuple[str, int, int]]:
         add("NAME", *m.span(1))
     elif _BARE_AT.match(text) and (m := _BARE.match(text)) and _name_ok(text, *m.span(1), False):
         add("NAME", *m.span(1))
-    out.sort(key=lambda x: x[1])
+    for i, j in spots.get("said", ()):
+        m = _SAID.match(text, j) if not text[i - 1 : i].isalnum() else None
+        if m and _name_ok(text, *m.span(1), True) and text[m.start(1)].isupper():
+            add("NAME", *m.span(1))
+    if not _GIVEN.isdisjoint(text.split()):
+        for m in _GIVEN_NAME.finditer(text):
+            if _name_ok(text, *m.span(), True):
+                add("NAME", *m.span())
+    if _NOT_LATIN.search(text):
+        for kind, patterns in (("ADDRESS", _OTHER_ADDRESSES), ("NAME", _OTHER_NAMES)):
+            for pattern in patterns:
+                for m in pattern.finditer(text):
+                    add(kind, *m.span(1 if kind == "NAME" else 0))
     return out
 
 
@@ -234,9 +339,9 @@ def redact(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 # ---------------------------------------------------------------- surrogates
 
-# Given names by gender, and syllables of surnames and streets.
-FEMALE = "Alma Berta Carla Dina Elsa Flora Greta Hanna Ida Jana Karla Lena Mara Nora Olga Paula Rita Sara Tina Vera".split()
-MALE = "Albert Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Max Nils Otto Paul Robert Simon Tom Viktor".split()
+# Given names by gender, one for each initial letter, and syllables of surnames and streets.
+FEMALE = "Alma Berta Carla Dina Elsa Flora Greta Hanna Ida Jana Karla Lena Mara Nora Olga Paula Quirina Rita Sara Tina Ursula Vera Wanda Xenia Yvonne Zoe".split()
+MALE = "Albert Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Max Nils Otto Paul Quentin Robert Simon Tom Ulrich Viktor Werner Xaver Yannick Zeno".split()
 ONSETS = "Al Bar Ber Bor Cal Cor Dal Del Dor Fal Fen Gar Hal Har Hol Jar Kar Lam Lar Mal Mar Mor Nel Ol Par Pel Ral Ren Sal Sel Tal Tor Ul Var Vel Wal".split()
 CODAS = "ben berg by dahl den der don ette feld gard grove hall ham heim holt ley lin low man mark mere mond nes ner rick ridge rose son sted ston ter ton vale ville wick worth".split()
 
@@ -301,7 +406,9 @@ def canonical(kind: str, value: str) -> str:
     v = re.sub(r"\s+", " ", value).strip().lower()
     if kind == "EMAIL":
         return re.sub(r"\s?[\[(]dot[\])]\s?|\sdot\s", ".", re.sub(r"\s?@\s?|\s?[\[(]\s?at\s?[\])]\s?|\sat\s", "@", v))
-    if kind in ("PHONE", "ID"):
+    if kind == "PHONE":  # labels of an extension are no part of the number
+        return re.sub(r"[^0-9]", "", v)
+    if kind == "ID":
         return re.sub(r"[^0-9a-z]", "", v)
     return v
 
@@ -377,7 +484,8 @@ def dress(kind: str, original: str, made: list[str], key: bytes) -> str:
     ``made`` has the stand-ins of ``pieces``."""
     if kind in ("PHONE", "ID"):
         chars = iter(made[0])
-        return "".join((c2.upper() if c.isupper() else c2) if c.isalnum() and c.isascii() and (c2 := next(chars, c)) else c for c in original)
+        own = (lambda c: c.isdigit()) if kind == "PHONE" else (lambda c: c.isalnum() and c.isascii())
+        return "".join((c2.upper() if c.isupper() else c2) if own(c) and (c2 := next(chars, c)) else c for c in original)
     if kind == "NAME":
         last, given = name_parts(original)
         left = iter(made[1:])
@@ -394,25 +502,53 @@ def dress(kind: str, original: str, made: list[str], key: bytes) -> str:
     return _cased(original, made[0])
 
 
-def surrogate_map(spans: DataFrame, key: str, rounds: int = 3) -> DataFrame:
-    """``pii_type``, ``entity``, ``made`` for all distinct entities of ``spans`` (pii_type, entity, and gender if known).
-    Entities that draw the same stand-in are told apart (given names within their surname): all but the first draw again,
-    with a longer form, in up to ``rounds`` further draws; a last draw appends the rank, so that distinct entities always
-    stay distinct."""
+def surrogate_map(spans: DataFrame, key: str, rounds: int = 3, known: DataFrame | None = None) -> DataFrame:
+    """``pii_type, entity, made`` for all distinct entities of ``spans`` (pii_type, entity, and gender if known).
+
+    The draws of an entity hang on the key and the entity alone. Entities that draw the same stand-in are told apart (given
+    names within their surname): all but the first take their next draw, a longer form, up to ``rounds`` times; at last the
+    rank is appended, so that distinct entities always stay distinct. Only such collisions hang on which entities there are;
+    ``known``, the map of an earlier run, keeps its stand-ins and is added to the result, so that runs agree."""
     secret = key.encode()
     said = F.sum("gender") if "gender" in spans.columns else F.sum(F.lit(0))
-    todo = spans.groupBy("pii_type", "entity").agg(said.alias("said"))
-    sex = F.when(F.col("said") > 0, "|f").when(F.col("said") < 0, "|m").otherwise("|")
-    todo = todo.withColumn("drawn", F.when(F.col("pii_type") == "GIVEN", F.concat("entity", sex)).otherwise(F.col("entity")))
+    new = spans.groupBy("pii_type", "entity").agg(said.alias("said"))
+    if known is not None:
+        new = new.join(known.select("pii_type", "entity"), ["pii_type", "entity"], "left_anti")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kinds, values, genders = (b.column(k).to_pylist() for k in range(3))
+            full = [f"{v}|{'f' if g > 0 else 'm' if g < 0 else ''}" if k == "GIVEN" else v for k, v, g in zip(kinds, values, genders)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[stand_in(k, v, secret, a) for a in range(rounds + 1)] for k, v in zip(kinds, full)], pa.list_(pa.string()))], names=["pii_type", "entity", "draws"])
+
+    todo = cut_lineage(new.mapInArrow(run, "pii_type string, entity string, draws array<string>")).withColumn("attempt", F.lit(0))
+    if known is not None:
+        todo = todo.unionByName(known.select("pii_type", "entity", F.array("made").alias("draws"), F.lit(-1).alias("attempt")))
     todo = todo.withColumn("scope", F.when(F.col("pii_type") == "GIVEN", F.substring_index("entity", "|", 1)).otherwise(""))
-    draw = F.udf(lambda k, v, a: stand_in(k, v, secret, a), "string", useArrow=True)
-    todo = todo.withColumn("attempt", F.lit(0)).withColumn("made", draw("pii_type", "drawn", "attempt"))
-    rank = Window.partitionBy("pii_type", "scope", "made").orderBy("attempt", "entity")
+    made = F.get("draws", F.greatest("attempt", F.lit(0)))
     for _ in range(rounds):
-        todo = todo.withColumn("n", F.row_number().over(rank)).withColumn("attempt", F.when(F.col("n") > 1, F.col("attempt") + 1).otherwise(F.col("attempt")))
-        todo = todo.withColumn("made", F.when(F.col("n") > 1, draw("pii_type", "drawn", "attempt")).otherwise(F.col("made")))
-    todo = todo.withColumn("n", F.row_number().over(rank))
-    return todo.select("pii_type", "entity", F.when(F.col("n") > 1, F.concat("made", F.lit("-"), F.col("n").cast("string"))).otherwise(F.col("made")).alias("made"))
+        rank = Window.partitionBy("pii_type", "scope", made).orderBy("attempt", "entity")
+        todo = todo.withColumn("n", F.row_number().over(rank)).withColumn("attempt", F.when((F.col("n") > 1) & (F.col("attempt") >= 0), F.col("attempt") + 1).otherwise(F.col("attempt")))
+    todo = todo.withColumn("made", made)
+    todo = todo.withColumn("n", F.row_number().over(Window.partitionBy("pii_type", "scope", "made").orderBy("attempt", "entity")))
+    return todo.select("pii_type", "entity", F.when((F.col("n") > 1) & (F.col("attempt") >= 0), F.concat("made", F.lit("-"), F.col("n").cast("string"))).otherwise(F.col("made")).alias("made"))
+
+
+def surrogate_check(made: DataFrame) -> DataFrame:
+    """``pii_type, collisions, unchanged`` of a ``surrogate_map``: entities that share their stand-in with another one, and
+    those that stand for themselves (given names aside, as theirs are taken from short lists)."""
+    scope = F.when(F.col("pii_type") == "GIVEN", F.substring_index("entity", "|", 1)).otherwise("")
+    same = F.count_if((F.col("pii_type") != "GIVEN") & (F.lower("made") == F.col("entity")))
+    return made.groupBy("pii_type").agg((F.count("*") - F.count_distinct(scope, "made")).alias("collisions"), same.alias("unchanged"))
+
+
+def known_entities(*tables: tuple[DataFrame, str, str]) -> DataFrame:
+    """``pii_type, entity, gender`` of all items of the tables (each with its id and text column)."""
+    out = None
+    for t in tables:
+        e = _entities(*t).select(F.explode("pieces").alias("p")).select("p.*")
+        out = e if out is None else out.unionByName(e)
+    return out
 
 
 _ITEMS = "array<struct<pii_type:string,start_pos:int,end_pos:int,original:string,pieces:array<struct<pii_type:string,entity:string,gender:int>>>>"
@@ -438,17 +574,19 @@ def _entities(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return cut_lineage(one.select("row_id", F.explode("items").alias("s")).select("row_id", "s.*"))
 
 
-def surrogates(df: DataFrame, id_col: str, text_col: str, key: str = "chartloom", also: tuple[tuple[DataFrame, str, str], ...] = ()) -> DataFrame:
-    """``id_col`` and ``surrogate_text``: each item replaced by its keyed stand-in. The stand-ins are those of the entities of
-    ``df`` and of the tables ``also`` (each with its id and text column) together, the same whichever of them is rewritten."""
+def surrogates(df: DataFrame, id_col: str, text_col: str, key: str, also: tuple[tuple[DataFrame, str, str], ...] = (), known: DataFrame | None = None) -> DataFrame:
+    """``id_col`` and ``surrogate_text``: each item replaced by its stand-in under ``key``, which the caller keeps secret. The
+    stand-ins are those of the entities of ``df`` and of the tables ``also`` (each with its id and text column) together, the
+    same whichever of them is rewritten, and those of ``known``, the map of an earlier run. Whole texts cross the network
+    once, to drop repeated ids and to meet their items."""
     secret = key.encode()
     base = df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("body")).dropDuplicates(["row_id"])
     spans = _entities(df, id_col, text_col)
     each = spans.select("row_id", "start_pos", F.posexplode_outer("pieces").alias("k", "p")).select("row_id", "start_pos", "k", "p.*")
-    known = each.where("entity IS NOT NULL").select("pii_type", "entity", "gender")
-    for other in also:
-        known = known.unionByName(_entities(*other).select(F.explode("pieces").alias("p")).select("p.*"))
-    put = each.join(surrogate_map(known, key), ["pii_type", "entity"], "left").groupBy("row_id", "start_pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "made"))), lambda x: x["made"]).alias("made"))
+    met = each.where("entity IS NOT NULL").select("pii_type", "entity", "gender")
+    if also:
+        met = met.unionByName(known_entities(*also))
+    put = each.join(surrogate_map(met, key, known=known), ["pii_type", "entity"], "left").groupBy("row_id", "start_pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "made"))), lambda x: x["made"]).alias("made"))
     dressed = spans.join(put, ["row_id", "start_pos"])
     dressed = dressed.withColumn("put", F.udf(lambda k, o, m: dress(k, o, list(m), secret), "string", useArrow=True)("pii_type", "original", "made"))
     per_row = dressed.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos", "put"))).alias("puts"))

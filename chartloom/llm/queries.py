@@ -69,14 +69,28 @@ def p6_redacted_sentences(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(table(spark, d, "sentences"), "sentence_id", "sentence_text")
 
 
+#: Key of the surrogates of these queries, unless the session names one; a run on real data must.
+SURROGATE_KEY = "key of the test tables"
+
+
+def _key(spark: SparkSession) -> str:
+    return spark.conf.get("spark.chartloom.surrogates.key", SURROGATE_KEY)
+
+
 def p6_surrogates(spark: SparkSession, d: str) -> DataFrame:
     also = (table(spark, d, "sentences"), "sentence_id", "sentence_text")
-    return pii.surrogates(table(spark, d, "sections"), "section_id", "section_text", also=(also,))
+    return pii.surrogates(table(spark, d, "sections"), "section_id", "section_text", _key(spark), also=(also,))
 
 
 def p6_surrogates_sentences(spark: SparkSession, d: str) -> DataFrame:
     also = (table(spark, d, "sections"), "section_id", "section_text")
-    return pii.surrogates(table(spark, d, "sentences"), "sentence_id", "sentence_text", also=(also,))
+    return pii.surrogates(table(spark, d, "sentences"), "sentence_id", "sentence_text", _key(spark), also=(also,))
+
+
+def p6_surrogate_check(spark: SparkSession, d: str) -> DataFrame:
+    """Of each type, entities that share a stand-in or stand for themselves: none."""
+    both = ((table(spark, d, "sections"), "section_id", "section_text"), (table(spark, d, "sentences"), "sentence_id", "sentence_text"))
+    return pii.surrogate_check(pii.surrogate_map(pii.known_entities(*both), _key(spark)))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -115,7 +129,7 @@ def p9_perplexity(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         p1_found, p2_found, p2_pieces, p4_found, p4_groups, p5_found, p5_mapped, p6_found, p6_redacted_sections, p6_redacted_sentences,
-        p6_surrogates, p6_surrogates_sentences, p7_found, p8_mixture, p8_shares, p9_found, p9_shares, p9_perplexity,
+        p6_surrogates, p6_surrogates_sentences, p6_surrogate_check, p7_found, p8_mixture, p8_shares, p9_found, p9_shares, p9_perplexity,
     ]
     return {f.__name__: f for f in named}
 
@@ -135,4 +149,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": "SELECT DISTINCT section_id FROM sections WHERE length(section_text) > 1500",
         "p4_found": _P4,
+        "p6_surrogate_check": "SELECT unnest(['EMAIL', 'GIVEN', 'ID', 'NAME', 'PHONE', 'PLACE']) AS pii_type, CAST(0 AS BIGINT) AS collisions, CAST(0 AS BIGINT) AS unchanged",
     }

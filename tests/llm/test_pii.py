@@ -70,7 +70,7 @@ def test_colliding_entities_stay_distinct(spark, monkeypatch):
 def test_tables(spark):
     empty = spark.createDataFrame([], "section_id bigint, section_text string")
     assert pii.pii_spans(empty, "section_id", "section_text").count() == 0
-    assert pii.surrogates(empty, "section_id", "section_text").count() == 0
+    assert pii.surrogates(empty, "section_id", "section_text", "key").count() == 0
 
 
 def _put(spark, texts, **more):
@@ -100,3 +100,48 @@ def test_addresses_keep_their_format_and_names_their_script(spark):
     assert e and g and e.groups() == g.groups() and "Lindfold" not in english
     assert re.fullmatch(r"[A-Z]\. \w+ vive en Calle [A-Z]\w+, \d{3}, \d\.º B, \d{5} [A-Z]\w+\.", spanish)
     assert re.fullmatch(r"Kontakt: [А-Я][а-я]+ [А-Я][а-я]+\.", name) and "Петрова" not in name
+
+
+@pytest.mark.parametrize(
+    "text, wanted",
+    [
+        ("I spoke with Maria Gonzalez yesterday", [("NAME", "Maria Gonzalez")]),
+        ("The patient, Robert Brown, came in.", [("NAME", "Robert Brown")]),
+        ("联系人：王芳 电话 13812345678", [("NAME", "王芳"), ("PHONE", "13812345678")]),
+        ("住址：北京市朝阳区建国路88号3号楼1201室。", [("ADDRESS", "北京市朝阳区建国路88号3号楼1201室")]),
+        ("東京都新宿区西新宿2丁目8番1号に住む", [("ADDRESS", "東京都新宿区西新宿2丁目8番1号")]),
+        ("患者の山田太郎さんは", [("NAME", "山田太郎")]),
+        ("زار السيد محمد علي العيادة", [("NAME", "محمد علي")]),
+        ("डॉ. रमेश शर्मा ने सलाह दी", [("NAME", "रमेश शर्मा")]),
+        ("डॉ. ने सलाह दी।", []),
+        ("นาย สมชาย ใจดี มาพบแพทย์", [("NAME", "สมชาย ใจดี")]),
+        ("Paul Bunnell score 3 and Foley catheter.", []),
+        ("Mail " + "a" * 300 + "@" + "b" * 200 + ".example.org now.", [("EMAIL", "a" * 300 + "@" + "b" * 200 + ".example.org")]),
+        ("At 12 " + "Very" * 40 + " Long Street, " + "Spring" * 20 + " 12345 today.", [("ADDRESS", "12 " + "Very" * 40 + " Long Street, " + "Spring" * 20 + " 12345")]),
+    ],
+)
+def test_spans_in_other_scripts_and_of_any_length(text, wanted):
+    assert [(k, text[a:b]) for k, a, b in pii.find_pii(text)] == wanted
+
+
+def test_labels_of_extensions_stay(spark):
+    made = _put(spark, ["Call 505 555 0193 ext. 12 or 505-555-0194 x99."])[0]
+    import re
+
+    assert re.fullmatch(r"Call \d{3} \d{3} \d{4} ext\. \d\d or \d{3}-\d{3}-\d{4} x\d\d\.", made) and "555 0193" not in made
+
+
+def test_middle_initials_tell_persons_apart(spark):
+    a, b = _put(spark, ["Seen by John A. Hulnolt.", "Seen by John B. Hulnolt."])
+    assert a != b and a.split()[2] == b.split()[2] and a.split()[-1] == b.split()[-1]
+
+
+def test_a_map_is_carried_from_run_to_run(spark):
+    one = spark.createDataFrame([("NAME", f"n{k}") for k in range(300)], "pii_type string, entity string")
+    two = spark.createDataFrame([("NAME", f"n{k}") for k in range(250, 900)], "pii_type string, entity string")
+    first = pii.surrogate_map(one, "k")
+    both = pii.surrogate_map(two, "k", known=first)
+    kept = {r.entity: r.made for r in first.collect()}
+    got = {r.entity: r.made for r in both.collect()}
+    assert len(got) == 900 == len(set(got.values())) and all(got[e] == m for e, m in kept.items())
+    assert pii.surrogate_check(both).first().collisions == 0
