@@ -1,15 +1,16 @@
 """Quantities recorded in different units, brought to one common unit per measured thing.
 
-Numbers and unit spellings are read out of free text and looked up in a lexicon of known units. A spelling outside it is
-taken for the one known unit that it resembles (one letter off, cut short or not), and for none otherwise, so that a row's
-result hangs on that row alone, never on how many others the table holds. ``spelling_check`` compares the values: for each
-spelling, those of the lexicon included, scale and offset against the best supported other unit of the same measured thing
-are estimated robustly from matching quantiles (medians of pairwise slopes and of what they leave), and a spelling whose
-conversion does not bring its values near the other's is reported. Values only advise: a stray word after a number whose
-unit was lost has the values of that lost unit, so no number of rows makes it a unit.
-
-Defined results: null or blank texts, texts without numbers and numbers without a usable unit give no quantity and are
-reported by ``unconverted``; repeated ids give one result; extra columns are ignored.
+Numbers and unit spellings are read out of free text. A spelling of the lexicon means its unit. A spelling outside it is a
+source of its own: it is taken for the one known unit that it resembles (one letter off, cut short or not), and else goes
+through the graph of sources: its values and those of every known unit of the same measured thing are linked by their
+quantiles (no row of the given tables stands for the same thing in two sources, see the README), scale and offset between
+the two are estimated robustly (medians of pairwise slopes and of what they leave) and snapped to the nearest known
+conversion, and the unit that the nearest source so proposes is taken if no other comes near it (``graph_units``). Only
+spellings that some row has in its unit column can be units, so a stray word after a number never becomes one.
+``spelling_check`` reports scale, offset and verdict of every spelling, those of the lexicon included.
+
+Defined results: null or blank texts, texts without numbers, with number words that are not read, and numbers without a
+usable unit give no quantity and are reported by ``unconverted``; repeated ids give one result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartloom.runtime import cut_lineage
@@ -90,12 +91,20 @@ def _known() -> tuple[dict, dict]:
 UNITS, SPELLINGS = _known()
 
 _WORDS = "|".join(sorted([*_ONES, *_TENS], key=len, reverse=True))
-_NUM = rf"(?:\d{{1,3}}(?:,\d{{3}})+(?!\d)(?:\.\d+)?|\d+(?:[.,]\d+)?|(?<!\d)\.\d+)"
+_SMALL = rf"(?:(?:{'|'.join(_TENS)})(?:[-\s](?:{'|'.join(_ONES[1:10])}))?|(?:{_WORDS}))"
+_HUNDRED = rf"(?:(?:{_SMALL}|a)\s+hundred(?:\s+(?:and\s+)?{_SMALL})?)"
+_SPELT = rf"(?:(?:{_HUNDRED}|{_SMALL}|a)\s+thousand(?:\s+(?:and\s+)?(?:{_HUNDRED}|{_SMALL}))?|{_HUNDRED}|{_SMALL})(?:\s+point(?:\s+(?:{'|'.join(_ONES[:10])}))+|\s+and\s+a\s+half)?"
+# A comma before exactly three digits groups thousands, and so do full stops before a decimal comma or another group.
+_NUM = r"(?:\d{1,3}(?:,\d{3})+(?!\d)(?:\.\d+)?|\d{1,3}(?:\.\d{3})+,\d+|\d{1,3}(?:\.\d{3}){2,}(?!\d)|\d+(?:[.,]\d+)?(?:e[+-]?\d{1,2}(?!\w))?|(?<!\d)\.\d+)"
 _NUMBER = re.compile(
     rf"(?<![\w.,:])(?:(?P<hours>\d{{1,3}}):(?P<minutes>[0-5]\d)(?![\d:])|(?P<whole>\d+)(?:\s*-\s*|\s+)?(?P<glyph>[¼½¾⅓⅔⅛⅜⅝⅞⅕])|(?P<glyph1>[¼½¾⅓⅔⅛⅜⅝⅞⅕])|(?:(?P<mix>\d+)[-\s])?(?P<top>\d+)[/⁄](?P<low>\d+)(?![\d/])|(?P<num>{_NUM})"
-    rf"|(?P<tens>{'|'.join(_TENS)})(?:[-\s](?P<ones>{'|'.join(_ONES[1:10])}))?\b|(?P<word>{_WORDS})\b)|(?<=[x×*–—-])(?P<num2>{_NUM})",
+    rf"|(?P<spelt>{_SPELT})\b)|(?<=[x×*–—-])(?P<num2>{_NUM})",
     re.I,
 )
+# Number words that are not read: a text with one of them gives no quantity rather than a wrong one.
+_UNREAD = re.compile(r"(?i)\b(?:hundreds?|thousands?|millions?|billions?|dozens?|couple|half|halves|quarters?|thirds?|tenths?|hundredths?|once|twice|thrice)\b")
+_POWER = re.compile(r"(?<=\d)\s*[x×*·]\s*10\s*(?:\^\s*([+-]?\d{1,2})|([⁺⁻]?[⁰¹²³⁴⁵⁶⁷⁸⁹]{1,2}))")
+_RAISED = str.maketrans("⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻", "0123456789+-")
 _UNIT = re.compile(r"\s*(?:(?:deg(?:rees?|\.)?|°|º)\s*)?(?P<unit>\"|''|”|[^\W\d_]+(?:/(?:\d+)?[^\W\d_]+|%)?|°|º)", re.I)
 # A multiplication sign between two dimensions, however it is set.
 _TIMES = re.compile(rf"(?i)(?<!\bsi)(?<=[\w.\"¼½¾⅓⅔⅛])\s*[x×*]\s*(?=\.?\d|[¼½¾⅓⅔⅛]|(?:{_WORDS})(?:[x×*\s]|$))")
@@ -135,23 +144,56 @@ def _value(m: re.Match) -> Fraction:
     if g["top"]:
         low = int(g["low"]) or 1
         return int(g["mix"] or 0) + Fraction(int(g["top"]), low)
-    if g["tens"]:
-        return Fraction(_TENS[g["tens"].lower()] + (_ONES.index(g["ones"].lower()) if g["ones"] else 0))
-    if g["word"]:
-        w = g["word"].lower()
-        return Fraction(_ONES.index(w) if w in _ONES else _TENS[w])
+    if g["spelt"]:
+        return _spelt(g["spelt"])
     n = g["num"] or g["num2"]
-    n = n.replace(",", "") if re.fullmatch(r"\d{1,3}(?:,\d{3})+(?:\.\d+)?", n) else n.replace(",", ".")
+    if re.fullmatch(r"\d{1,3}(?:\.\d{3})+,\d+|\d{1,3}(?:\.\d{3}){2,}", n):
+        n = n.replace(".", "").replace(",", ".")
+    elif re.fullmatch(r"\d{1,3}(?:,\d{3})+(?:\.\d+)?", n):
+        n = n.replace(",", "")
+    else:
+        n = n.replace(",", ".")
     return Fraction("0" + n if n.startswith(".") else n)
 
 
+def _spelt(words: str) -> Fraction:
+    """The value of number words."""
+    total = part = Fraction(0)
+    after = None
+    for w in re.split(r"[-\s]+", words.lower()):
+        if after is not None:
+            after *= 10
+            total += Fraction(_ONES.index(w), after)
+        elif w in _TENS:
+            part += _TENS[w]
+        elif w in _ONES:
+            part += _ONES.index(w)
+        elif w == "hundred":
+            part = max(part, Fraction(1)) * 100
+        elif w == "thousand":
+            total, part = max(part, Fraction(1)) * 1000, Fraction(0)
+        elif w == "half":
+            part += Fraction(1, 2)
+        elif w == "point":
+            total, part, after = total + part, Fraction(0), 1
+    return total + part
+
+
+def _negative(text: str, at: int) -> bool:
+    """Whether a minus sign stands right before a number and is no dash after another one or a word."""
+    return at > 0 and text[at - 1] in "-−" and not re.search(r"[\w.%°º)\"'¼½¾⅓⅔⅛]\s*$", text[: at - 1])
+
+
 def read_quantities(quantity: str, text: str | None, column: str | None) -> list[tuple[Fraction, str]]:
     """(number, unit spelling or name) of each quantity of a measurement text; spelling '' where none is to be had."""
     if not text:
         return []
+    text = _POWER.sub(lambda m: "e" + (m.group(1) or m.group(2).translate(_RAISED)), text)
     text = _TIMES.sub(" x ", _JOINED.sub(r"\1 ", text))
     found: list[list] = []  # number, unit text, end
+    rest = text
     for m in _NUMBER.finditer(text):
+        rest = rest[: m.start()] + " " * (m.end() - m.start()) + rest[m.end() :]
         u = _UNIT.match(text, m.end())
         raw = u.group("unit") if u else ""
         if raw and (_SEPARATOR.fullmatch(raw) and unit_of(quantity, raw) is None or raw.lower() == "x"):
@@ -166,7 +208,9 @@ def read_quantities(quantity: str, text: str | None, column: str | None) -> list
             raw = raw[:-1]
         if raw.lower() in ("diameter", "size", "approx", "about", "in", "of", "per", "daily") and unit_of(quantity, raw) is None:
             raw = ""
-        found.append([_value(m), raw, u.end() if raw and u else m.end(), m.start()])
+        found.append([-_value(m) if _negative(text, m.start()) else _value(m), raw, u.end() if raw and u else m.end(), m.start()])
+    if _UNREAD.search(rest):
+        return []
     out: list[list] = []
     for f in found:  # 5 h 10 min is one quantity
         if out and out[-1][1] and f[1]:
@@ -223,7 +267,8 @@ def conversions(reference: DataFrame) -> DataFrame:
 
 
 def read_table(df: DataFrame, reference: DataFrame, id_col: str = "meas_id") -> DataFrame:
-    """``id, measured, dim_no, number, unit``: the quantities of each row, one result per id."""
+    """``id, measured, dim_no, number, unit, listed``: the quantities of each row, one result per id; ``listed``: whether the
+    row's unit column has this unit."""
     kind = df.schema[id_col].dataType.simpleString()
     base = df.select(id_col, "measured", "measurement", "unit").dropDuplicates([id_col])
     joined = base.join(F.broadcast(reference.select("measured", "quantity").distinct()), "measured")
@@ -234,11 +279,11 @@ def read_table(df: DataFrame, reference: DataFrame, id_col: str = "meas_id") ->
             rows = []
             for i, measured, text, unit, quantity in zip(*(b.column(k).to_pylist() for k in range(5))):
                 for k, (value, u) in enumerate(read_quantities(quantity or "", text, unit), 1):
-                    rows.append({"id": i, "measured": measured, "dim_no": k, "number": float(value), "unit": u})
-            schema = schema or pa.schema([("id", b.schema.field(0).type), ("measured", pa.string()), ("dim_no", pa.int32()), ("number", pa.float64()), ("unit", pa.string())])
+                    rows.append({"id": i, "measured": measured, "dim_no": k, "number": float(value), "unit": u, "listed": u != "" and u == spelling(unit)})
+            schema = schema or pa.schema([("id", b.schema.field(0).type), ("measured", pa.string()), ("dim_no", pa.int32()), ("number", pa.float64()), ("unit", pa.string()), ("listed", pa.bool_())])
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return joined.select(id_col, "measured", "measurement", "unit", "quantity").mapInArrow(run, f"id {kind}, measured string, dim_no int, number double, unit string")
+    return joined.select(id_col, "measured", "measurement", "unit", "quantity").mapInArrow(run, f"id {kind}, measured string, dim_no int, number double, unit string, listed boolean")
 
 
 #: How far (natural log, median over the quantiles) values may lie from those of another unit; letters of the shortest
@@ -276,6 +321,52 @@ def resolve_spellings(spellings: DataFrame, known: DataFrame, reference: DataFra
     return fixed.unionByName(found.select("measured", "unit", "as_unit", "scale", "offset", F.lit("estimated").alias("origin")))
 
 
+def _middle(values):
+    return F.element_at(F.array_sort(values), F.greatest(F.lit(1), F.ceil(F.size(values) / 2).cast("int")))
+
+
+def _gap(q, scale, offset, base):
+    """Median |log ratio| of quantiles brought to another unit and that unit's own."""
+    floor = F.lit(1e-9)
+    return _middle(F.zip_with(q, base, lambda x, y: F.abs(F.log(F.greatest(x * scale + offset, floor) / F.greatest(y, floor)))))
+
+
+def _linked(q, base):
+    """(scale, offset) that bring the quantiles ``q`` to ``base``: the median of the slopes between pairs of quantiles, and
+    the median of what it leaves."""
+    at = [(i, j) for i in range(len(_QUANTILES)) for j in range(i)]
+    slopes = F.filter(F.array(*[F.try_divide(base[i] - base[j], q[i] - q[j]) for i, j in at]), lambda x: x.isNotNull())
+    scale = F.when(F.size(slopes) > 0, _middle(slopes))
+    return scale, _middle(F.zip_with(q, base, lambda x, y: y - x * scale))
+
+
+def graph_units(numbers: DataFrame, known: DataFrame, taken: DataFrame) -> DataFrame:
+    """``measured, unit, as_unit, scale, offset``: units of the spellings that stand in a unit column and are not in ``taken``
+    (measured, unit), by the graph of sources.
+
+    Each such spelling is linked with each known unit of its measured thing that has values (as many rows as there are known
+    units, which the lexicon bounds). An edge gives scale and offset of the two sources and is snapped to the conversion
+    between known units that comes nearest, which proposes a unit; each proposal has a gap. The unit of the least gap is
+    taken if that is at most SNAP and the next unit's lies farther than twice the standard error of the spelling's median:
+    few values leave more units possible than many, and none is taken while two are."""
+    source = numbers.where((F.col("unit") != "") & (F.col("number") > 0)).groupBy("measured", "unit")
+    source = source.agg(F.count("*").alias("rows"), F.percentile_approx("number", _QUANTILES, 2000).alias("q"), F.stddev_samp(F.log("number")).alias("spread"), F.bool_or("listed").alias("listed"))
+    lost = source.where("listed").join(taken.select("measured", "unit"), ["measured", "unit"], "left_anti")
+    anchors = source.join(known, ["measured", "unit"]).select("measured", F.col("unit").alias("anchor"), F.col("q").alias("base"), F.col("spread").alias("wide"), F.col("scale").alias("a_scale"), F.col("offset").alias("a_offset"))
+    edges = lost.join(anchors, "measured")
+    scale, offset = _linked(F.col("q"), F.col("base"))
+    edges = edges.withColumn("est_scale", scale).withColumn("est_offset", offset)
+    try_ = edges.join(known.select("measured", F.col("unit").alias("as_unit"), "scale", "offset"), "measured")
+    snap_scale, snap_offset = F.col("scale") / F.col("a_scale"), (F.col("offset") - F.col("a_offset")) / F.col("a_scale")
+    # an edge proposes the units whose conversion to the anchor brings the two sources together
+    try_ = try_.withColumn("gap", _gap(F.col("q"), snap_scale, snap_offset, F.col("base"))).withColumn("off", F.abs(F.log(F.greatest(F.col("est_scale"), F.lit(1e-12)) / snap_scale)))
+    each = try_.groupBy("measured", "unit", "as_unit").agg(F.min(F.struct("gap", "off")).alias("best"), F.first("rows").alias("rows"), F.max(F.coalesce("spread", "wide", F.lit(1.0))).alias("spread"), F.first("scale").alias("scale"), F.first("offset").alias("offset"))
+    w = Window.partitionBy("measured", "unit").orderBy("best", "as_unit")  # as many rows as there are known units
+    ranked = each.withColumn("n", F.row_number().over(w)).withColumn("next", F.lead("best.gap").over(w))
+    sure = F.col("next").isNull() | (F.col("next") - F.col("best.gap") > 2 * 1.2533 * F.col("spread") / F.sqrt("rows"))
+    return ranked.where((F.col("n") == 1) & (F.col("best.gap") <= SNAP) & sure).select("measured", "unit", "as_unit", "scale", "offset")
+
+
 def spelling_check(df: DataFrame, reference: DataFrame, id_col: str = "meas_id") -> DataFrame:
     """``measured, unit, as_unit, origin, rows, scale, offset, other, est_scale, est_offset, gap, nearest, verdict``.
 
@@ -292,16 +383,9 @@ def spelling_check(df: DataFrame, reference: DataFrame, id_col: str = "meas_id")
     best = mine.select("measured", "unit").join(anchors, "measured").where("unit <> other").groupBy("measured", "unit").agg(F.max_by(F.struct("other", "base"), F.struct("support", "other")).alias("a"))
     met = mine.join(best, ["measured", "unit"], "left").select("*", F.col("a.other").alias("other"), F.col("a.base").alias("base")).drop("a")
 
-    def middle(values):
-        return F.element_at(F.array_sort(values), F.greatest(F.lit(1), F.ceil(F.size(values) / 2).cast("int")))
-
-    def gap(scale, offset):
-        floor = F.lit(1e-9)
-        return middle(F.zip_with("q", "base", lambda x, y: F.abs(F.log(F.greatest(x * scale + offset, floor) / F.greatest(y, floor)))))
-
-    at = [(i, j) for i in range(len(_QUANTILES)) for j in range(i)]
-    slopes = F.filter(F.array(*[F.try_divide(F.col("base")[i] - F.col("base")[j], F.col("q")[i] - F.col("q")[j]) for i, j in at]), lambda x: x.isNotNull())
-    met = met.withColumn("est_scale", F.when(F.size(slopes) > 0, middle(slopes))).withColumn("est_offset", middle(F.zip_with("q", "base", lambda x, y: y - x * F.col("est_scale"))))
+    scale, offset = _linked(F.col("q"), F.col("base"))
+    met = met.withColumn("est_scale", scale).withColumn("est_offset", offset)
+    gap = lambda scale, offset: _gap(F.col("q"), scale, offset, F.col("base"))
     tried = met.where("other IS NOT NULL").select("measured", "unit", "q", "base").join(known.select("measured", F.col("unit").alias("try"), "scale", "offset"), "measured")
     nearest = tried.groupBy("measured", "unit").agg(F.min_by("try", F.struct(gap(F.col("scale"), F.col("offset")), "try")).alias("nearest"), F.min(gap(F.col("scale"), F.col("offset"))).alias("least"))
     met = met.join(nearest, ["measured", "unit"], "left").withColumn("gap", F.when(F.col("other").isNotNull() & F.col("scale").isNotNull(), gap(F.col("scale"), F.col("offset"))))
@@ -310,10 +394,13 @@ def spelling_check(df: DataFrame, reference: DataFrame, id_col: str = "meas_id")
 
 
 def convert(df: DataFrame, reference: DataFrame, id_col: str = "meas_id") -> DataFrame:
-    """``id_col, dim_no, number, unit, as_unit, origin, value`` (in the common unit) of each number that can be converted."""
+    """``id_col, dim_no, number, unit, as_unit, origin, value`` (in the common unit) of each number that can be converted.
+    ``origin``: `known` by the lexicon, `estimated` by the letters of the spelling, `graph` by its values."""
     known = conversions(reference).distinct()
     numbers = cut_lineage(read_table(df, reference, id_col))
-    done = numbers.join(resolve_spellings(numbers, known, reference), ["measured", "unit"])
+    found = resolve_spellings(numbers, known, reference)
+    found = found.unionByName(graph_units(numbers, known, found).withColumn("origin", F.lit("graph")))
+    done = numbers.join(found, ["measured", "unit"])
     return done.select(F.col("id").alias(id_col), "dim_no", "number", "unit", "as_unit", "origin", (F.col("number") * F.col("scale") + F.col("offset")).alias("value"))
 
 

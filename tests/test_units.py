@@ -78,3 +78,41 @@ def test_check_reports_contradictions_and_proposals(spark):
     assert {u: r.verdict for (_, u), r in got.items()} == {"mm": "agrees", "cm": "agrees", "m": "contradicts", "ctr": "proposed", "degC": "agrees", "degF": "agrees"}
     assert got["lesion size", "m"].nearest == "mm" and got["lesion size", "ctr"].as_unit is None and abs(got["lesion size", "cm"].est_scale - 10) < 1
     assert abs(got["temperature", "degF"].est_scale - 5 / 9) < 0.2
+
+
+@pytest.mark.parametrize(
+    "quantity, text, wanted",
+    [
+        ("weight", "one hundred and five kg", [(105.0, "kg")]),
+        ("length", "two hundred mm", [(200.0, "mm")]),
+        ("length", "a hundred by sixty-five mm", [(100.0, "mm"), (65.0, "mm")]),
+        ("volume", "one thousand two hundred ml", [(1200.0, "mL")]),
+        ("weight", "two point five kg", [(2.5, "kg")]),
+        ("duration", "one and a half hours", [(1.5, "h")]),
+        ("temperature", "-3.5 C", [(-3.5, "degC")]),
+        ("temperature", "36-38 C", [(36.0, "degC"), (38.0, "degC")]),
+        ("length", "5 -10 mm", [(5.0, "mm"), (10.0, "mm")]),
+        ("volume", "1.234,5 ml", [(1234.5, "mL")]),
+        ("volume", "1,234.5 ml", [(1234.5, "mL")]),
+        ("volume", "1.234.567 ml", [(1234567.0, "mL")]),
+        ("volume", "1.5e3 ml", [(1500.0, "mL")]),
+        ("volume", "1.5 x 10^3 ml", [(1500.0, "mL")]),
+        ("volume", "2 ×10³ ml", [(2000.0, "mL")]),
+        ("volume", "two dozen ml", []),
+        ("volume", "half a litre", []),
+        ("volume", "3 million ml", []),
+    ],
+)
+def test_number_words_signs_and_powers(quantity, text, wanted):
+    assert [(float(v), u) for v, u in units.read_quantities(quantity, text, None)] == wanted
+
+
+def test_a_spelling_without_resemblance_goes_through_the_graph(spark):
+    rows = [(i, "body weight", f"{60 + i % 50}", "kg") for i in range(150)] + [(200 + i, "body weight", f"{135 + i % 110}", "lb") for i in range(150)]
+    rows += [(400 + i, "body weight", f"{61 + i % 49}", "qz") for i in range(120)]
+    rows += [(600 + i, "temperature", str(35.5 + i % 40 / 10), "C") for i in range(80)] + [(700 + i, "temperature", str(96 + i % 72 / 10), "F") for i in range(80)] + [(800 + i, "temperature", str(96.1 + i % 70 / 10), "ff") for i in range(60)]
+    rows += [(900 + i, "body weight", f"{60 + i % 50} today", None) for i in range(60)]  # a stray word: in no unit column
+    rows += [(1000, "body weight", "122", "xx")]  # a value between two units
+    got = units.convert(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(REF, REF_SCHEMA))
+    by = {(r.unit, r.as_unit, r.origin): r["count"] for r in got.groupBy("unit", "as_unit", "origin").count().collect()}
+    assert by == {("kg", "kg", "known"): 150, ("lb", "lb", "known"): 150, ("qz", "kg", "graph"): 120, ("degC", "degC", "known"): 80, ("degF", "degF", "known"): 80, ("ff", "degF", "graph"): 60}
