@@ -55,6 +55,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_mapped(spark, d).select("rel_id", "slot_no", "cui")
 
 
+def p5_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Every entry within the threshold of each distinct value."""
+    slots = _slots(table(spark, d, "relations_normalized_ade"))
+    return canonical.entries_within(slots, "word", table(spark, d, "concept_ref"), "cui", ["canonical_name", "synonyms"])
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     parts = [("sections", "section_id", "section_text"), ("sentences", "sentence_id", "sentence_text")]
     found = [pii.pii_spans(table(spark, d, t), i, x).select(F.lit(t).alias("table_name"), "row_id", "pii_type", "start_pos", "end_pos") for t, i, x in parts]
@@ -128,7 +134,7 @@ def p9_perplexity(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
-        p1_found, p2_found, p2_pieces, p4_found, p4_groups, p5_found, p5_mapped, p6_found, p6_redacted_sections, p6_redacted_sentences,
+        p1_found, p2_found, p2_pieces, p4_found, p4_groups, p5_found, p5_mapped, p5_candidates, p6_found, p6_redacted_sections, p6_redacted_sentences,
         p6_surrogates, p6_surrogates_sentences, p6_surrogate_check, p7_found, p8_mixture, p8_shares, p9_found, p9_shares, p9_perplexity,
     ]
     return {f.__name__: f for f in named}
