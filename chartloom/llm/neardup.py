@@ -8,9 +8,10 @@ remaining overlap that parity bitmaps of the sets give (a lower bound of their s
 verified by walking a prefix tree of each probe's partners, sharing partial overlaps and pruning by remaining length.
 No step drops, caps or samples: the result equals the brute-force join.
 
-Frequencies: counted over all sets. The heaviest ``MOST_HEAVY`` n-grams (a fixed bound) are broadcast with their counts;
-the rest come before them in hash order. A group of one n-gram with many sets is split into block pairs, so no task holds
-more than two blocks of it.
+Frequencies: counted over all sets. The heaviest ``MOST_HEAVY`` n-grams (a fixed bound) are broadcast with their counts; of
+n-grams that are equally heavy at the bound, those of the lowest hashes. The rest come before them in hash order, and each
+counts as as heavy as the lightest of the heavy ones. A group of one n-gram with many sets is split into block pairs, so no
+task holds more than two blocks of it. The number of parts follows from the number of postings.
 
 Defined results: null, empty and short texts take part in no pair and get no class; repeated ids count once; exact copies
 are one class; texts are processed whole; extra columns are ignored.
@@ -32,8 +33,10 @@ from chartloom.llm.repetition import Hashes, mix
 from chartloom.runtime import cut_lineage, shuffle_parts
 
 WORD = re.compile(r"[^\W_]+")
-#: N-grams whose counts are broadcast at most (16 bytes each).
-MOST_HEAVY = 1 << 20
+#: N-grams whose counts are broadcast at most (16 bytes each), and counts from which they are told apart only roughly.
+MOST_HEAVY, EXACT = 1 << 20, 65535
+#: Postings of a part.
+PART = 4_000_000
 #: Sets of one n-gram's group at most before it is split into block pairs.
 BLOCK = 8192
 #: Bits of a set's parity bitmap: the first for sets of up to TIER n-grams, the next for twice as many, and so on.
@@ -44,7 +47,7 @@ SHARED = 4
 #: Counted n-grams held by a task before they are handed on.
 HELD = 2_000_000
 #: Partners per prefix tree of one probe, and shares into which a probe's partners are spread.
-TREE, SPREAD = 400, 4
+TREE, SPREAD = 400, 8
 _ODD = [np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B185EBCA87), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)]
 
 
@@ -116,13 +119,14 @@ class Order:
     """The global order of n-grams: those not among the heavy ones first, by hash; then the heavy ones by count and hash.
     A heavy n-gram is written as its rank (1 and up), any other as its hash with the top bit set."""
 
-    def __init__(self, h: np.ndarray, c: np.ndarray, complete: bool):
+    def __init__(self, h: np.ndarray, c: np.ndarray, complete: bool, others: int = 1):
         by = np.argsort(h)
         self.h = h[by]
         up = np.lexsort((self.h, c[by]))
         self.rank = np.empty(len(h), np.uint32)
         self.rank[up] = np.arange(1, len(h) + 1)
         self.count = np.concatenate([[1], c[by][up]])  # by rank
+        self.others = others  # how many sets an n-gram that is not heavy lies in at most
         self.complete = complete  # every n-gram of two sets is among the heavy ones: the others cannot be shared
 
     def split(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,17 +141,21 @@ class Order:
 
 def global_order(sets: DataFrame) -> Order:
     counts = cut_lineage(_counts(sets))
-    steps = counts.groupBy(F.least("c", F.lit(65535)).alias("c")).count().collect()  # at most 65,534 rows
-    room, cut = MOST_HEAVY, 65536
-    for c, k in sorted(((r["c"], r["count"]) for r in steps), reverse=True):
-        if k > room:
+    # exact counts up to EXACT, above it 64 steps for every doubling: some 70,000 levels at most
+    level = F.when(F.col("c") <= EXACT, F.col("c")).otherwise(EXACT + F.floor(64 * F.log2(F.col("c") / EXACT)))
+    steps = counts.groupBy(level.cast("bigint").alias("level")).agg(F.count("*").alias("k"), F.max("c").alias("top")).collect()
+    room, cut, share, others = MOST_HEAVY, 1 << 62, 0, 1
+    for level_, k, top in sorted(((r["level"], r["k"], r["top"]) for r in steps), reverse=True):
+        others = top
+        if k > room:  # of the level at the bound only a share of the hashes, a little less than there is room for
+            share = int(1024 * 0.95 * room / k)
             break
-        room, cut = room - k, c
-    lowest = min((r["c"] for r in steps), default=2)
-    heavy = counts.where(F.col("c") >= cut).toArrow() if cut <= 65535 else None
-    if heavy is None:
-        return Order(np.empty(0, np.uint64), np.empty(0, np.int64), not steps)
-    return Order(heavy.column("h").to_numpy().view(np.uint64), heavy.column("c").to_numpy(), cut <= lowest)
+        room, cut, others = room - k, level_, 1
+    low = F.pmod(F.xxhash64("h"), F.lit(1024)) < share
+    heavy = counts.where((level >= cut) | ((level == max((r["level"] for r in steps if r["level"] < cut), default=-1)) & low)).select("h", "c").toArrow()
+    if heavy.num_rows > MOST_HEAVY:
+        raise ValueError(f"{heavy.num_rows} heavy n-grams; at most {MOST_HEAVY} are sent")
+    return Order(heavy.column("h").to_numpy().view(np.uint64), heavy.column("c").to_numpy(), others == 1, others)
 
 
 def _thin(x: np.ndarray) -> bytes:
@@ -219,7 +227,7 @@ def _postings(coded: DataFrame, order, share: float, parts: int) -> DataFrame:
             keep = pos < probe[doc]
             g, doc, pos = g[keep], doc[keep], pos[keep]
             heavy = g < _TOP
-            count = np.ones(len(g), np.int64)
+            count = np.full(len(g), by_rank.others, np.int64)
             count[heavy] = by_rank.count[g[heavy].astype(np.int64)]
             # a hot n-gram: its sets fall into blocks, and every pair of blocks is a group of its own
             blocks = -(-count // BLOCK)
@@ -455,7 +463,8 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, words: int = 5, s
     sets = gram_sets(df, id_col, text_col, words, least_words)  # made twice: to be counted, and to be written in order
     order = spark.sparkContext.broadcast(global_order(sets))
     coded = cut_lineage(coded_sets(sets, order, df.schema[id_col].dataType.simpleString()))
-    parts = shuffle_parts(spark)
+    postings = coded.select((F.col("n") - F.ceil(F.col("n") * share - 1e-9) + SHARED).alias("p")).agg(F.sum("p").alias("p")).first()["p"] or 0
+    parts = shuffle_parts(spark, -(-int(postings) // PART))
     pairs = cut_lineage(_candidates(_postings(coded, order, share, parts), share, parts))
     used = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
     columns = ["n", "ranks", "rest"]
@@ -470,14 +479,18 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, words: int = 5, s
 
 
 def similar_pairs(df: DataFrame, id_col: str, text_col: str, words: int = 5, share: float = 0.8, least_words: int = 1) -> DataFrame:
-    """``id_a, id_b`` (id_a < id_b): all pairs of similar texts, those of equal sets included."""
+    """``id_a, id_b`` (id_a < id_b): all pairs of similar texts, those of equal sets included. ``similar_groups`` is the form
+    for collections with large classes of copies: its result grows with the texts, not with their pairs."""
     members, links = similar_classes(df, id_col, text_col, words, share, least_words)
     left = members.select(F.col("id").alias("x"), F.col("sig").alias("a"))
     right = members.select(F.col("id").alias("y"), F.col("sig").alias("b"))
     across = links.select("a", "b").join(left, "a").join(right, "b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     many = members.groupBy("sig").count().where("count > 1").select("sig")
     copies = members.join(many, "sig", "left_semi")
-    same = copies.select(F.col("id").alias("id_a"), "sig").join(copies.select(F.col("id").alias("id_b"), "sig"), "sig").where("id_a < id_b").select("id_a", "id_b")
+    # a class of copies, however large, is paired by SPREAD tasks: each its share of the left members with all right ones
+    left = copies.select(F.col("id").alias("id_a"), "sig", F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int").alias("s"))
+    right = copies.select(F.col("id").alias("id_b"), "sig", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("s"))
+    same = left.join(right, ["sig", "s"]).where("id_a < id_b").select("id_a", "id_b")
     return across.unionByName(same)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chartloom.llm import canonical, leakage, mixing, neardup, pii, repetition, sentences, splitting
@@ -21,13 +21,25 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.split_oversized(table(spark, d, "sections"), "section_id", "section_text").select("section_id").distinct()
+    return splitting.split_oversized(table(spark, d, "sections"), "section_id", "section_text", with_text=False).select("section_id").distinct()
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "sections"), "section_id", "section_text")
 
 
+def p2_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Of each split section whether its pieces keep the limit, cover the text from end to end and overlap by about 150."""
+    sections = table(spark, d, "sections")
+    pieces = splitting.split_oversized(sections, "section_id", "section_text", with_text=False)
+    size = sections.groupBy("section_id").agg(F.max(F.length("section_text")).alias("n"))
+    place = Window.partitionBy("section_id").orderBy("piece_no")
+    p = pieces.withColumn("met", F.lag("piece_end").over(place) - F.col("piece_start"))
+    seen = p.groupBy("section_id").agg(
+        F.max(F.col("piece_end") - F.col("piece_start")).alias("longest"), F.min("piece_start").alias("first"), F.max("piece_end").alias("last"), F.min("met").alias("least"), F.max("met").alias("most"))
+    return seen.join(size, "section_id").select("section_id", (F.col("longest") <= 1500).alias("within"), ((F.col("first") == 0) & (F.col("last") == F.col("n"))).alias("whole"), ((F.col("least") >= 100) & (F.col("most") <= 200)).alias("overlap"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = neardup.similar_pairs(table(spark, d, "sections"), "section_id", "section_text", words=3, share=0.6, least_words=40)
     return pairs.select(F.col("id_a").alias("section_id_a"), F.col("id_b").alias("section_id_b"))
@@ -120,6 +132,12 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixed, plan, sizes)
 
 
+def p8_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each listed source meets its share and keeps its repeats."""
+    mixed, plan, sizes = _mixture(spark, d)
+    return mixing.targets_met(mixing.shares(mixed, plan, sizes), plan)
+
+
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repeated_share(table(spark, d, "documents"), "doc_id", "text")
 
@@ -134,8 +152,8 @@ def p9_perplexity(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
-        p1_found, p2_found, p2_pieces, p4_found, p4_groups, p5_found, p5_mapped, p5_candidates, p6_found, p6_redacted_sections, p6_redacted_sentences,
-        p6_surrogates, p6_surrogates_sentences, p6_surrogate_check, p7_found, p8_mixture, p8_shares, p9_found, p9_shares, p9_perplexity,
+        p1_found, p2_found, p2_pieces, p2_quality, p4_found, p4_groups, p5_found, p5_mapped, p5_candidates, p6_found, p6_redacted_sections, p6_redacted_sentences,
+        p6_surrogates, p6_surrogates_sentences, p6_surrogate_check, p7_found, p8_mixture, p8_shares, p8_targets, p9_found, p9_shares, p9_perplexity,
     ]
     return {f.__name__: f for f in named}
 
@@ -154,6 +172,8 @@ SELECT section_id_a, section_id_b FROM p WHERE met >= 0.6 * (na + nb - met)
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": "SELECT DISTINCT section_id FROM sections WHERE length(section_text) > 1500",
+        "p2_quality": "SELECT section_id, true AS within, true AS whole, true AS overlap FROM sections GROUP BY section_id HAVING max(length(section_text)) > 1500",
         "p4_found": _P4,
+        "p8_targets": r"SELECT DISTINCT t.source, true AS met, true AS repeats_kept FROM (SELECT regexp_replace(lower(trim(source)), '[\s_-]+', '_', 'g') AS source FROM mix_targets WHERE max_repeats > 0) t JOIN (SELECT regexp_replace(lower(trim(source)), '[\s_-]+', '_', 'g') AS source FROM documents WHERE trim(text) <> '') d ON d.source = t.source",
         "p6_surrogate_check": "SELECT unnest(['EMAIL', 'GIVEN', 'ID', 'NAME', 'PHONE', 'PLACE']) AS pii_type, CAST(0 AS BIGINT) AS collisions, CAST(0 AS BIGINT) AS unchanged",
     }

@@ -105,7 +105,7 @@ def split_text(text: str, size: int = 1500, overlap: int = 150) -> list[tuple[in
             c = best[i] + prices[j] + BALANCE * ((length - ideal) / ideal) ** 2
             if c < best[j]:
                 best[j], back[j] = c, i
-        # ends[j] may depend on the path through starts; a better path found later re-enters with its own start
+        # a node is left only once all nodes before it are done, so its best path, and with it its start, is settled
     out, j = [], len(ends) - 1
     if best[j] == float("inf"):
         return _plain(text, size, overlap)
@@ -118,7 +118,8 @@ def split_text(text: str, size: int = 1500, overlap: int = 150) -> list[tuple[in
 
 
 def _plain(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
-    """Pieces of full size, for texts whose boundaries leave no path."""
+    """Pieces of full size, cut at single characters: the way out for texts with no place to cut within a piece's reach
+    (``boundaries`` adds single characters, so that only runs of combining marks longer than a piece leave none)."""
     out, at = [], 0
     while at + size < len(text):
         out.append((at, at + size))
@@ -126,19 +127,20 @@ def _plain(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
     return [*out, (at, len(text))]
 
 
-def split_oversized(df: DataFrame, id_col: str, text_col: str, size: int = 1500, overlap: int = 150, only_oversized: bool = True) -> DataFrame:
-    """``id_col, piece_no, piece_start, piece_end, piece_text``: the pieces of each text (of more than ``size`` characters)."""
+def split_oversized(df: DataFrame, id_col: str, text_col: str, size: int = 1500, overlap: int = 150, only_oversized: bool = True, with_text: bool = True) -> DataFrame:
+    """``id_col, piece_no, piece_start, piece_end`` and, unless ``with_text`` is off, ``piece_text``: the pieces of each text
+    (of more than ``size`` characters). Repeated ids are dropped by id; without texts only the places cross the network."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        struct = pa.list_(pa.struct([("piece_start", pa.int32()), ("piece_end", pa.int32()), ("piece_text", pa.string())]))
+        struct = pa.list_(pa.struct([("piece_start", pa.int32()), ("piece_end", pa.int32())] + ([("piece_text", pa.string())] if with_text else [])))
         for b in batches:
-            rows = [[{"piece_start": s, "piece_end": e, "piece_text": t[s:e]} for s, e in split_text(t, size, overlap)] for t in b.column(1).to_pylist()]
+            rows = [[{"piece_start": s, "piece_end": e} | ({"piece_text": t[s:e]} if with_text else {}) for s, e in split_text(t, size, overlap)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, struct)], names=["id", "pieces"])
 
     texts = df.select(F.col(id_col), F.col(text_col)).where(F.col(text_col).isNotNull())
     if only_oversized:
         texts = texts.where(F.length(text_col) > size)
-    found = texts.mapInArrow(run, f"id {kind}, pieces array<struct<piece_start:int,piece_end:int,piece_text:string>>")
+    found = texts.mapInArrow(run, f"id {kind}, pieces array<struct<piece_start:int,piece_end:int{',piece_text:string' if with_text else ''}>>")
     one = found.groupBy("id").agg(F.first("pieces").alias("pieces"))
     return one.select(F.col("id").alias(id_col), F.posexplode("pieces").alias("piece_no", "p")).select(id_col, "piece_no", "p.*")
