@@ -163,45 +163,61 @@ def _discounts(df: DataFrame, count: str) -> DataFrame:
     return d.select("lang", *[F.least(cut(k), F.lit(k - 0.05)).alias(f"d{k}") for k in (1, 2, 3)])
 
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
+#: A context is hot if more than this share of all n-grams has it (so at most 1 / HOT are); tasks among which it is dealt.
+HOT, SALTS = 0.001, 16
+
+
+def skewed_join(left: DataFrame, right: DataFrame, on: list[str], rows: str) -> DataFrame:
+    """``left`` joined with the one row of ``right`` of each key. ``rows``: the column of ``right`` that says how many rows of
+    ``left`` meet it. The hot keys, at most 1 / HOT of them, are broadcast; their rows are dealt out over SALTS tasks, each
+    with a copy of the right row. The column stays out of the result."""
+    total = right.agg(F.sum(rows).alias("total")).scalar()
+    hot = F.broadcast(right.where(F.col(rows) > HOT * total).select(*on, F.lit(True).alias("hot")))
+    share = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
+    dealt = left.join(hot, on, "left").withColumn("salt", F.when(F.col("hot"), share).otherwise(0)).drop("hot")
+    copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copied = right.join(hot, on, "left").withColumn("salt", F.explode(copies)).drop("hot", rows)
+    return dealt.join(copied, [*on, "salt"]).drop("salt")
+
+
+def kneser_ney(counts: DataFrame, cut_lineage=lambda d: d) -> DataFrame:
     """``lang, h1, h2, h3, logp`` of every counted trigram under interpolated modified Kneser-Ney.
 
     ``counts``: lang, h1, h2, h3, n summed over the corpus. The lower orders use continuation counts. Everything is joins
-    and sums of counted n-grams, so cost follows the number of different n-grams, not the corpus. Discount tables have one
-    row per language; unigram totals are one row per language.
+    and sums of counted n-grams, so cost follows the number of different n-grams, not the corpus; contexts that very many
+    n-grams share are split. Discount tables have one row per language; unigram totals are one row per language.
     """
-    bi = counts.groupBy("lang", "h2", "h3").agg(F.count("*").alias("c2"))  # different words before (h2, h3)
+    bi = cut_lineage(counts.groupBy("lang", "h2", "h3").agg(F.count("*").alias("c2")))  # different words before (h2, h3)
     uni = bi.groupBy("lang", "h3").agg(F.count("*").alias("c1"))  # different words before h3
     total = uni.groupBy("lang").agg(F.sum("c1").alias("t1"), F.count("*").alias("v1"))
     d3, d2 = _discounts(counts, "n"), _discounts(bi, "c2")
     cut = lambda c: F.when(F.col(c) == 1, F.col("d1")).when(F.col(c) == 2, F.col("d2")).otherwise(F.col("d3"))
-    p1 = uni.join(F.broadcast(total), "lang").select("lang", "h3", ((F.col("c1") + 0.5) / (F.col("t1") + 0.5 * F.col("v1"))).alias("p1"))
-    ctx2 = bi.join(F.broadcast(d2), "lang").groupBy("lang", "h2").agg(F.sum("c2").alias("s2"), F.sum(cut("c2")).alias("g2"))
-    p2 = (
-        bi.join(F.broadcast(d2), "lang").withColumn("own", F.greatest(F.col("c2") - cut("c2"), F.lit(0.0))).drop("d1", "d2", "d3")
-        .join(ctx2, ["lang", "h2"]).join(p1, ["lang", "h3"])
-        .select("lang", "h2", "h3", ((F.col("own") + F.col("g2") * F.col("p1")) / F.col("s2")).alias("p2"))
-    )
-    three = counts.join(F.broadcast(d3), "lang").withColumn("gone", cut("n")).drop("d1", "d2", "d3")
-    ctx3 = three.groupBy("lang", "h1", "h2").agg(F.sum("n").alias("s3"), F.sum("gone").alias("g3"))
-    return (
-        three.join(ctx3, ["lang", "h1", "h2"]).join(p2, ["lang", "h2", "h3"])
-        .select("lang", "h1", "h2", "h3", F.log((F.greatest(F.col("n") - F.col("gone"), F.lit(0.0)) + F.col("g3") * F.col("p2")) / F.col("s3")).alias("logp"))
-    )
+    p1 = uni.join(F.broadcast(total), "lang").select("lang", "h3", "c1", ((F.col("c1") + 0.5) / (F.col("t1") + 0.5 * F.col("v1"))).alias("p1"))
+    two = bi.join(F.broadcast(d2), "lang").withColumn("gone", cut("c2")).drop("d1", "d2", "d3")
+    ctx2 = two.groupBy("lang", "h2").agg(F.sum("c2").alias("s2"), F.sum("gone").alias("g2"), F.count("*").alias("rows"))
+    own = F.greatest(F.col("c2") - F.col("gone"), F.lit(0.0))
+    p2 = skewed_join(skewed_join(two, ctx2, ["lang", "h2"], "rows"), p1, ["lang", "h3"], "c1")
+    p2 = cut_lineage(p2.select("lang", "h2", "h3", ((own + F.col("g2") * F.col("p1")) / F.col("s2")).alias("p2"), F.col("c2").alias("rows")))
+    three = counts.select("lang", "h1", "h2", "h3", "n").join(F.broadcast(d3), "lang").withColumn("gone", cut("n")).drop("d1", "d2", "d3")
+    ctx3 = cut_lineage(three.groupBy("lang", "h1", "h2").agg(F.sum("n").alias("s3"), F.sum("gone").alias("g3"), F.count("*").alias("rows")))
+    full = skewed_join(skewed_join(three, ctx3, ["lang", "h1", "h2"], "rows"), p2, ["lang", "h2", "h3"], "rows")
+    own = F.greatest(F.col("n") - F.col("gone"), F.lit(0.0))
+    return full.select("lang", "h1", "h2", "h3", F.log((own + F.col("g3") * F.col("p2")) / F.col("s3")).alias("logp"))
 
 
 def perplexity_bands(df: DataFrame, id_col: str, text_col: str, lang_col: str, lower: float = 0.02, upper: float = 0.98, cut_lineage=lambda d: d) -> DataFrame:
     """``id_col, lang, n_words, perplexity, verdict``: verdict ``low``, ``high`` or ``kept`` by the language's own bands.
 
     The bands are the ``lower`` and ``upper`` quantiles (to 1/10000 of the rows) of the language's documents. The model is
-    joined by trigram; hot trigrams are summed per document before the join and spread by all three words.
+    joined by trigram; trigrams are summed per document before the join, and those of very many documents are split.
     """
     lang = F.regexp_extract(F.lower(F.trim(F.coalesce(F.col(lang_col), F.lit("")))), "^[a-z]{2}", 0)
     base = df.select(F.col(id_col), F.when(lang == "", "und").otherwise(lang).alias("lang"), F.col(text_col)).where(F.col(text_col).isNotNull())
-    seen = cut_lineage(_ngrams(base, id_col, text_col, "lang", True).groupBy("id", "lang", "h1", "h2", "h3").agg(F.max("n").alias("n")))
-    counts = seen.groupBy("lang", "h1", "h2", "h3").agg(F.sum("n").alias("n"))
-    model = kneser_ney(counts)
-    score = seen.join(model, ["lang", "h1", "h2", "h3"]).groupBy("id", "lang").agg(F.sum("n").alias("n_words"), F.sum(F.col("n") * F.col("logp")).alias("lp"))
+    gram = ["lang", "h1", "h2", "h3"]
+    seen = cut_lineage(_ngrams(base, id_col, text_col, "lang", True).groupBy("id", *gram).agg(F.max("n").alias("n")))
+    counts = cut_lineage(seen.groupBy(*gram).agg(F.sum("n").alias("n"), F.count("*").alias("docs")))
+    model = cut_lineage(kneser_ney(counts, cut_lineage).join(counts.select(*gram, "docs"), gram))
+    score = skewed_join(seen, model, gram, "docs").groupBy("id", "lang").agg(F.sum("n").alias("n_words"), F.sum(F.col("n") * F.col("logp")).alias("lp"))
     score = score.select("id", "lang", "n_words", F.exp(-F.col("lp") / F.col("n_words")).alias("perplexity"))
     bands = score.groupBy("lang").agg(F.percentile_approx("perplexity", [lower, upper], 10000).alias("band"))
     verdict = F.when(F.col("perplexity") < F.col("band")[0], "low").when(F.col("perplexity") > F.col("band")[1], "high").otherwise("kept")

@@ -44,3 +44,12 @@ def test_bands(spark):
     got = {x.doc_id: x for x in rp.perplexity_bands(spark.createDataFrame(usual + odd, "doc_id bigint, text string, lang string"), "doc_id", "text", "lang").collect()}
     assert got[100].verdict == "high" and got[100].perplexity > got[0].perplexity and got[0].verdict == "kept"
     assert rp.perplexity_bands(spark.createDataFrame([], "doc_id bigint, text string, lang string"), "doc_id", "text", "lang").count() == 0
+
+
+def test_hot_keys_change_nothing(spark, monkeypatch):
+    left = spark.createDataFrame([("a", k % 3 if k % 2 else 0, k) for k in range(200)], "lang string, h int, v int")
+    right = left.groupBy("lang", "h").count().withColumnRenamed("count", "rows").selectExpr("lang", "h", "h * 10 as x", "rows")
+    plain = sorted(tuple(r) for r in left.join(right.drop("rows"), ["lang", "h"]).select("lang", "h", "v", "x").collect())
+    for hot in (0.001, 0.3, 2.0):
+        monkeypatch.setattr(rp, "HOT", hot)
+        assert sorted(tuple(r) for r in rp.skewed_join(left, right, ["lang", "h"], "rows").select("lang", "h", "v", "x").collect()) == plain
