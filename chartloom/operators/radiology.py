@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.functions.text import finding_relation, measurements, negations, severity
@@ -18,14 +18,16 @@ def first_sentence(sentences: DataFrame) -> DataFrame:
 
 def finding_pairs(entities: DataFrame, sentences: DataFrame) -> DataFrame:
     """All pairs of a sentence's entities in their order, with the relation that the sentence's cues give. The pairs of a
-    sentence are its result by definition, and bounded by its length."""
-    w = Window.partitionBy("note_id", "sentence_index").orderBy(*TOTAL)
-    e = entities.select("note_id", "hadm_id", "sentence_index", *TOTAL).withColumn("ord", F.row_number().over(w))
-    a = e.select("note_id", "hadm_id", "sentence_index", F.col("word").alias("entity_1"), F.col("entity_group").alias("entity_type_1"), F.col("ord").alias("ord_1"))
-    b = e.select("note_id", "sentence_index", F.col("word").alias("entity_2"), F.col("entity_group").alias("entity_type_2"), F.col("ord").alias("ord_2"))
-    pairs = a.join(b, ["note_id", "sentence_index"]).where("ord_1 < ord_2")
-    j = pairs.join(first_sentence(sentences), ["note_id", "sentence_index"], "left")
-    return j.withColumn("relation_type", finding_relation(F.col("context"))).drop("context").withColumn("confidence", F.lit(PAIR_CONFIDENCE))
+    sentence are its result by definition, and bounded by its length; they are made where its entities have come together,
+    in one shuffle."""
+    spans = entities.groupBy("note_id", "sentence_index").agg(F.array_sort(F.collect_list(F.struct(*TOTAL, "hadm_id"))).alias("spans"))
+    j = spans.where(F.size("spans") > 1).join(first_sentence(sentences), ["note_id", "sentence_index"], "left").withColumn("relation_type", finding_relation(F.col("context")))
+    left = j.select("note_id", "sentence_index", "relation_type", "spans", F.posexplode("spans").alias("i", "a"))
+    pairs = left.select("note_id", "sentence_index", "relation_type", "a", (F.col("i") + 1).alias("ord_1"), F.posexplode(F.slice("spans", F.col("i") + 2, F.size("spans"))).alias("k", "b"))
+    return pairs.select(
+        "note_id", "sentence_index", "a.hadm_id", F.col("a.word").alias("entity_1"), F.col("a.entity_group").alias("entity_type_1"), "ord_1", F.col("b.word").alias("entity_2"), F.col("b.entity_group").alias("entity_type_2"),
+        (F.col("ord_1") + 1 + F.col("k")).alias("ord_2"), "relation_type", F.lit(PAIR_CONFIDENCE).alias("confidence"),
+    )
 
 
 def finding_relations(entities: DataFrame, sentences: DataFrame) -> DataFrame:
@@ -55,12 +57,12 @@ def radiology_edges(pairs: DataFrame, severities: DataFrame, subjects: DataFrame
     A severity is looked up under the finding in lower case and, if that is not there, as it is written. ``subjects``
     (note_id, subject_id; one row per note) adds the patient."""
     rows = pairs.where(F.col("relation_type").isNotNull() & (F.col("confidence") >= LEAST_CONFIDENCE) & (F.trim("entity_1") != "") & (F.trim("entity_2") != ""))
-    out = rows
+    # a note's words are bounded by its length: one map per note and one join answer all four look-ups
+    of_note = severities.where(F.col("word").isNotNull()).groupBy("note_id", "word").agg(F.max("severity").alias("severity")).groupBy("note_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "severity"))).alias("known"))
+    out = rows.join(of_note, "note_id", "left")
     for k, side in ((1, "source"), (2, "target")):
-        out = out.withColumn(f"raw_{k}", F.trim(f"entity_{k}")).withColumn(f"entity_{k}", F.lower(F.trim(f"entity_{k}")))
-        for key, name in ((f"entity_{k}", "low"), (f"raw_{k}", "as_is")):
-            out = out.join(severities.select("note_id", F.col("word").alias(key), F.col("severity").alias(f"{name}_{k}")), ["note_id", key], "left")
-        out = out.withColumn(f"{side}_severity", F.coalesce(f"low_{k}", f"as_is_{k}"))
+        raw = F.trim(f"entity_{k}")
+        out = out.withColumn(f"{side}_severity", F.coalesce(F.col("known")[F.lower(raw)], F.col("known")[raw])).withColumn(f"entity_{k}", F.lower(raw))
     who = []
     if subjects is not None:
         out, who = out.join(subjects.select("note_id", "subject_id"), "note_id", "left"), ["subject_id"]

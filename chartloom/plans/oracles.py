@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from chartloom.plans.fixtures import DIAG, ENT, GEM, KB, NOTES, REL, RX, SENT, cte
 
+# The word lists, patterns and numbers in the SQL below are those of the operators, written out once more.
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
 
