@@ -87,21 +87,21 @@ def drop_unlinked_units(entities: DataFrame) -> DataFrame:
     """Strength and dosage spans only where their sentence holds a drug."""
     label = norm("entity_group")
     sentence = Window.partitionBy("note_id", "sentence_index")
-    with_flag = entities.withColumn("has_drug", F.max(F.coalesce(label == "drug", F.lit(False))).over(sentence))
-    return with_flag.where(~F.coalesce(label.isin(UNITS_REQUIRING_DRUG), F.lit(False)) | F.col("has_drug")).drop("has_drug")
+    with_flag = entities.withColumn("_has_drug", F.max(F.coalesce(label == "drug", F.lit(False))).over(sentence))
+    return with_flag.where(~F.coalesce(label.isin(UNITS_REQUIRING_DRUG), F.lit(False)) | F.col("_has_drug")).drop("_has_drug")
 
 
 def polish_entities(entities: DataFrame, tags: DataFrame | None = None) -> DataFrame:
     """Word pieces, short words, noise and stop words out; disease-like treatments become problems; units need a drug;
     words in lower case. ``tags`` (word, tag, is_stop of single words, see ``models.word_tags``): single words with a noise
     tag, and stop words that are treatments or problems, go too."""
-    e = entities.where(~F.col("word").contains("##") & (F.length("word") > 2)).withColumn("label", norm("entity_group"))
-    e = e.where(~F.col("label").contains("label")).where(~is_noise_entity(F.col("word"))).where(~is_low_information(F.col("word"), F.col("label")))
+    e = entities.where(~F.col("word").contains("##") & (F.length("word") > 2)).withColumn("_label", norm("entity_group"))
+    e = e.where(~F.col("_label").contains("label")).where(~is_noise_entity(F.col("word"))).where(~is_low_information(F.col("word"), F.col("_label")))
     if tags is not None:
-        e = e.withColumn("single", norm("word")).join(tags.select(F.col("word").alias("single"), "tag", "is_stop"), "single", "left")
-        stop = F.col("label").isin("treatment", "problem") & F.col("is_stop")
-        e = e.where(~F.coalesce(F.col("tag").isin(NOISE_TAGS), F.lit(False)) & ~F.coalesce(stop, F.lit(False))).drop("single", "tag", "is_stop")
-    e = e.withColumn("entity_group", F.when((F.col("label") == "treatment") & is_disease_term(F.col("word")), "problem").otherwise(F.col("entity_group"))).drop("label")
+        e = e.withColumn("_single", norm("word")).join(tags.select(F.col("word").alias("_single"), F.col("tag").alias("_tag"), F.col("is_stop").alias("_stop")), "_single", "left")
+        stop = F.col("_label").isin("treatment", "problem") & F.col("_stop")
+        e = e.where(~F.coalesce(F.col("_tag").isin(NOISE_TAGS), F.lit(False)) & ~F.coalesce(stop, F.lit(False))).drop("_single", "_tag", "_stop")
+    e = e.withColumn("entity_group", F.when((F.col("_label") == "treatment") & is_disease_term(F.col("word")), "problem").otherwise(F.col("entity_group"))).drop("_label")
     return drop_unlinked_units(e).withColumn("word", norm("word"))
 
 
@@ -113,7 +113,7 @@ def in_order(entities: DataFrame) -> DataFrame:
 def dedupe_entities(entities: DataFrame, per: list[str]) -> DataFrame:
     """The first row (by start, end and the other columns) of each word in any case and label."""
     w = Window.partitionBy(*per, F.lower("word"), "entity_group").orderBy(*TOTAL, "sentence_index")
-    return entities.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    return entities.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def verify_drugs(entities: DataFrame, prescriptions: DataFrame, label: str = "CHEMICAL") -> DataFrame:

@@ -126,12 +126,12 @@ def icd_map(diagnoses: DataFrame, crosswalk: DataFrame, order: str | None = None
     broadcasts it while it is small."""
     order = order or ("line_no" if "line_no" in crosswalk.columns else None)
     placed = crosswalk.withColumn("at", F.col(order) if order else F.monotonically_increasing_id())
-    last = placed.groupBy("icd9_code").agg(F.max_by("icd10_code", "at").alias("icd10_code"))
-    d = diagnoses.withColumn("stripped", strip_ws(F.col("icd_code")))
+    last = placed.groupBy(F.col("icd9_code").alias("_nine")).agg(F.max_by("icd10_code", "at").alias("_ten"))
+    d = diagnoses.select("subject_id", "hadm_id", "seq_num", "icd_code", "icd_version", strip_ws(F.col("icd_code")).alias("_stripped"))
     nine = F.col("icd_version") == "9"
-    j = d.join(last, nine & (F.col("stripped") == F.col("icd9_code")), "left")
-    hit = F.col("icd10_code").isNotNull()
-    code = F.when(nine & hit, F.col("icd10_code")).when(nine, F.col("stripped")).otherwise(F.col("icd_code"))
+    j = d.join(last, nine & (F.col("_stripped") == F.col("_nine")), "left")
+    hit = F.col("_ten").isNotNull()
+    code = F.when(nine & hit, F.col("_ten")).when(nine, F.col("_stripped")).otherwise(F.col("icd_code"))
     version = F.when(nine & hit, "10").otherwise(F.col("icd_version"))
     return j.select("subject_id", "hadm_id", "seq_num", code.alias("icd_code"), version.alias("icd_version"), F.coalesce(F.when(F.col("icd_version") == "10", False).when(nine, ~hit), F.lit(True)).alias("is_unmapped"))
 

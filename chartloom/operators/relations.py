@@ -33,7 +33,7 @@ def pair_dedup(pairs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """The first pair of each (note, keys, start_1, start_2), by the left row, then the right row."""
     order = [f"{c}_{s}" for s in (1, 2) for c in _ENTITY]
     w = Window.partitionBy("note_id", *keys, "start_1", "start_2").orderBy(*order)
-    return pairs.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    return pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def candidate_pairs(entities: DataFrame, sentences: DataFrame, types: list[str], window: int, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -132,3 +132,34 @@ def test_misspelt_mentions_find_concepts(spark):
     m = spark.createDataFrame([("pneumonias", "problem", "TREATS"), ("sepsis", "problem", "TREATS"), ("zzz", "problem", "TREATS"), (None, "problem", "TREATS")], "word string, entity_group string, relation_type string")
     got = {r.word: r.cui for r in ontology.link_concepts(m, ontology.with_resembling(kb, m), "target").collect()}
     assert got == {"pneumonias": "P", "sepsis": "S", "zzz": "UNMAPPED", None: "UNMAPPED"}
+
+
+def test_extra_columns_with_clashing_names_stay(spark):
+    from pyspark.sql import functions as F
+
+    from chartloom.functions import models
+    from chartloom.operators import notes
+
+    odd = {c: F.lit("mine") for c in ("label", "n", "has_drug", "tag", "is_stop", "single", "bucket", "spans", "prio", "med", "m", "salt")}
+    e = ents(spark, ("n", 0, "DRUG", "aspirin", 0, 5, 1.0, "Med7"), ("n", 0, "problem", "rash", 9, 12, 1.0, "x"), ("n", 0, "problem", "sepsis", 14, 19, 1.0, "x")).withColumns(odd)
+    s = spark.createDataFrame([("n", 1, 0, "HPI", 0, "rash due to aspirin")], schemas.SENTENCES).withColumns(odd)
+    models.register("verbs", lambda: lambda words: [("VERB" if w == "sepsis" else "NOUN", False) for w in words])
+    polished = entities.polish_entities(e, models.word_tags(e, "verbs"))
+    assert {(r.word, r.label, r.n, r.tag) for r in polished.collect()} == {("aspirin", "mine", "mine", "mine"), ("rash", "mine", "mine", "mine")}
+    assert entities.merge_entities(e).count() == 3 and entities.dedupe_entities(e, ["note_id"]).first()["n"] == "mine"
+    assert relations.relaxed_fallback(e, s).count() == 2
+    assert radiology.radiology_edges(radiology.finding_pairs(e, s), radiology.severity_map(e, s)).count() == 3
+    assert entities.verify_drugs(e, spark.createDataFrame([(1, "Aspirin EC")], schemas.PRESCRIPTIONS).withColumns(odd), "DRUG").first()["status"] == "Verified"
+    d = spark.createDataFrame([(1, 1, 1, "4019", "9")], schemas.DIAGNOSES).withColumns({"icd9_code": F.lit("x"), "icd10_code": F.lit("y"), "at": F.lit(1)})
+    assert notes.icd_map(d, spark.createDataFrame([("4019", "I10")], schemas.CROSSWALK)).first()["icd_code"] == "I10"
+
+
+def test_new_operators_on_empty_tables(spark):
+    e, s = spark.createDataFrame([], schemas.ENTITIES), spark.createDataFrame([], schemas.SENTENCES)
+    edges = radiology.radiology_edges(radiology.finding_pairs(e, s), radiology.severity_map(e, s))
+    assert radiology.packed_graph(radiology.radiology_graph(e, edges)).count() == 0
+    g = spark.createDataFrame([], schemas.EDGES)
+    assert graph.graph_rows(g).count() == graph.edge_visuals(g).count() == graph.graph_visuals(graph.node_centrality(g)).count() == 0
+    assert relations.relation_counts(spark.createDataFrame([], schemas.RELATIONS)).first()["relations"] == 0
+    kb = spark.createDataFrame([], schemas.CONCEPTS)
+    assert ontology.resembling_aliases(spark.createDataFrame([("a",), (None,)], "word string"), kb).count() == 0
