@@ -24,9 +24,11 @@ def _plausible(a: str, b: str) -> Column:
     return (norm(a).isin(*acts) & norm(b).isin(*sees)) | (norm(a).isin(*sees) & norm(b).isin(*acts))
 
 
-def sentence_lookup(sentences: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """note_id, keys, sentence_index, value: of several sentences with one index the one of the last section wins."""
-    return sentences.groupBy("note_id", *keys, "sentence_index").agg(F.max_by(value, "section_ord").alias(value))
+def sentence_lookup(sentences: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """note_id, keys, sentence_index, section_name, sentence_text: of several sentences with one index the one of the last
+    section wins."""
+    last = sentences.groupBy("note_id", *keys, "sentence_index").agg(F.max_by(F.struct("section_name", "sentence_text"), "section_ord").alias("s"))
+    return last.select("note_id", *keys, "sentence_index", "s.*")
 
 
 def pair_dedup(pairs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -36,7 +38,7 @@ def pair_dedup(pairs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def candidate_pairs(entities: DataFrame, sentences: DataFrame, types: list[str], window: int, keys: tuple[str, ...] = ()) -> DataFrame:
+def candidate_pairs(entities: DataFrame, sentences: DataFrame, types: list[str], window: int, keys: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
     """Pairs of one note with start_1 < start_2, at most ``window`` sentences apart, one side an act (drug, treatment) and
     the other an observation (problem, test), with the section of the first.
 
@@ -44,7 +46,7 @@ def candidate_pairs(entities: DataFrame, sentences: DataFrame, types: list[str],
     also sent to both neighbours, so that every pair within the window meets once and a long note is spread over its
     buckets. The type filter runs before the join; the other conditions are part of it. ``keys``: further columns that a
     sentence is known by (``section_ord``), where both tables have them, so that sections with colliding sentence numbers
-    do not mix."""
+    do not mix. ``with_text`` adds the sentence of the first as ``text_1``."""
     e = entities.where(F.col("entity_group").isin(types)).select("note_id", "hadm_id", *keys, *_ENTITY)
     bucket = F.floor(F.col("sentence_index") / F.lit(window + 1))
     a = e.select("note_id", *keys, "hadm_id", *[F.col(c).alias(f"{c}_1") for c in _ENTITY], bucket.alias("bucket"))
@@ -52,7 +54,8 @@ def candidate_pairs(entities: DataFrame, sentences: DataFrame, types: list[str],
     near = F.abs(F.col("sentence_index_1") - F.col("sentence_index_2")) <= window
     fits = F.col("hadm_id").eqNullSafe(F.col("hadm_b")) & (F.col("start_1") < F.col("start_2")) & near & _plausible("entity_group_1", "entity_group_2")
     pairs = a.join(b, ["note_id", *keys, "bucket"]).where(fits).drop("hadm_b", "bucket").withColumn("sentence_diff", F.abs(F.col("sentence_index_1") - F.col("sentence_index_2")))
-    names = sentence_lookup(sentences, "section_name", keys).withColumnRenamed("sentence_index", "sentence_index_1")
+    text = [F.col("sentence_text").alias("text_1")] if with_text else []
+    names = sentence_lookup(sentences, keys).select("note_id", *keys, F.col("sentence_index").alias("sentence_index_1"), "section_name", *text)
     return pairs.join(names, ["note_id", *keys, "sentence_index_1"], "left").withColumn("section_name", F.coalesce("section_name", F.lit("unknown")))
 
 
@@ -75,12 +78,13 @@ def with_relation(pairs: DataFrame, sentences: DataFrame, config: dict, classify
     ``classify`` (see ``models.relation_classifier``) gives the context, the drug and the disease."""
     drugs, problems = config["drugs"], config["problems"]
     exact = (F.col("entity_group_1").isin(drugs) & F.col("entity_group_2").isin(problems)) | (F.col("entity_group_1").isin(problems) & F.col("entity_group_2").isin(drugs))
-    text = sentence_lookup(sentences, "sentence_text", keys)
-    one = text.select("note_id", *keys, F.col("sentence_index").alias("sentence_index_1"), F.col("sentence_text").alias("t1"))
-    two = text.select("note_id", *keys, F.col("sentence_index").alias("sentence_index_2"), F.col("sentence_text").alias("t2"))
-    rows = pairs.where(exact).join(one, ["note_id", *keys, "sentence_index_1"], "left").join(two, ["note_id", *keys, "sentence_index_2"], "left")
-    t1, t2 = F.coalesce("t1", F.lit("")), F.coalesce("t2", F.lit(""))
-    rows = rows.withColumn("context", F.when(F.col("sentence_diff") == 0, t1).otherwise(F.concat(t1, F.lit(" "), t2))).drop("t1", "t2")
+    text = sentence_lookup(sentences, keys)
+    rows = pairs.where(exact)
+    for k in (1, 2):
+        if f"text_{k}" not in rows.columns:
+            rows = rows.join(text.select("note_id", *keys, F.col("sentence_index").alias(f"sentence_index_{k}"), F.col("sentence_text").alias(f"text_{k}")), ["note_id", *keys, f"sentence_index_{k}"], "left")
+    one, two = F.coalesce("text_1", F.lit("")), F.coalesce("text_2", F.lit(""))
+    rows = rows.withColumn("context", F.when(F.col("sentence_diff") == 0, one).otherwise(F.concat(one, F.lit(" "), two))).drop("text_1", "text_2")
     first = F.col("entity_group_1").isin(drugs)
     relation, score = (classify or relation_classifier())(F.col("context"), F.when(first, F.col("word_1")).otherwise(F.col("word_2")), F.when(first, F.col("word_2")).otherwise(F.col("word_1")))
     return rows.withColumn("relation_type", relation).withColumn("model_confidence", score)
@@ -90,7 +94,7 @@ def accepted(rows: DataFrame, least: Column, evidence=None) -> DataFrame:
     """TREATS and CAUSES relations whose score reaches ``least``, with the kind of evidence that ``evidence`` (see
     ``models.evidence_classifier``) sees in the context; only accepted rows are asked."""
     kept = rows.where(F.col("relation_type").isin("TREATS", "CAUSES") & (F.col("model_confidence") >= least))
-    kind, score = (evidence or evidence_classifier())(F.col("context"))
+    kind, score = (evidence or evidence_classifier())(F.col("context") if "context" in rows.columns else F.lit(None).cast("string"))
     return kept.withColumn("evidence_type", kind).withColumn("evidence_confidence", score).drop("context")
 
 
@@ -108,8 +112,9 @@ def relaxed_fallback(entities: DataFrame, sentences: DataFrame, classify=None, e
     The wider candidates hold the strict ones: they are joined and classified once and written once; both passes are
     windows over them.
     """
-    found = candidate_pairs(entities, sentences, API["drugs"] + API["problems"], RELAXED_WINDOW, keys)
-    found = cut_lineage(with_relation(found, sentences, API, classify, keys))
+    found = candidate_pairs(entities, sentences, API["drugs"] + API["problems"], RELAXED_WINDOW, keys, with_text=True)
+    found = with_relation(found, sentences, API, classify, keys)
+    found = cut_lineage(found if evidence else found.drop("context"))  # contexts go on only to a model that reads them
     strict = accepted(narrowed(found, API["window"], API["sections"], keys), F.lit(API_THRESHOLD), evidence)
     wide = accepted(narrowed(found, RELAXED_WINDOW, None, keys), F.lit(API_THRESHOLD), evidence)
     rest = wide.join(strict.select("note_id").distinct(), "note_id", "left_anti")
