@@ -144,9 +144,9 @@ def finding_relation(context: Column) -> Column:
 def keyword_relation(context: Column) -> tuple[Column, Column]:
     """(relation, score) of a context by keywords."""
     t = F.lower(F.coalesce(context, F.lit("")))
-    words = lambda cues: "(?U)" + "|".join(rf"\b{c}\b" for c in cues)
-    causes, treats = t.rlike(words(CAUSES_CUES)), t.rlike(words(TREATS_CUES))
-    return F.when(causes, "CAUSES").when(treats, "TREATS").otherwise("UNRELATED"), F.when(causes, F.lit(CAUSES_SCORE)).when(treats, F.lit(TREATS_SCORE)).otherwise(F.lit(0.0))
+    words = lambda cues: r"(?U)\b(?:" + "|".join(cues) + r")\b"
+    relation = F.when(t.rlike(words(CAUSES_CUES)), "CAUSES").when(t.rlike(words(TREATS_CUES)), "TREATS").otherwise("UNRELATED")
+    return relation, F.when(relation == "CAUSES", F.lit(CAUSES_SCORE)).when(relation == "TREATS", F.lit(TREATS_SCORE)).otherwise(F.lit(0.0))
 
 
 def note_track(c: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chartloom.functions.text import finding_relation, measurements, negations, severity
 from chartloom.operators.entities import TOTAL
+from chartloom.runtime import large
 
 PAIR_CONFIDENCE, LEAST_CONFIDENCE = 0.75, 0.50
 
@@ -21,7 +22,7 @@ def finding_pairs(entities: DataFrame, sentences: DataFrame) -> DataFrame:
     sentence are its result by definition, and bounded by its length; they are made where its entities have come together,
     in one shuffle."""
     spans = entities.groupBy("note_id", "sentence_index").agg(F.array_sort(F.collect_list(F.struct(*TOTAL, "hadm_id"))).alias("spans"))
-    j = spans.where(F.size("spans") > 1).join(first_sentence(sentences), ["note_id", "sentence_index"], "left").withColumn("relation_type", finding_relation(F.col("context")))
+    j = spans.where(F.size("spans") > 1).join(large(first_sentence(sentences)), ["note_id", "sentence_index"], "left").withColumn("relation_type", finding_relation(F.col("context")))
     left = j.select("note_id", "sentence_index", "relation_type", "spans", F.posexplode("spans").alias("i", "a"))
     pairs = left.select("note_id", "sentence_index", "relation_type", "a", (F.col("i") + 1).alias("ord_1"), F.posexplode(F.slice("spans", F.col("i") + 2, F.size("spans"))).alias("k", "b"))
     return pairs.select(
@@ -36,7 +37,7 @@ def finding_relations(entities: DataFrame, sentences: DataFrame) -> DataFrame:
 
 def severity_map(entities: DataFrame, sentences: DataFrame) -> DataFrame:
     """note_id, word, severity: the reading of the note's last entity with that word."""
-    j = entities.join(first_sentence(sentences), ["note_id", "sentence_index"], "left").withColumn("severity", severity(F.col("context"), F.col("word")))
+    j = entities.join(large(first_sentence(sentences)), ["note_id", "sentence_index"], "left").withColumn("severity", severity(F.col("context"), F.col("word")))
     return j.groupBy("note_id", "word").agg(F.max_by("severity", F.struct("sentence_index", *TOTAL)).alias("severity"))
 
 
@@ -59,13 +60,13 @@ def radiology_edges(pairs: DataFrame, severities: DataFrame, subjects: DataFrame
     rows = pairs.where(F.col("relation_type").isNotNull() & (F.col("confidence") >= LEAST_CONFIDENCE) & (F.trim("entity_1") != "") & (F.trim("entity_2") != ""))
     # a note's words are bounded by its length: one map per note and one join answer all four look-ups
     of_note = severities.where(F.col("word").isNotNull()).groupBy("note_id", "word").agg(F.max("severity").alias("severity")).groupBy("note_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "severity"))).alias("known"))
-    out = rows.join(of_note, "note_id", "left")
+    out = rows.join(large(of_note), "note_id", "left")
     for k, side in ((1, "source"), (2, "target")):
         raw = F.trim(f"entity_{k}")
         out = out.withColumn(f"{side}_severity", F.coalesce(F.col("known")[F.lower(raw)], F.col("known")[raw])).withColumn(f"entity_{k}", F.lower(raw))
     who = []
     if subjects is not None:
-        out, who = out.join(subjects.select("note_id", "subject_id"), "note_id", "left"), ["subject_id"]
+        out, who = out.join(large(subjects.select("note_id", "subject_id")), "note_id", "left"), ["subject_id"]
     return out.select(
         "hadm_id", *who, F.col("note_id").alias("source_note"), "entity_1", "entity_2", "relation_type", F.col("confidence").alias("model_confidence"), F.col("entity_type_1").alias("source_type"),
         F.col("entity_type_2").alias("target_type"), "source_severity", "target_severity", F.round(0.6 + 0.35 * F.col("confidence"), 4).alias("alignment_score"),
@@ -108,5 +109,5 @@ def enhance(notes: DataFrame, entities: DataFrame, sentences: DataFrame) -> Data
         pack(rel, ["sentence_index", "ord_1", "ord_2", "entity_1", "entity_type_1", "entity_2", "entity_type_2", "relation_type", "confidence"], "finding_relationships"),
         sev.groupBy("note_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("word", "severity")))).alias("severity_classification")),
     ):
-        out = out.join(part, "note_id", "left")
+        out = out.join(large(part), "note_id", "left")
     return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chartloom.functions.models import evidence_classifier, relation_classifier
 from chartloom.operators.entities import TOTAL, norm
-from chartloom.runtime import cut_lineage
+from chartloom.runtime import cut_lineage, large
 
 # Sections, labels, windows and thresholds of the batch and the interactive configuration.
 BATCH_SECTIONS = ["HPI", "Hospital Course", "Assessment/Plan", "Findings", "Impression"]
@@ -19,9 +19,10 @@ STRICT_SECTIONS, STRICT_THRESHOLD, OTHER_THRESHOLD = ["HPI", "Hospital Course"],
 _ENTITY = ["sentence_index", *TOTAL]
 
 
-def _plausible(a: str, b: str) -> Column:
-    acts, sees = ("drug", "treatment"), ("problem", "test")
-    return (norm(a).isin(*acts) & norm(b).isin(*sees)) | (norm(a).isin(*sees) & norm(b).isin(*acts))
+def _side(group: str) -> Column:
+    """1 for an act (drug, treatment), 2 for an observation (problem, test), else null."""
+    label = norm(group)
+    return F.when(label.isin("drug", "treatment"), 1).when(label.isin("problem", "test"), 2)
 
 
 def sentence_lookup(sentences: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -47,16 +48,16 @@ def candidate_pairs(entities: DataFrame, sentences: DataFrame, types: list[str],
     buckets. The type filter runs before the join; the other conditions are part of it. ``keys``: further columns that a
     sentence is known by (``section_ord``), where both tables have them, so that sections with colliding sentence numbers
     do not mix. ``with_text`` adds the sentence of the first as ``text_1``."""
-    e = entities.where(F.col("entity_group").isin(types)).select("note_id", "hadm_id", *keys, *_ENTITY)
+    e = entities.where(F.col("entity_group").isin(types)).select("note_id", "hadm_id", *keys, *_ENTITY, _side("entity_group").alias("side")).where("side IS NOT NULL")
     bucket = F.floor(F.col("sentence_index") / F.lit(window + 1))
-    a = e.select("note_id", *keys, "hadm_id", *[F.col(c).alias(f"{c}_1") for c in _ENTITY], bucket.alias("bucket"))
-    b = e.select("note_id", *keys, F.col("hadm_id").alias("hadm_b"), *[F.col(c).alias(f"{c}_2") for c in _ENTITY], F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
+    a = e.select("note_id", *keys, "hadm_id", *[F.col(c).alias(f"{c}_1") for c in _ENTITY], F.col("side").alias("side_1"), bucket.alias("bucket"))
+    b = e.select("note_id", *keys, F.col("hadm_id").alias("hadm_b"), *[F.col(c).alias(f"{c}_2") for c in _ENTITY], F.col("side").alias("side_2"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
     near = F.abs(F.col("sentence_index_1") - F.col("sentence_index_2")) <= window
-    fits = F.col("hadm_id").eqNullSafe(F.col("hadm_b")) & (F.col("start_1") < F.col("start_2")) & near & _plausible("entity_group_1", "entity_group_2")
-    pairs = a.join(b, ["note_id", *keys, "bucket"]).where(fits).drop("hadm_b", "bucket").withColumn("sentence_diff", F.abs(F.col("sentence_index_1") - F.col("sentence_index_2")))
+    fits = F.col("hadm_id").eqNullSafe(F.col("hadm_b")) & (F.col("start_1") < F.col("start_2")) & near & (F.col("side_1") != F.col("side_2"))
+    pairs = a.join(large(b), ["note_id", *keys, "bucket"]).where(fits).drop("hadm_b", "bucket", "side_1", "side_2").withColumn("sentence_diff", F.abs(F.col("sentence_index_1") - F.col("sentence_index_2")))
     text = [F.col("sentence_text").alias("text_1")] if with_text else []
     names = sentence_lookup(sentences, keys).select("note_id", *keys, F.col("sentence_index").alias("sentence_index_1"), "section_name", *text)
-    return pairs.join(names, ["note_id", *keys, "sentence_index_1"], "left").withColumn("section_name", F.coalesce("section_name", F.lit("unknown")))
+    return pairs.join(large(names), ["note_id", *keys, "sentence_index_1"], "left").withColumn("section_name", F.coalesce("section_name", F.lit("unknown")))
 
 
 def narrowed(pairs: DataFrame, window: int, sections: list[str] | None, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -82,7 +83,8 @@ def with_relation(pairs: DataFrame, sentences: DataFrame, config: dict, classify
     rows = pairs.where(exact)
     for k in (1, 2):
         if f"text_{k}" not in rows.columns:
-            rows = rows.join(text.select("note_id", *keys, F.col("sentence_index").alias(f"sentence_index_{k}"), F.col("sentence_text").alias(f"text_{k}")), ["note_id", *keys, f"sentence_index_{k}"], "left")
+            other = text.select("note_id", *keys, F.col("sentence_index").alias(f"sentence_index_{k}"), F.col("sentence_text").alias(f"text_{k}"))
+            rows = rows.join(large(other), ["note_id", *keys, f"sentence_index_{k}"], "left")
     one, two = F.coalesce("text_1", F.lit("")), F.coalesce("text_2", F.lit(""))
     rows = rows.withColumn("context", F.when(F.col("sentence_diff") == 0, one).otherwise(F.concat(one, F.lit(" "), two))).drop("text_1", "text_2")
     first = F.col("entity_group_1").isin(drugs)
@@ -117,7 +119,7 @@ def relaxed_fallback(entities: DataFrame, sentences: DataFrame, classify=None, e
     found = cut_lineage(found if evidence else found.drop("context"))  # contexts go on only to a model that reads them
     strict = accepted(narrowed(found, API["window"], API["sections"], keys), F.lit(API_THRESHOLD), evidence)
     wide = accepted(narrowed(found, RELAXED_WINDOW, None, keys), F.lit(API_THRESHOLD), evidence)
-    rest = wide.join(strict.select("note_id").distinct(), "note_id", "left_anti")
+    rest = wide.join(large(strict.select("note_id").distinct()), "note_id", "left_anti")
     return strict.withColumn("pass", F.lit("strict")).unionByName(rest.withColumn("pass", F.lit("relaxed"))).where(F.col("model_confidence") >= API_FILTER)
 
 

@@ -62,6 +62,12 @@ def release(spark: SparkSession) -> int:
     return len(paths)
 
 
+def large(df: DataFrame) -> DataFrame:
+    """The side of a join that grows with the notes and must not be broadcast, however small its compressed files are: Spark
+    judges a table by these, and one that compresses well would be sent whole to every executor."""
+    return df.hint("merge")
+
+
 def shuffle_parts(spark: SparkSession, at_least: int = 1) -> int:
     """The session's shuffle width, the unit in which operators size their own exchanges."""
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
