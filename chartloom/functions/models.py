@@ -21,6 +21,7 @@ from chartloom.functions.text import _literal, keyword_relation, matches
 
 Factory = Callable[[], Callable[[list[str]], list]]
 _REGISTRY: dict[str, Factory] = {}
+_KEYS: dict[str, str] = {}
 
 # A small lexicon of drugs and problems with the models that would find them.
 LEXICON = [
@@ -51,7 +52,7 @@ _ENTITIES = "note_id string, hadm_id bigint, sentence_index bigint, entity_group
 
 
 def register(name: str, factory: Factory) -> None:
-    _REGISTRY[name] = factory
+    _REGISTRY[name], _KEYS[name] = factory, f"{name}-{uuid.uuid4().hex}"
 
 
 def available(name: str, module: str | None = None) -> bool:
@@ -60,13 +61,13 @@ def available(name: str, module: str | None = None) -> bool:
 
 
 class Held:
-    """A model that is made on first use in a Python worker and kept for all later batches and tasks of that worker."""
+    """A model that is made on first use in a Python worker and kept for all later batches, tasks and queries of that worker,
+    until another factory is registered under its name."""
 
     made: dict[str, Callable] = {}
 
     def __init__(self, name: str):
-        self.name, self.factory = name, _REGISTRY[name]
-        self.key = f"{name}-{uuid.uuid4().hex}"
+        self.factory, self.key = _REGISTRY[name], _KEYS[name]
 
     def __call__(self, *args):
         if self.key not in Held.made:

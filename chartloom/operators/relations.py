@@ -88,16 +88,29 @@ def with_relation(pairs: DataFrame, sentences: DataFrame, config: dict, classify
     one, two = F.coalesce("text_1", F.lit("")), F.coalesce("text_2", F.lit(""))
     rows = rows.withColumn("context", F.when(F.col("sentence_diff") == 0, one).otherwise(F.concat(one, F.lit(" "), two))).drop("text_1", "text_2")
     first = F.col("entity_group_1").isin(drugs)
-    relation, score = (classify or relation_classifier())(F.col("context"), F.when(first, F.col("word_1")).otherwise(F.col("word_2")), F.when(first, F.col("word_2")).otherwise(F.col("word_1")))
-    return rows.withColumn("relation_type", relation).withColumn("model_confidence", score)
+    drug, disease = F.when(first, F.col("word_1")).otherwise(F.col("word_2")), F.when(first, F.col("word_2")).otherwise(F.col("word_1"))
+    if classify is None:
+        relation, score = relation_classifier()(F.col("context"))
+        return rows.withColumn("relation_type", relation).withColumn("model_confidence", score)
+    asked = {"context": F.coalesce("context", F.lit("")), "_drug": F.coalesce(drug, F.lit("")), "_disease": F.coalesce(disease, F.lit(""))}
+    return _answered(rows.withColumns(asked), list(asked), classify, "relation_type", "model_confidence").drop("_drug", "_disease")
+
+
+def _answered(rows: DataFrame, asked: list[str], model, label: str, score: str) -> DataFrame:
+    """``rows`` with what a model says of the columns ``asked``; each different question is put once."""
+    one = rows.select(*asked).distinct()
+    says, sure = model(*[F.col(c) for c in asked])
+    return rows.join(large(one.withColumn(label, says).withColumn(score, sure)), asked)
 
 
 def accepted(rows: DataFrame, least: Column, evidence=None) -> DataFrame:
     """TREATS and CAUSES relations whose score reaches ``least``, with the kind of evidence that ``evidence`` (see
     ``models.evidence_classifier``) sees in the context; only accepted rows are asked."""
     kept = rows.where(F.col("relation_type").isin("TREATS", "CAUSES") & (F.col("model_confidence") >= least))
-    kind, score = (evidence or evidence_classifier())(F.col("context") if "context" in rows.columns else F.lit(None).cast("string"))
-    return kept.withColumn("evidence_type", kind).withColumn("evidence_confidence", score).drop("context")
+    if evidence is None:
+        kind, score = evidence_classifier()(F.lit(None).cast("string"))
+        return kept.withColumn("evidence_type", kind).withColumn("evidence_confidence", score).drop("context")
+    return _answered(kept.withColumn("context", F.coalesce("context", F.lit(""))), ["context"], evidence, "evidence_type", "evidence_confidence").drop("context")
 
 
 def extract_relations(entities: DataFrame, sentences: DataFrame, config: dict, threshold: Column | float | None = None, classify=None, evidence=None, keys: tuple[str, ...] = ()) -> DataFrame:
