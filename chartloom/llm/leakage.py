@@ -403,7 +403,9 @@ def _searched(lists: DataFrame, id_kind: str, item_kind: str) -> DataFrame:
     def group(table: pa.Table) -> pa.RecordBatch | None:
         table = table.combine_chunks()
         head = np.flatnonzero(table.column("term").to_numpy() == DOCUMENTS)
-        if len(head) != 1 or table.num_rows == 1:
+        if len(head) != 1:
+            raise ValueError(f"a block with {len(head)} lists of documents")
+        if table.num_rows == 1:
             return None
         h = int(head[0])
         ends, ids = np.cumsum(unpacked(np.frombuffer(table.column("postings")[h].as_buffer(), np.uint8))), table.column("ids")[h].values
