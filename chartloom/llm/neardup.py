@@ -34,7 +34,7 @@ from chartloom.runtime import cut_lineage, shuffle_parts
 
 WORD = re.compile(r"[^\W_]+")
 #: N-grams whose counts are broadcast at most (16 bytes each), and counts from which they are told apart only roughly.
-MOST_HEAVY, EXACT = 1 << 20, 65535
+MOST_HEAVY, EXACT = 1 << 18, 65535
 #: Postings of a part.
 PART = 4_000_000
 #: Sets of one n-gram's group at most before it is split into block pairs.
