@@ -147,7 +147,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_perplexity(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.perplexity_bands(table(spark, d, "documents"), "doc_id", "text", "lang", cut_lineage=cut_lineage)
+    return repetition.perplexity_bands(table(spark, d, "documents"), "doc_id", "text", "lang")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -169,11 +169,24 @@ SELECT section_id_a, section_id_b FROM p WHERE met >= 0.6 * (na + nb - met)
 """
 
 
+_P9 = """
+WITH d AS (SELECT doc_id, coalesce(any_value(text), '') AS t FROM documents GROUP BY doc_id),
+w AS (SELECT doc_id, regexp_matches(t, '[㐀-䶿一-鿿豈-﫿]') AS han, regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+') AS w FROM d),
+u AS (SELECT doc_id, CASE WHEN han THEN 16 ELSE 8 END AS k, CASE WHEN han AND len(w) > 0 THEN string_split(array_to_string(w, ''), '') ELSE w END AS u FROM w),
+r AS (SELECT doc_id, k, unnest(range(1, len(u) - k + 2)) AS i, unnest(list_transform(range(1, len(u) - k + 2), lambda i: array_to_string(u[i : i + k - 1], ' '))) AS run FROM u WHERE len(u) > k),
+a AS (SELECT doc_id, k, i FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY i) AS n FROM r) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS covered FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM a) GROUP BY doc_id),
+s AS (SELECT u.doc_id, CAST(len(u) AS INTEGER) AS n_units, CAST(coalesce(covered, 0) AS INTEGER) AS n_repeated FROM u LEFT JOIN c ON c.doc_id = u.doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": "SELECT DISTINCT section_id FROM sections WHERE length(section_text) > 1500",
         "p2_quality": "SELECT section_id, true AS within, true AS whole, true AS overlap FROM sections GROUP BY section_id HAVING max(length(section_text)) > 1500",
         "p4_found": _P4,
+        "p9_shares": _P9 + "SELECT doc_id, n_units, n_repeated, CASE WHEN n_units > 0 THEN n_repeated / n_units ELSE CAST(0 AS DOUBLE) END AS share FROM s",
+        "p9_found": _P9 + "SELECT doc_id FROM s WHERE n_units > 0 AND n_repeated >= 0.3 * n_units",
         "p8_targets": r"SELECT DISTINCT t.source, true AS met, true AS repeats_kept FROM (SELECT regexp_replace(lower(trim(source)), '[\s_-]+', '_', 'g') AS source FROM mix_targets WHERE max_repeats > 0) t JOIN (SELECT regexp_replace(lower(trim(source)), '[\s_-]+', '_', 'g') AS source FROM documents WHERE trim(text) <> '') d ON d.source = t.source",
         "p6_surrogate_check": "SELECT unnest(['EMAIL', 'GIVEN', 'ID', 'NAME', 'PHONE', 'PLACE']) AS pii_type, CAST(0 AS BIGINT) AS collisions, CAST(0 AS BIGINT) AS unchanged",
     }

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from chartloom.runtime import cut_lineage
+
 WORD = re.compile(r"[^\W_]+")
 HAN = re.compile(r"[㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]")
 RUN_WORDS, RUN_CHARS = 8, 16
@@ -169,8 +171,8 @@ HOT, SALTS = 0.001, 16
 
 def skewed_join(left: DataFrame, right: DataFrame, on: list[str], rows: str) -> DataFrame:
     """``left`` joined with the one row of ``right`` of each key. ``rows``: the column of ``right`` that says how many rows of
-    ``left`` meet it. The hot keys, at most 1 / HOT of them, are broadcast; their rows are dealt out over SALTS tasks, each
-    with a copy of the right row. The column stays out of the result."""
+    ``left`` meet it; it stays out of the result. The hot keys, at most 1 / HOT of them, are broadcast; their rows are dealt
+    out over SALTS tasks, each with a copy of the right row. ``right`` is read several times and should be a written table."""
     total = right.agg(F.sum(rows).alias("total")).scalar()
     hot = F.broadcast(right.where(F.col(rows) > HOT * total).select(*on, F.lit(True).alias("hot")))
     share = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
@@ -180,7 +182,7 @@ def skewed_join(left: DataFrame, right: DataFrame, on: list[str], rows: str) ->
     return dealt.join(copied, [*on, "salt"]).drop("salt")
 
 
-def kneser_ney(counts: DataFrame, cut_lineage=lambda d: d) -> DataFrame:
+def kneser_ney(counts: DataFrame) -> DataFrame:
     """``lang, h1, h2, h3, logp`` of every counted trigram under interpolated modified Kneser-Ney.
 
     ``counts``: lang, h1, h2, h3, n summed over the corpus. The lower orders use continuation counts. Everything is joins
@@ -192,9 +194,9 @@ def kneser_ney(counts: DataFrame, cut_lineage=lambda d: d) -> DataFrame:
     total = uni.groupBy("lang").agg(F.sum("c1").alias("t1"), F.count("*").alias("v1"))
     d3, d2 = _discounts(counts, "n"), _discounts(bi, "c2")
     cut = lambda c: F.when(F.col(c) == 1, F.col("d1")).when(F.col(c) == 2, F.col("d2")).otherwise(F.col("d3"))
-    p1 = uni.join(F.broadcast(total), "lang").select("lang", "h3", "c1", ((F.col("c1") + 0.5) / (F.col("t1") + 0.5 * F.col("v1"))).alias("p1"))
+    p1 = cut_lineage(uni.join(F.broadcast(total), "lang").select("lang", "h3", "c1", ((F.col("c1") + 0.5) / (F.col("t1") + 0.5 * F.col("v1"))).alias("p1")))
     two = bi.join(F.broadcast(d2), "lang").withColumn("gone", cut("c2")).drop("d1", "d2", "d3")
-    ctx2 = two.groupBy("lang", "h2").agg(F.sum("c2").alias("s2"), F.sum("gone").alias("g2"), F.count("*").alias("rows"))
+    ctx2 = cut_lineage(two.groupBy("lang", "h2").agg(F.sum("c2").alias("s2"), F.sum("gone").alias("g2"), F.count("*").alias("rows")))
     own = F.greatest(F.col("c2") - F.col("gone"), F.lit(0.0))
     p2 = skewed_join(skewed_join(two, ctx2, ["lang", "h2"], "rows"), p1, ["lang", "h3"], "c1")
     p2 = cut_lineage(p2.select("lang", "h2", "h3", ((own + F.col("g2") * F.col("p1")) / F.col("s2")).alias("p2"), F.col("c2").alias("rows")))
@@ -205,7 +207,7 @@ def kneser_ney(counts: DataFrame, cut_lineage=lambda d: d) -> DataFrame:
     return full.select("lang", "h1", "h2", "h3", F.log((own + F.col("g3") * F.col("p2")) / F.col("s3")).alias("logp"))
 
 
-def perplexity_bands(df: DataFrame, id_col: str, text_col: str, lang_col: str, lower: float = 0.02, upper: float = 0.98, cut_lineage=lambda d: d) -> DataFrame:
+def perplexity_bands(df: DataFrame, id_col: str, text_col: str, lang_col: str, lower: float = 0.02, upper: float = 0.98) -> DataFrame:
     """``id_col, lang, n_words, perplexity, verdict``: verdict ``low``, ``high`` or ``kept`` by the language's own bands.
 
     The bands are the ``lower`` and ``upper`` quantiles (to 1/10000 of the rows) of the language's documents. The model is
@@ -216,7 +218,7 @@ def perplexity_bands(df: DataFrame, id_col: str, text_col: str, lang_col: str, l
     gram = ["lang", "h1", "h2", "h3"]
     seen = cut_lineage(_ngrams(base, id_col, text_col, "lang", True).groupBy("id", *gram).agg(F.max("n").alias("n")))
     counts = cut_lineage(seen.groupBy(*gram).agg(F.sum("n").alias("n"), F.count("*").alias("docs")))
-    model = cut_lineage(kneser_ney(counts, cut_lineage).join(counts.select(*gram, "docs"), gram))
+    model = cut_lineage(kneser_ney(counts).join(counts.select(*gram, "docs"), gram))
     score = skewed_join(seen, model, gram, "docs").groupBy("id", "lang").agg(F.sum("n").alias("n_words"), F.sum(F.col("n") * F.col("logp")).alias("lp"))
     score = score.select("id", "lang", "n_words", F.exp(-F.col("lp") / F.col("n_words")).alias("perplexity"))
     bands = score.groupBy("lang").agg(F.percentile_approx("perplexity", [lower, upper], 10000).alias("band"))
