@@ -521,7 +521,8 @@ def surrogate_map(spans: DataFrame, key: str, rounds: int = 3, known: DataFrame
             full = [f"{v}|{'f' if g > 0 else 'm' if g < 0 else ''}" if k == "GIVEN" else v for k, v, g in zip(kinds, values, genders)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[stand_in(k, v, secret, a) for a in range(rounds + 1)] for k, v in zip(kinds, full)], pa.list_(pa.string()))], names=["pii_type", "entity", "draws"])
 
-    dealt = new.repartition(shuffle_parts(spans.sparkSession), "pii_type", "entity")  # never merged to few tasks
+    width = shuffle_parts(spans.sparkSession)
+    dealt = new.repartitionById(width, F.pmod(F.xxhash64("pii_type", "entity"), F.lit(width)).cast("int"))  # never merged to few tasks
     todo = cut_lineage(dealt.mapInArrow(run, "pii_type string, entity string, draws array<string>")).withColumn("attempt", F.lit(0))
     if known is not None:
         todo = todo.unionByName(known.select("pii_type", "entity", F.array("made").alias("draws"), F.lit(-1).alias("attempt")))
