@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ ADE_LEAST, TREATMENT_LEAST = 0.75, 0.65
 NOTE_BOOST, SECTION_BOOST = 0.05, 0.05
 # Colours of edges that several notes or sections agree on, and of the others.
 CONSENSUS_COLOR, SINGLE_COLOR = "#f59e0b", "#2dd4bf"
+# The decimals in which confidences are summed, and the largest that is; 10^10 of these fit the sum.
+EXACT, EXACT_MOST = "decimal(28, 22)", 1e5
 
 
 def ade_track(relations: DataFrame) -> DataFrame:
@@ -25,16 +29,23 @@ def treatment_track(relations: DataFrame) -> DataFrame:
 
 def longitudinal_edges(relations: DataFrame) -> DataFrame:
     """One edge per admission, concept pair and relation: notes and sections in order, names of the first note, mentions,
-    mean confidence. Mentions are first summed per note and section, so a hot edge is shuffled as a few rows."""
+    mean confidence of the mentions that have one. Mentions are first summed per note and section, so a hot edge is shuffled
+    as a few rows. Sums of doubles depend on the order of rows, which turns scores at a half into one or the other rounded
+    value; confidences are therefore summed as decimals, and only what these cannot hold (NaN, infinities) as doubles."""
     keys = ["hadm_id", "cui_1", "cui_2", "relation_type"]
     clean = relations.where((F.col("cui_1") != UNMAPPED) & (F.col("cui_2") != UNMAPPED) & F.col("target_semantic_valid")).dropna(subset=keys)
-    part = clean.groupBy(*keys, "note_id", "section_name").agg(F.count("*").alias("n"), F.sum("model_confidence").alias("s"), F.min(F.struct("canonical_name_1", "canonical_name_2")).alias("names"))
+    c = F.col("model_confidence")
+    fits = F.abs(c) <= EXACT_MOST
+    part = clean.groupBy(*keys, "note_id", "section_name").agg(
+        F.count("*").alias("n"), F.count(c).alias("known"), F.sum(F.when(fits, c).cast(EXACT)).alias("s"), F.sum(F.when(~fits, c)).alias("rest"),
+        F.min(F.struct("canonical_name_1", "canonical_name_2")).alias("names"),
+    )
     edges = part.groupBy(*keys).agg(
         F.sort_array(F.collect_set("note_id")).alias("note_occurrences"),
         F.sort_array(F.collect_set("section_name")).alias("sections_found"),
         F.min(F.struct("note_id", "section_name", "names")).alias("head"),
         F.sum("n").alias("mention_count"),
-        (F.sum("s") / F.sum("n")).alias("base_confidence"),
+        F.try_divide(F.coalesce(F.sum("s").cast("double"), F.lit(0.0)) + F.coalesce(F.sum("rest"), F.lit(0.0)), F.sum("known")).alias("base_confidence"),
     )
     return edges.select(
         "hadm_id", F.col("cui_1").alias("source_cui"), F.col("head.names.canonical_name_1").alias("source_name"), F.col("cui_2").alias("target_cui"),
@@ -43,9 +54,10 @@ def longitudinal_edges(relations: DataFrame) -> DataFrame:
 
 
 def alignment_score(edges: DataFrame, note_boost: float = NOTE_BOOST) -> DataFrame:
-    """base + boost for every further note + a boost for more than one section, at most 1."""
+    """base + boost for every further note + a boost for more than one section, at most 1. The boost of all notes is the
+    product of decimals: three times 0.05 is 0.15, as doubles a little more."""
     notes, sections = F.size("note_occurrences"), F.size("sections_found")
-    raw = F.col("base_confidence") + F.when(notes > 1, (notes - 1) * note_boost).otherwise(0.0) + F.when(sections > 1, SECTION_BOOST).otherwise(0.0)
+    raw = F.col("base_confidence") + F.when(notes > 1, ((notes - 1) * F.lit(Decimal(str(note_boost)))).cast("double")).otherwise(0.0) + F.when(sections > 1, SECTION_BOOST).otherwise(0.0)
     return edges.withColumn("alignment_score", F.least(F.lit(1.0), raw))
 
 
